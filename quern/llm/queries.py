@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, packing, piece_sampling, quality_classifier, quality_rules, secrets, sharding, simhash, token_store
+from quern.llm import (
+    exact_dedup,
+    html_extract,
+    packing,
+    piece_sampling,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    token_store,
+)
 from quern.llm.common import table
 
 
@@ -14,6 +25,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"), width=3)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
@@ -48,6 +63,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html_extract": op2_html_extract,
     "op3_packing": op3_packing,
     "op4_token_store": op4_token_store,
     "op5_sharding": op5_sharding,
