@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from functools import reduce
 
@@ -20,9 +21,17 @@ LATIN_TOKEN = r"\b[A-Za-z][A-Za-z0-9_.+-]*\b"
 TAMIL = (0x0B80, 0x0BFF)
 
 
+_control, _space = re.compile(CONTROL_TOKEN), re.compile(r"\s+")
+
+
+def _normalized(text: str | None) -> str:
+    value = unicodedata.normalize("NFC", text or "").translate({0x200B: None, 0xFEFF: None})
+    return _space.sub(" ", _control.sub(" ", value)).strip(" ")
+
+
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFC")
+def composed(text: pd.Series) -> pd.Series:
+    return text.map(_normalized)
 
 
 def strip(text: Column) -> Column:
@@ -38,11 +47,12 @@ def squeeze(text: Column) -> Column:
 def normalize(text: Column, compose: bool = True) -> Column:
     """Null to empty; NFC; zero-width marks go; control tokens become a space; white space is squeezed.
 
-    ``compose=False`` leaves NFC out, for text that is known to be composed: the expression then stays in the JVM.
+    One Arrow call does it all: Spark has no NFC, and later filters then refer to the result. An expression would be
+    copied into each of them. ``compose=False`` leaves NFC out, for text that is known to be composed, and stays in the JVM.
     """
-    value = F.coalesce(text.cast("string"), F.lit(""))
-    value = nfc(value) if compose else value
-    value = F.translate(value, "\u200b\ufeff", "")
+    if compose:
+        return composed(text.cast("string"))
+    value = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u200b\ufeff", "")
     return squeeze(F.regexp_replace(value, CONTROL_TOKEN, " "))
 
 
@@ -72,15 +82,21 @@ def fingerprint_lower(normalized: Column) -> Column:
     return F.sha1(F.regexp_replace(F.lower(normalized), r"[^\p{L}\p{N}\p{M}]", "").cast("binary"))
 
 
+def letters_and_digits(text: Column) -> Column:
+    """How many there are; runs of anything else are cut out, which is cheaper than counting matches one by one."""
+    return F.char_length(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", ""))
+
+
 def script_fraction(text: Column, low: int = TAMIL[0], high: int = TAMIL[1]) -> Column:
     """Share of code points low..high among letters and digits; 0.0 where there are none."""
     inside = F.regexp_count(text, F.lit(rf"[\x{{{low:x}}}-\x{{{high:x}}}&&[\p{{L}}\p{{Nd}}]]"))
-    return F.coalesce(inside / F.nullif(F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}]")), F.lit(0)), F.lit(0.0))
+    return F.coalesce(inside / F.nullif(letters_and_digits(text), F.lit(0)), F.lit(0.0))
 
 
 def latin_fraction(text: Column) -> Column:
-    inside = F.regexp_count(text, F.lit("[A-Za-z]"))
-    return F.coalesce(inside / F.nullif(F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}]")), F.lit(0)), F.lit(0.0))
+    """The same for A-Z and a-z."""
+    rest = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "")
+    return F.coalesce((F.char_length(text) - F.char_length(rest)) / F.nullif(letters_and_digits(text), F.lit(0)), F.lit(0.0))
 
 
 def stable_bucket(value: Column, modulo: int = 10_000) -> Column:

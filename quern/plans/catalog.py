@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from quern.functions import edits, slices
 from quern.functions import text as X
-from quern.functions.tokens import learning_rate, tokenize, trim_completion
+from quern.functions.tokens import learning_rate, supervised, tokenize, trim_completion
 from quern.operators import batch, dedup, pack, profile, quality, sample, score, split, training_log
-from quern.operators.contracts import leakage_violations
+from quern.operators.contracts import leakage_violations, manifest_violations, sampler_violations
 from quern.plans.manifest_view import (
     BUCKET, DOCS, FINGERPRINT, JUDGED, LATIN_SHARE, LOG, NORMAL, PAIRS, VIEW, evaluation_view, judged_view, manifest_view, metric_log, table,
 )
 from quern.sources.scan import profile as schema_profile
 from quern.sources.scan import text_rows
+from quern.storage import stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,11 +37,17 @@ def query(sql: str | None = None):
 
 
 def assigned(s: SparkSession, d: str) -> DataFrame:
-    return split.assign(judged_view(s, d).where("reject_reason is null"), **FRACTIONS, official_only={"de": True}, bucket=X.sha_bucket)
+    """Accepted rows with their splits, without texts. Written out, so that texts are read once and not by every branch that follows."""
+    rows = split.assign(judged_view(s, d).where("reject_reason is null"), **FRACTIONS, official_only={"de": True}, bucket=X.sha_bucket)
+    return stash(rows.drop("text"), "assigned")
 
 
 def official(s: SparkSession, d: str) -> DataFrame:
-    return manifest_view(s, d).withColumn("split", F.col("source_split"))
+    return stash(manifest_view(s, d).withColumn("split", F.col("source_split")).drop("text"), "official")
+
+
+def pruned(s: SparkSession, d: str) -> DataFrame:
+    return split.prune(assigned(s, d), ["doc_id"])
 
 
 _GROUP = "'42:' || dataset || ':' || CASE WHEN speaker_id <> '' THEN 'speaker:' || speaker_id ELSE 'text:' || text_fingerprint END"
@@ -179,12 +186,12 @@ _KEPT = f"{ASSIGNED}, {_pruned('a')}, k AS (SELECT * FROM x2 WHERE drop_reason I
 @query(f"""WITH {_KEPT}, u AS (SELECT count(DISTINCT text_fingerprint) AS unique_text_fingerprints, count(DISTINCT CASE WHEN speaker_id <> '' THEN dataset || '/' || speaker_id END) AS unique_scoped_speakers FROM k)
 SELECT split, count(*) AS examples, round_even(sum(duration) / 3600, 4) AS hours, any_value(unique_text_fingerprints) AS unique_text_fingerprints, any_value(unique_scoped_speakers) AS unique_scoped_speakers FROM k, u GROUP BY split""")
 def leakage_audit(s, d):
-    return profile.leakage_audit(split.prune(assigned(s, d), ["doc_id"]))
+    return profile.leakage_audit(stash(pruned(s, d), "pruned"))
 
 
 @query(f"WITH {_KEPT} SELECT dataset, split, count(*) AS examples, round_even(sum(duration) / 3600, 4) AS hours FROM k GROUP BY ALL")
 def dataset_split_summary(s, d):
-    return profile.by_dataset_and_split(split.prune(assigned(s, d), ["doc_id"]))
+    return profile.by_dataset_and_split(pruned(s, d))
 
 
 @query(rf"""WITH b AS (SELECT item_id, lower(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM benchmark), w AS (SELECT DISTINCT array_to_string(x[i:i+7], ' ') AS gram FROM (SELECT string_split(t, ' ') AS x FROM b), range(1, 100000) r(i) WHERE i <= len(x) - 7),
@@ -266,7 +273,7 @@ def dedup_keep_first(s, d):
 g AS (SELECT identity, min(text_fingerprint) <> max(text_fingerprint) AS conflict, arg_min(id, (r, id)) AS best FROM i GROUP BY identity)
 SELECT id, CASE WHEN conflict THEN 'conflicting_transcripts_same_audio_removed' WHEN id <> best THEN 'duplicate_audio_removed' END AS drop_reason FROM i JOIN g USING (identity)""")
 def dedup_conflict(s, d):
-    rows = official(s, d).withColumn("identity", F.md5(F.substring("text", 1, 40)))
+    rows = manifest_view(s, d).withColumns({"split": F.col("source_split"), "identity": F.md5(F.substring("text", 1, 40))}).drop("text")
     return dedup.resolve_identity(rows).select("id", "drop_reason")
 
 
@@ -415,6 +422,28 @@ def completion_trim(s, d):
     return cut.select("event_id", F.array_join("c.ids", ",").alias("ids"), "c.hit_limit")
 
 
+@query(f"WITH {PAIRS} SELECT round_even(avg(length(hypothesis)), 6) AS mean_generated_tokens, round_even(avg(hit::int), 9) AS limit_rate FROM p")
+def generation_rates(s, d):
+    rows = evaluation_view(s, d).withColumn("generated_tokens", F.char_length("hypothesis"))
+    return training_log.generation_rates(rows).select(F.bround("mean_generated_tokens", 6).alias("mean_generated_tokens"), F.bround("limit_rate", 9).alias("limit_rate"))
+
+
+@query(f"""WITH {VIEW} SELECT 'duration must be positive' AS rule, id AS key FROM v WHERE coalesce(duration <= 0, true) UNION ALL SELECT 'longer than a batch', id FROM v WHERE coalesce(duration > 400, true)
+UNION ALL SELECT 'base_wer out of range', id FROM v WHERE NOT base_wer BETWEEN 0 AND 1 UNION ALL SELECT 'wrong split', id FROM v WHERE source_split <> 'train' UNION ALL SELECT 'empty text', id FROM v WHERE trim(text) = ''""")
+def contract_violations(s, d):
+    v = manifest_view(s, d)
+    held = v.withColumns({"split": F.col("source_split"), "parquet_path": F.lit("p"), "audio_column": F.lit("a")})
+    return sampler_violations(v, "id", "duration", 400.0).unionByName(manifest_violations(held, "train", base_wer=True))
+
+
+@query("""SELECT event_id, array_to_string([user_id % 5, user_id % 3, event_id % 6, 9, 9], ',') AS input_ids, array_to_string([-100, -100, event_id % 6, -100, -100], ',') AS labels, '1,1,1,0,0' AS attention, 3 AS length FROM events""")
+def supervised_arrays(s, d):
+    e = table(s, d, "events")
+    row = supervised(F.array(F.col("user_id") % 5, F.col("user_id") % 3), F.array(F.col("event_id") % 6), 5, pad=9)
+    text = lambda f: F.array_join(F.col(f"r.{f}"), ",").alias(f)
+    return e.select("event_id", row.alias("r")).select("event_id", text("input_ids"), text("labels"), text("attention"), "r.length")
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Scan, normalise, judge, split by hash, prune leaks, and cross-tabulate."""
     return dataset_split_summary(s, d)
