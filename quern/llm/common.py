@@ -43,17 +43,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame to shared storage and read it back: lineage ends here, and a lost executor costs no rework."""
-    path = fresh_path(df.sparkSession, tag)
+    return stash_at(df, fresh_path(df.sparkSession, tag))
+
+
+def stash_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unstash(df: DataFrame) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     """Delete a stash that no later plan reads."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -1,16 +1,16 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two aggregations with map-side minimum and two joins, so a hub with any number of neighbours is
-never gathered in one place. Rounds grow with the square of the logarithm of the longest path. Every round's edges are
-written to shared storage; only a count and a checksum reach the driver.
+A star is an aggregation with map-side minimum and a join, so a hub with any number of neighbours is
+never gathered in one place. Rounds grow with the square of the logarithm of the longest path. A round is one job, whose
+edges are written to shared storage; only a count and a checksum reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quern.llm.common import stash, unstash
+from quern.llm.common import delete, fresh_path, stash_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,8 +28,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return told.distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """Edges on shared storage, their path, and their count and checksum, all by one job."""
+    seen, path = Observation(), fresh_path(edges.sparkSession, "edges")
+    marked = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("sum"))
+    return stash_at(marked, path), path, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,14 +41,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Self-edges and nulls are dropped, repeated edges count once; no edges give no rows.
     """
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v and v is not null").distinct()
-    now = stash(start, "edges")
-    state = _state(now)
+    now, path, state = _written(start)
     while state[0]:
-        step = stash(_star(now, large=True), "edges")
-        then = stash(_star(step, large=False), "edges")
-        unstash(now)
-        unstash(step)
-        now, last, state = then, state, _state(then)
+        then, then_path, last = _written(_star(_star(now, large=True), large=False))
+        delete(edges.sparkSession, path)
+        now, path, state, last = then, then_path, last, state
         if state == last:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

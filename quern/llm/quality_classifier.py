@@ -4,8 +4,8 @@ Indicators of n-grams (byte trigrams, words, bigrams and trigrams of word shapes
 scaled by class log-count ratios; a linear hinge-loss model is fit on them by dual coordinate descent. Margins become
 scores by a logistic curve fit on cross-validated margins, weighted to the class shares of all labelled rows.
 
-Only the fit is bounded: at most ``per_class`` labelled rows of either class, the first by hash of their id, reach the
-driver as feature ids. The model is one float for each of DIM features, whatever the corpus. Scoring is one pass
+Only the fit is bounded: at most ``per_class`` labelled rows of either class, the first by hash of their id, reach one
+task as feature ids. The model is one float for each of DIM features, whatever the corpus. Scoring is one pass
 over whole texts without a shuffle.
 """
 
@@ -174,6 +174,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["quality", "features"])
 
 
+def _fit_rows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """One model from all rows of a task, in an order that doesn't depend on how they arrive."""
+    got = sorted((q, bytes(f)) for b in batches for q, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    model = fit([np.frombuffer(f, np.int32) for _, f in got], np.array([1 if q else -1 for q, _ in got]), share)
+    yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "offset": [model.offset]})
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5; 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -195,9 +202,9 @@ def train_model(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Mo
     # Ids alone are sorted here; each class's first ones are a bounded set that may be broadcast.
     chosen = first.where("quality = 1").orderBy("order", "doc_id").limit(per_class).unionByName(first.where("quality = 0").orderBy("order", "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id")
-    got = map_arrow(texts.select("quality", "text"), _features, "quality int, features binary").limit(4 * per_class).collect()
-    got = sorted((r.quality, bytes(r.features)) for r in got)
-    return fit([np.frombuffer(f, np.int32) for _, f in got], np.array([1 if q else -1 for q, _ in got]), share)
+    rows = map_arrow(texts.select("quality", "text"), _features, "quality int, features binary").repartition(1)
+    fitted = map_arrow(rows, partial(_fit_rows, share=share), "weights binary, offset double").first()
+    return Model(np.frombuffer(fitted[0], np.float32), fitted[1]) if fitted else Model(np.zeros(DIM), 0.0)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -66,22 +66,33 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _grid(fps: DataFrame, segments: int) -> DataFrame:
+def _points(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
     """(key, via, fp): the grid points within one step. via is 0 at the vector itself, else +-(segment + 1)."""
     bits = 64 // segments
     room = bits.bit_length()  # bits that hold a count of 0..bits
     assert room * segments <= 64, "the vector doesn't fit a long"
-    fp = F.col("fp")
-    counts = [F.bit_count(F.shiftrightunsigned(fp, bits * i).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).cast("long") for i in range(segments)]
-    key = counts[0]
-    for i in range(1, segments):
-        key = key + F.shiftleft(counts[i], room * i)
-    rows = fps.select("fp", key.alias("at"), *[c.alias(f"c{i}") for i, c in enumerate(counts)])
-    step = lambda ok, d, i: F.when(ok, F.struct((F.col("at") + F.lit(d << (room * i))).alias("key"), F.lit((i + 1) * d).alias("via")))
-    points = [F.struct(F.col("at").alias("key"), F.lit(0).alias("via"))]
-    for i in range(segments):
-        points += [step(F.col(f"c{i}") < bits, 1, i), step(F.col(f"c{i}") > 0, -1, i)]
-    return rows.select("fp", F.explode(F.filter(F.array(*points), lambda p: p.isNotNull())).alias("p")).select("p.key", "p.via", "fp")
+    shift = (np.arange(segments) * bits).astype(np.uint64)
+    place = np.int64(1) << (np.arange(segments, dtype=np.int64) * room)
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False)
+        counts = np.bitwise_count((fp.view(np.uint64)[:, None] >> shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        at = counts @ place
+        keys, vias, owners = [at], [np.zeros(len(fp), np.int8)], [fp]
+        for i in range(segments):
+            for step, inside in ((1, counts[:, i] < bits), (-1, counts[:, i] > 0)):
+                keys.append(at[inside] + step * place[i])
+                vias.append(np.full(int(inside.sum()), step * (i + 1), np.int8))
+                owners.append(fp[inside])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, vias, owners)], names=["key", "via", "fp"])
+
+
+def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, point): a fingerprint and all that differ from it in one bit."""
+    flips = np.concatenate(([0], np.uint64(1) << np.arange(64, dtype=np.uint64))).astype(np.uint64)
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        point = (fp[:, None] ^ flips).ravel().view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(flips)).view(np.int64)), pa.array(point)], names=["fp", "point"])
 
 
 def near_pairs(fps: DataFrame, segments: int = 16, crowd: int = 64) -> DataFrame:
@@ -89,15 +100,15 @@ def near_pairs(fps: DataFrame, segments: int = 16, crowd: int = 64) -> DataFrame
 
     fps has one row for each distinct fingerprint. Outside crowded grid points the links are all there are.
     """
-    met = _grid(fps, segments).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    points = map_arrow(fps.select("fp"), partial(_points, segments=segments), "key long, via byte, fp long")
+    met = points.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     met = stash(met, "met")
     x, y = (met.where(F.col("n") <= crowd).select("key", F.col("via").alias(f"via_{s}"), F.col("fp").alias(s)) for s in "ab")
     # A pair at distance 0 meets at its common vector, at distance 1 at the vector of the lesser fingerprint.
     once = (F.col("via_a") == 0) | ((F.col("via_b") != 0) & (F.col("via_a") != F.col("via_b")))
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2) & once).select("a", "b")
     dense = met.where(F.col("n") > crowd).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    points = dense.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    points = map_arrow(dense, _flips, "fp long, point long")
     star = points.withColumn("a", F.min("fp").over(Window.partitionBy("point"))).where("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(star).distinct()
 
