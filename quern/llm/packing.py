@@ -135,7 +135,7 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str, mode: str, end_id: in
     """Token counts, and checksums of the whole windows, the remainder and the powers of two in it."""
     for batch in batches:
         sizes, sums = [], []
-        for ids in encoder(path, mode).encode(batch.column(1).to_pylist()):
+        for ids in encoder(path, mode).encode(batch.column(1)):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             cuts = [(i, i + window) for i in range(0, len(ids) - window + 1, window)]
             start = len(cuts) * window
@@ -211,7 +211,7 @@ def pack_documents(
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, mode: str, end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [np.append(ids, np.uint32(end_id)).astype(np.int64) for ids in encoder(path, mode).encode(batch.column(1).to_pylist())]
+        got = [np.append(ids, np.uint32(end_id)).astype(np.int64) for ids in encoder(path, mode).encode(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
 

@@ -11,7 +11,8 @@ A file holds documents in ascending id order. Layout, all numbers little-endian:
     8 bytes   QTOK0001
 
 The dictionary lies beside the files under its hash. It is trained on the ids of at most ``sample`` documents, the first
-by hash of their id, and at most 8,192 characters of each; everything else covers whole texts. A task writes
+that the scan yields, and at most 8,192 characters of each; everything else covers whole texts, and what is read back
+doesn't depend on the dictionary. A task writes
 a file under a name of its own and moves it into place, and only files named by tasks that ended are read, so a
 lost executor leaves nothing behind that counts. The only global step is a running sum over files.
 """
@@ -134,7 +135,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, mode: str,
 
     def documents() -> Iterator[tuple[int | None, np.ndarray]]:
         for batch in itertools.chain([first], batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, mode).encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, mode).encode(batch.column(1))):
                 yield doc_id, np.append(ids, np.uint32(end_id))
 
     with store.open_output_stream(f"{root}/{name}.part") as stream:
@@ -154,7 +155,7 @@ def write_store(
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    some = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 8192).alias("text")).orderBy("h", "text").limit(sample).collect()
+    some = rows.select(F.substring("text", 1, 8192).alias("text")).limit(sample).collect()
     trainer = Encoder(path, mode)
     width = 2 if trainer.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     dictionary = train_dictionary([ids.astype(f"<u{width}").tobytes() for ids in trainer.encode([r.text for r in some])])

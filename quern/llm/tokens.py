@@ -12,9 +12,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters that the tokenizers' patterns take for white space (Unicode White_Space).
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RE2_WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A run of letters up to white space or one of some marks is a pre-token of its own; taking it apart from the mark
 #: makes units repeat more often.
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
@@ -22,6 +25,9 @@ _UNIT = {
     "word": re.compile(f"{_LETTERS}(?=[,.!?;:|#$%&*\t-\r ]|\\Z)|[^\t-\r ]+"),
     "byte": re.compile(f" ?{_LETTERS}(?=[,.!?;:|#$%&*{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
 }
+#: The same in the syntax of Arrow's regular expressions, which mark an edge between units by its two sides.
+_EDGE = f"({_LETTERS[:-1]})([,.!?;:|#$%&*])"
+_ODD = "[ \\n][" + _RE2_WS + "]|[" + _RE2_WS + "][ \\n]"
 _PLAIN = re.compile(_LETTERS)
 _SAFE = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
 
@@ -59,9 +65,9 @@ def public_vocabulary(name: str) -> str:
 class Encoder:
     """Encodes texts with one vocabulary file. mode: ``word`` if white space never reaches a token, else ``byte``."""
 
-    def __init__(self, path: str, mode: str, most_units: int = 800_000, span: int = 1 << 21) -> None:
+    def __init__(self, path: str, mode: str, most_units: int = 800_000, span: int = 1 << 22) -> None:
         self.tokenizer, self.unit, self.most_units, self.span = _tokenizer(path), _UNIT[mode], most_units, span
-        self.ends_word = None
+        self.ends_word, self.mode = None, mode
         if mode == "word":
             vocabulary = self.tokenizer.get_vocab()
             self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -102,43 +108,61 @@ class Encoder:
         self.ends = np.concatenate((self.ends, self.ends[-1] + ends))
         self.flat = np.concatenate((self.flat, ids))
 
-    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units in order, and where each unit ends among them."""
+    def _marked(self, texts: pa.Array) -> pa.Array:
+        """The texts with a NUL between units."""
+        if self.mode == "word":
+            return pc.replace_substring_regex(pc.replace_substring_regex(texts, "[\\t-\\r ]+", "\0"), _EDGE, "\\1\0\\2")
+        plain = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        plain = pc.replace_substring_regex(plain, _EDGE, "\\1\0\\2")
+        odd = pc.match_substring_regex(texts, _ODD)
+        if pc.any(odd).as_py():  # white space beside white space: cut as the tokenizer's own pattern would
+            cut = ["\0".join(self.unit.findall(t)) for t in texts.filter(odd).to_pylist()]
+            plain = pc.replace_with_mask(plain, odd, pa.array(cut, plain.type))
+        return plain
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and where each text ends among them. No text has a NUL."""
         if len(self.at) > self.most_units:
             self._clear()
-        new = set(units).difference(self.at)
+        parts = pc.split_pattern(self._marked(texts), "\0")
+        code = pc.dictionary_encode(parts.flatten())
+        distinct = code.dictionary.to_pylist()
+        new = [u for u in distinct if u not in self.at]
         if new:
-            self._learn(list(new))
-        which = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+            self._learn(new)
+        known = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+        which = known[code.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
         begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
-        out_end = np.cumsum(size)
-        total = int(out_end[-1]) if len(units) else 0
-        return self.flat[np.repeat(begin - (out_end - size), size) + np.arange(total)], out_end
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends))[parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()]
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text as uint32, without an end id. Texts are worked on together up to a bounded length."""
-        group: list[list[str]] = []
-        held = 0
-
-        def flush() -> Iterator[np.ndarray]:
-            units = [u for g in group for u in g]
-            ids, ends = self._ids(units)
-            cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, group)])]
-            yield from (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
-
-        for text in texts:
-            if text and len(text) > self.span:
-                yield from flush()
-                group, held = [], 0
-                done = []
-                for part in self._parts(text):
-                    units = self.unit.findall(part)
-                    done.append(self._ids(units)[0])
-                yield np.concatenate(done)
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        alone = (sizes > self.span) | pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        k = 0
+        while k < len(texts):
+            if alone[k]:
+                yield self._alone(texts[k].as_py())
+                k += 1
                 continue
-            group.append(self.unit.findall(text or ""))
-            held += len(text or "")
-            if held > self.span:
-                yield from flush()
-                group, held = [], 0
-        yield from flush()
+            upto, held = k, 0
+            while upto < len(texts) and not alone[upto] and (upto == k or held + sizes[upto] <= self.span):
+                held += sizes[upto]
+                upto += 1
+            ids, ends = self._ids(texts[k:upto])
+            at = 0
+            for end in ends.tolist():
+                yield ids[at:end]
+                at = end
+            k = upto
+
+    def _alone(self, text: str) -> np.ndarray:
+        """A text with a NUL as the library has it; a very long one in parts."""
+        if "\0" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.concatenate([self._ids(pa.array([part], pa.large_string()))[0] for part in self._parts(text)])
