@@ -107,7 +107,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, smooth: float = 1.0) -> np.nda
     """log(trusted / corpus) of every bucket, from counts over all rows of ``docs``."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select(
         F.col("doc_id").alias("__good")
-    )
+    ).hint("shuffle_hash")  # labels may be any size: texts are dealt by id, without a sort, whatever they measure
     rows = docs.select(F.col("doc_id"), text_of().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left")
     counts = map_arrow(rows.select("text", F.col("__good").isNotNull().alias("good")), _count, "bucket int, raw long, trusted long")
     total = np.zeros((2, BUCKETS))
