@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators.quality import Thresholds, reject_reason
+from quern.session import ensure_importable
 
 THRESHOLDS = Thresholds(min_alignment=0.05, min_script_fraction=0.9)
 MAX_WORDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +32,11 @@ def build_session(app: str = "quern", cpus: int | str = 8, **conf: str) -> Spark
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, besides their own path."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

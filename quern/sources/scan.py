@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quern.functions import text as X
 from quern.operators.quality import Thresholds, reject_reason
+from quern.session import ensure_importable
 from quern.sources.discover import discover, with_position
 
 
@@ -73,6 +74,7 @@ def scan(spark: SparkSession, cfg: DatasetConfig) -> DataFrame:
     Files are grouped by schema and each group is one Parquet scan of the columns needed; audio is never read here.
     ``row_in_group`` is the row in the file, ``row_group`` is 0: Spark's readers don't show row groups.
     """
+    ensure_importable(spark)
     files = discover(spark, cfg.root, cfg.globs)
     if not files:
         raise FileNotFoundError(f"{cfg.name}: no Parquet files matched under {cfg.root}")
@@ -104,6 +106,7 @@ def _scan_group(spark: SparkSession, cfg: DatasetConfig, split: str, paths: list
 
 def inspect(spark: SparkSession, cfg: DatasetConfig, sample_rows: int = 5_000) -> dict:
     """Schema, resolved columns and a profile of the first ``sample_rows`` rows in file order, in one bounded pass."""
+    ensure_importable(spark)
     files = discover(spark, cfg.root, cfg.globs)
     if not files:
         raise FileNotFoundError(f"{cfg.name}: no Parquet files matched under {cfg.root}")
