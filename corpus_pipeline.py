@@ -5,7 +5,7 @@ again as the next one's ``docs``. All but the last return the columns of ``docum
 
 1. quality classifier: documents that score under 0.3 go;
 2. exact deduplication: of texts equal but for white space the longest stays, then the smallest id;
-3. SimHash near-deduplication: of a class of linked fingerprints the smallest id stays;
+3. near-deduplication by SimHash classes and MinHash bands: a row with an earlier one at Jaccard similarity 0.8 or more goes;
 4. secret scan: secrets are masked in place, no document goes;
 5. packing into windows of 2048 ids: one row for each piece.
 

@@ -14,6 +14,8 @@ from quern.storage import shared_dir
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Column of row_key().
+ROW = "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,21 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return stash_at(df, fresh_path(df.sparkSession, tag))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and whole text: rows share it if they have both in common."""
+    return F.unhex(F.md5(F.concat_ws(":", F.md5(text_of(text_col)), F.col(id_col).cast("string"))))
+
+
+def only(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """One row, with all its columns, for each of ``keys``: (ROW, times), where times is how often docs has that key."""
+    keyed = docs.withColumn(ROW, key)
+    out = keyed.join(keys.select(ROW), ROW, "left_semi")
+    repeated = keys.where("times > 1").select(ROW)
+    if not repeated.isEmpty():
+        out = out.join(repeated, ROW, "left_anti").unionByName(out.join(repeated, ROW, "left_semi").dropDuplicates([ROW]))
+    return out.select(*docs.columns)
+
+
 def stash_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, stash, text_of
+from quern.llm.common import ROW, map_arrow, only, row_key, stash, text_of
 from quern.llm.components import components
+from quern.llm.near_copies import near_copies, sketches
 
 #: Shingles whose bits are counted at once, so that memory stays bounded on very long texts.
 BLOCK = 1 << 16
@@ -121,16 +122,33 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at 2 or fewer differing bits; component_id is the smallest id reachable, null only where no member has an
     id. Repeated rows come back as often as they are there. An empty table gives no rows, other columns are ignored.
     """
-    prints = stash(fingerprints(docs, id_col, text_col, width), "prints")
+    found = classed(stash(fingerprints(docs, id_col, text_col, width), "prints"))
+    return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def classed(prints: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of stashed fingerprints."""
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(near_pairs(nodes.select("fp"))).withColumnRenamed("node", "fp")
     roots = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("reach"))
     linked = stash(linked.join(roots, "root").select("fp", "reach"), "linked")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of every class, all columns. A row without an id stays only where none has one."""
-    gone = simhash_dedup(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The rows without an earlier near copy, all columns.
+
+    Near copies have at least ``similarity`` of their distinct shingles of ``width`` words in common, measured on the
+    whole texts. Candidates are the members of a SimHash class of that width and of a MinHash band (``near_copies``). The smallest
+    id stays, a row without an id goes before one with an id does, of rows with id and text in common one stays.
+    """
+    key = row_key(id_col, text_col)
+    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    made = sketches(rows, partial(fingerprint, width=width), width)
+    classes = classed(made.select(F.col("row").alias("doc_id"), "fp")).select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("bucket"))
+    gone = near_copies(rows, made, width, similarity, classes)
+    stay = made.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("times")).join(gone, "row", "left_anti")
+    return only(docs, stash(stay.select(F.col("key").alias(ROW), "times"), "kept"), key)

@@ -8,7 +8,8 @@ import xxhash
 from helpers import documents, empty, rows
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, simhash
+from quern.llm import exact_dedup, near_copies, simhash
+from quern.llm.common import row_key
 from quern.llm.components import components
 
 
@@ -119,3 +120,45 @@ def test_near_copies_keep_one(spark):
     text = " ".join(f"w{i}" for i in rng.integers(0, 5000, 3000))
     kept = rows(simhash.keep_one(documents(spark, [text, text + " end", "other words entirely here"], repeat=False)), "doc_id")
     assert (2,) in kept and (0,) in kept
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(t.lower().split()[i:i + width]) for i in range(max(1, len(t.split()) - width + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_planted_copies_go(spark):
+    """The near copies of 60 texts at similarities from 0.8 on go, unlike texts and copies under 0.8 stay."""
+    rng = random.Random(5)
+    texts, want = [], set()
+    for k in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for edits in (0, 1, 2, 4, 6, 8):  # an edited word breaks five shingles
+            copy = list(base)
+            for at in range(edits):
+                copy[(at * 37 + k) % 290 + 5] = f"new{at}"
+            if edits and jaccard(" ".join(base), " ".join(copy)) >= 0.8:
+                want.add(len(texts))
+            texts.append(" ".join(copy))
+    same = [jaccard(texts[i], texts[i - i % 6]) for i in want]
+    assert min(same) < 0.82 and max(same) > 0.95 and len(want) > 150
+    kept = {r[0] for r in rows(simhash.keep_one(documents(spark, texts, repeat=False)), "doc_id")}
+    assert not kept & want and set(range(0, 360, 6)) <= kept
+    for i in set(range(360)) - kept:  # what goes has an earlier near copy
+        assert any(jaccard(texts[i], texts[j]) >= 0.8 for j in range(i - i % 6, i))
+    assert not any(jaccard(texts[i], texts[j]) >= 0.8 for i in kept for j in range(i - i % 6, i) if j in kept)
+
+
+def test_crowd_of_copies(spark):
+    """Crowded buckets: copies of one text go, texts that are unlike but meet stay."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join([*base[:i], "x", *base[i + 1:]]) for i in range(100)]
+    unlike = [" ".join(f"v{rng.randrange(9999)}" for _ in range(50)) for _ in range(30)]
+    df = documents(spark, near + unlike, repeat=False)
+    keyed = df.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), "text")
+    made = near_copies.sketches(keyed, simhash.fingerprint)
+    meet = made.select("row", F.lit(1).cast("long").alias("bucket"))
+    gone = near_copies.near_copies(keyed, made, classes=meet, crowd=4).join(made, "row")
+    gone = {r[0] for r in rows(gone, "id")}
+    assert gone == set(range(1, 100))
