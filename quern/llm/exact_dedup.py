@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, stash, text_of
+from quern.llm.common import ROW, SPACES, only, row_key, stash, text_of
 
 
 def content_hash(text: Column) -> Column:
@@ -71,17 +71,15 @@ def exact_dedup(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The surviving rows with all their columns. Of rows that repeat an id and its text, one is returned."""
-    said = stash(exact_dedup(docs, id_col, text_col), "dedup")
-    lost = said.where("not kept").select(F.col("doc_id").alias("__id"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__repeat"))
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    out = docs.join(lost, same, "left_anti")
-    repeated = lost.where("__repeat").select("__id").distinct()
-    if repeated.isEmpty():
-        return out
-    order = Window.partitionBy(id_col).orderBy(F.char_length(text_of(text_col)).desc(), text_of(text_col))
-    again = docs.join(repeated, same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return out.unionByName(again)
+    """One row of every class with all its columns: the longest text, then the smallest id (null last), then any fixed row.
+
+    The decision is carried by a key of id and text, so rows that share an id or have none are judged one by one; of rows
+    that have both in common one is returned.
+    """
+    keyed = docs.select(row_key(id_col, text_col).alias(ROW), F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("body", normalised(F.col("t")))
+    order = F.struct((-F.char_length("t")).alias("n"), F.col("id").isNull().alias("unnamed"), "id", F.col(ROW).alias("key"))
+    best = keyed.groupBy(content_hash(F.col("body")).alias("h"), "body").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("times"))
+    return only(docs, stash(best.select(F.col("best.key").alias(ROW), "times"), "kept"), row_key(id_col, text_col))
 
 
 SQL = r"""

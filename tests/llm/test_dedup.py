@@ -162,3 +162,19 @@ def test_crowd_of_copies(spark):
     gone = near_copies.near_copies(keyed, made, classes=meet, crowd=4).join(made, "row")
     gone = {r[0] for r in rows(gone, "id")}
     assert gone == set(range(1, 100))
+
+
+def test_rows_without_own_id(spark):
+    """Rows that share an id or have none are judged one by one."""
+    rng = random.Random(7)
+    text = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(6)]
+    near = text[0] + " end"
+    data = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (7, text[3]), (7, text[4]), (3, text[4]), (7, text[5]), (7, text[5])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = [(1, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (3, text[4]), (7, text[5])]
+    assert sorted(rows(exact_dedup.keep_one(df)), key=str) == sorted(want, key=str)
+    assert sorted(rows(simhash.keep_one(df)), key=str) == sorted(want, key=str)
+    df = spark.createDataFrame([*want, (None, near), (7, near)], "doc_id long, text string")
+    assert sorted(rows(simhash.keep_one(df)), key=str) == sorted(want, key=str)
+    swapped = spark.createDataFrame([(None, text[0]), (9, near), (None, text[1])], "doc_id long, text string")
+    assert sorted(rows(simhash.keep_one(swapped)), key=str) == sorted([(9, near), (None, text[1])], key=str)
