@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.storage import shared_dir
+from quern.storage import delete, fresh_path, stash, stash_at
 
+__all__ = ["delete", "fresh_path", "stash", "stash_at"]
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Column of row_key().
-ROW = "__row"
+#: Bits of a sieve (8 MB broadcast) and of one of its pages.
+SIEVE, PAGE = 1 << 26, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,42 +25,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_of(name: str = "text") -> Column:
     """A text column with null read as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame to shared storage and read it back: lineage ends here, and a lost executor costs no rework."""
-    return stash_at(df, fresh_path(df.sparkSession, tag))
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows as one struct ``d`` beside further columns, so that no name of the table can clash with ours."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("d"), *[c.alias(k) for k, c in more.items()])
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """128 bits of a row's id and whole text: rows share it if they have both in common."""
-    return F.unhex(F.md5(F.concat_ws(":", F.md5(text_of(text_col)), F.col(id_col).cast("string"))))
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])
 
 
-def only(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
-    """One row, with all its columns, for each of ``keys``: (ROW, times), where times is how often docs has that key."""
-    keyed = docs.withColumn(ROW, key)
-    out = keyed.join(keys.select(ROW), ROW, "left_semi")
-    repeated = keys.where("times > 1").select(ROW)
-    if not repeated.isEmpty():
-        out = out.join(repeated, ROW, "left_anti").unionByName(out.join(repeated, ROW, "left_semi").dropDuplicates([ROW]))
-    return out.select(*docs.columns)
+def row_key(id_col: str, text_col: str) -> dict[str, Column]:
+    """``k`` and ``k2``, 128 bits of a row's id and whole text: rows share them if they have both in common."""
+    both = text_of(text_col), F.col(quoted(id_col))
+    return {"k": F.xxhash64(*both), "k2": F.xxhash64(F.lit("k2"), *both)}
 
 
-def stash_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sieve(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE) -> DataFrame:
+    """``rows`` with ``maybe``: false only where no row of ``keys`` (one bigint column) has the value of ``column``.
 
+    A bitmap over the low bits of the keys is broadcast, ``bits / 8`` bytes at most, whatever the number of keys. So
+    long texts that no key asks for are never shuffled. With far more keys than bits nearly all rows pass and
+    what comes after does all the work, as it would without a sieve.
+    """
+    (key,) = keys.columns
+    bit = lambda c: F.pmod(F.col(c), F.lit(bits))
+    pages = keys.select(F.floor(bit(key) / PAGE).alias("__page"), (bit(key) % PAGE).alias("p")).groupBy("__page").agg(F.bitmap_construct_agg("p").alias("__bits"))
+    place = bit(column) % PAGE
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(pages), F.floor(bit(column) / PAGE) == F.col("__page"), "left")
+    return found.withColumn("maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("__page", "__bits")
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a stash that no later plan reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+def without(docs: DataFrame, id_col: str, text_col: str, lost: DataFrame) -> DataFrame:
+    """The rows but for those that ``lost`` (k, k2, stays) names by row_key(): where ``stays``, one of them stays.
+
+    Only rows that pass the sieve are shuffled, to be compared with the list in full.
+    """
+    rows = sieve(packed(docs, **row_key(id_col, text_col)), "k", lost.select("k"))
+    told = rows.where("maybe").join(lost, ["k", "k2"], "left")
+    out = rows.where("not maybe").select("d").unionByName(told.where("stays is null").select("d"))
+    if not lost.where("stays").isEmpty():
+        out = out.unionByName(told.where("stays").dropDuplicates(["k", "k2"]).select("d"))
+    return unpacked(out, docs)
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near copies by shingle sets: who meets by MinHash bands and SimHash classes, who goes by the exact Jaccard similarity.
+"""Near copies by shingle sets: who meets by SimHash classes and MinHash bands, who goes by the exact Jaccard similarity.
 
 A 64-bit fingerprint of a pair at similarity 0.8 differs in about 10 bits, too many to block on, so SimHash classes
 alone miss most near copies. Each row also gets 20 bands of 5 MinHash values, which a pair at similarity s shares
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, stash, words
+from quern.llm.common import map_arrow, sieve, stash, words
 
 BANDS, DEPTH = 20, 5
 _RNG = np.random.default_rng(42)
@@ -46,25 +46,44 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, DEPTH))]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int, fingerprint: Callable) -> Iterator[pa.RecordBatch]:
+#: Rows that are worked on together, so that memory stays bounded whatever the batches are.
+ROWS = 256
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() for t in batch.column(2)]
-        sets = [shingles(t, width) for t in texts]
-        buckets = [np.array(bands(s), np.uint64).view(np.int64) for s in sets]
-        prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        arrays = [*batch.columns[:2], pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), pa.array(buckets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "fp", "m", "buckets"])
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, fingerprint: Callable) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        sizes, buckets, prints = [], [], []
+        for text in batch.column(3):
+            text = text.as_py()
+            found = shingles(text, width)
+            sizes.append(len(found))
+            buckets.append(np.array(bands(found), np.uint64))
+            prints.append(fingerprint(text))
+        arrays = [*batch.columns[:3], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(buckets)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["k", "k2", "id", "fp", "m", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "set"])
+    for batch in _slices(batches):
+        sets = [shingles(t.as_py(), width) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(sets)], names=["k", "k2", "set"])
 
 
 def sketches(rows: DataFrame, fingerprint: Callable, width: int = 5) -> DataFrame:
-    """(key, id, fp, m, buckets, row) of rows (key, id, text): number of shingles, band keys, a number for each row. Stashed."""
-    made = map_arrow(rows, partial(_sketch, width=width, fingerprint=fingerprint), "key binary, id long, fp long, m int, buckets array<long>")
+    """(k, k2, id, fp, m, buckets, row) of rows (k, k2, id, text): number of shingles, band keys, a number for each row. Stashed."""
+    made = map_arrow(rows, partial(_sketch, width=width, fingerprint=fingerprint), "k long, k2 long, id long, fp long, m int, buckets array<long>")
     return stash(made.withColumn("row", F.monotonically_increasing_id()), "sketch")
 
 
@@ -84,32 +103,42 @@ def _meetings(members: DataFrame, crowd: int, pivots: int) -> tuple[DataFrame, D
 
 
 def near_copies(rows: DataFrame, made: DataFrame, width: int = 5, similarity: float = 0.8, classes: DataFrame | None = None, crowd: int = 64) -> DataFrame:
-    """(row): the rows that go, by their numbers in ``made``, the sketches of ``rows`` (key, id, text).
+    """(k, k2, stays): the rows that go, and, with ``stays``, those repeated rows of which one stays.
 
-    Rows are ordered by id (null last), key, number. A row goes if its shingle set has at least ``similarity`` in
-    common with an earlier row's that it meets and that has not gone itself in an earlier round. At the end no two rows
-    that stay and meet are near copies, and a chain of near copies leads from each row that went to an earlier one that
-    stays. Of rows of one key only the least is looked at. classes: further (row, bucket) in which rows meet.
+    made: the sketches of ``rows`` (k, k2, id, text). Rows are ordered by id (null last), key, number. A row goes if its shingle
+    set has at least ``similarity`` in common with an earlier row's that it meets and that has not gone itself in an
+    earlier round. At the end no two rows that stay and meet are near copies, and a chain of near copies leads from each
+    row that went to an earlier one that stays. Of rows of one key only the least is looked at. classes: further (row,
+    bucket) in which rows meet.
     """
-    ones = made.groupBy("key").agg(F.min(F.struct("row", "id", "m", "buckets")).alias("o")).select("key", "o.*")
+    repeated = made.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("least")).where("times > 1")
+    repeated = stash(repeated.select("k", "k2", "least"), "repeated")
+    ones = made.join(repeated, ["k", "k2"], "left").where("least is null or least = row").drop("least")
     meets = ones.select("row", F.explode("buckets").alias("bucket"))
     if classes is not None:
         meets = meets.unionByName(classes.select("row", "bucket").join(ones.select("row"), "row", "left_semi"))
     shared = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    at = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "row", "m").alias("at")
+    at = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k", "k2", "row", "m").alias("at")
     left = stash(meets.join(shared, "bucket").join(ones.drop("buckets"), "row").select("bucket", at).distinct(), "meets")
     # Only rows that meet others are read again, for their sets; rows of one key have one text.
-    who = left.select(F.col("at.key").alias("key")).distinct()
-    texts = rows.select("key", "text").join(who, "key", "left_semi")
-    sets = stash(map_arrow(texts, partial(_sets, width=width), "key binary, set array<long>"), "sets").dropDuplicates(["key"])
+    who = left.select(F.col("at.k").alias("k")).distinct()
+    texts = sieve(rows.select("k", "k2", "text"), "k", who).where("maybe").select("k", "k2", "text")
+    sets = map_arrow(texts, partial(_sets, width=width), "k long, k2 long, set array<long>")
+    sets = stash(sets if repeated.isEmpty() else sets.dropDuplicates(["k", "k2"]), "sets")
     gone, turn = None, 0
     while not left.isEmpty():
         pairs, rest = _meetings(left, crowd if turn else 2, 4**turn)
         ratio = F.least("a.m", "b.m") / F.greatest("a.m", "b.m")  # never less than the similarity
-        pairs = pairs.where(ratio >= similarity).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("b.row").alias("row")).distinct()
+        pairs = pairs.where(ratio >= similarity).select(
+            *[F.col(f"{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("k", "k2")], F.col("b.row").alias("row")
+        ).distinct()
         for s in "ab":
-            pairs = pairs.join(sets.select(F.col("key").alias(s), F.col("set").alias(f"set_{s}")), s)
-        now = stash(pairs.where(_alike(similarity)).select("row").distinct(), "gone")
+            pairs = pairs.join(sets.select(F.col("k").alias(f"k_{s}"), F.col("k2").alias(f"k2_{s}"), F.col("set").alias(f"set_{s}")), [f"k_{s}", f"k2_{s}"])
+        now = stash(pairs.where(_alike(similarity)).select("row", F.col("k_b").alias("k"), F.col("k2_b").alias("k2")).distinct(), "gone")
         gone = now if gone is None else gone.unionByName(now)
-        left, turn = stash(rest.join(now, F.col("at.row") == now["row"], "left_anti"), "meets"), turn + 1
-    return made.select("row").limit(0) if gone is None else gone.distinct()
+        left, turn = stash(rest.join(now.select("row"), F.col("at.row") == now["row"], "left_anti"), "meets"), turn + 1
+    stay = repeated.select("k", "k2", F.lit(True).alias("stays"))
+    if gone is None:
+        return stay
+    gone = gone.select("k", "k2", F.lit(False).alias("stays")).distinct()
+    return gone.unionByName(stay.join(gone, ["k", "k2"], "left_anti"))

@@ -7,15 +7,17 @@ its own point and the points one step away (33 of them for 16 segments), and the
 join on grid points, followed by the exact Hamming test. Exact copies, and any texts of one fingerprint, are one
 point before all that.
 
-A grid point with more than ``crowd`` fingerprints is not paired up. Its members are embedded again with segments
-of one bit, where the bound is the Hamming distance itself: members that share a point are linked by definition,
-there are at most 65 of them, and each is linked to the least. So no link is lost and no group yields all its pairs.
+A grid point with more than ``crowd`` fingerprints is not paired up. Its members are embedded again on a finer grid, of
+32 segments: of random fingerprints the central point of 16 segments gathers over 64 from some ten million on, that of 32 not before
+10^10. Members of points that are crowded even there get segments of one bit, where the bound is the Hamming
+distance itself: members that share a point are linked by definition, there are at most 65 of them, and each is linked to the
+least. So no link is lost and no group yields all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import ROW, map_arrow, only, row_key, stash, text_of
+from quern.llm.common import delete, fresh_path, map_arrow, quoted, row_key, stash, stash_at, text_of, without
 from quern.llm.components import components
 from quern.llm.near_copies import near_copies, sketches
 
@@ -59,7 +61,7 @@ def _prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long. Null text counts as empty and has fingerprint zero."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return map_arrow(rows, partial(_prints, width=width), "doc_id long, fp long")
 
 
@@ -70,8 +72,8 @@ def hex16(fp: Column) -> Column:
 def _points(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
     """(key, via, fp): the grid points within one step. via is 0 at the vector itself, else +-(segment + 1)."""
     bits = 64 // segments
-    room = bits.bit_length()  # bits that hold a count of 0..bits
-    assert room * segments <= 64, "the vector doesn't fit a long"
+    room = 64 // segments  # bits of the key for each segment; a step adds or takes at most one
+    assert bits.bit_length() <= room, "the vector doesn't fit a long"
     shift = (np.arange(segments) * bits).astype(np.uint64)
     place = np.int64(1) << (np.arange(segments, dtype=np.int64) * room)
     for batch in batches:
@@ -96,22 +98,34 @@ def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(flips)).view(np.int64)), pa.array(point)], names=["fp", "point"])
 
 
-def near_pairs(fps: DataFrame, segments: int = 16, crowd: int = 64) -> DataFrame:
+def _met(fps: DataFrame, segments: int) -> tuple[DataFrame, str]:
+    """(key, via, fp, n): the grid points of several fingerprints and how many they have, written out, and where."""
+    points = map_arrow(fps.select("fp"), partial(_points, segments=segments), "key long, via byte, fp long")
+    path = fresh_path(fps.sparkSession, "met")
+    return stash_at(points.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), path), path
+
+
+def near_pairs(fps: DataFrame, segments: tuple[int, ...] = (16, 32), crowd: int = 64) -> tuple[DataFrame, list[str]]:
     """Links (a, b) between distinct fingerprints at 2 or fewer differing bits, enough to reach all that are linked.
 
-    fps has one row for each distinct fingerprint. Outside crowded grid points the links are all there are.
+    fps has one row for each distinct fingerprint. Outside crowded grid points the links are all there are. Also the paths of the
+    tables that the links are read from, to be deleted once they have been.
     """
-    points = map_arrow(fps.select("fp"), partial(_points, segments=segments), "key long, via byte, fp long")
-    met = points.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    met = stash(met, "met")
-    x, y = (met.where(F.col("n") <= crowd).select("key", F.col("via").alias(f"via_{s}"), F.col("fp").alias(s)) for s in "ab")
-    # A pair at distance 0 meets at its common vector, at distance 1 at the vector of the lesser fingerprint.
-    once = (F.col("via_a") == 0) | ((F.col("via_b") != 0) & (F.col("via_a") != F.col("via_b")))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2) & once).select("a", "b")
-    dense = met.where(F.col("n") > crowd).select("fp").distinct()
-    points = map_arrow(dense, _flips, "fp long, point long")
-    star = points.withColumn("a", F.min("fp").over(Window.partitionBy("point"))).where("a <> fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(star).distinct()
+    links, paths = [], []
+    for grid in segments:
+        met, path = _met(fps, grid)
+        paths.append(path)
+        x, y = (met.where(F.col("n") <= crowd).select("key", F.col("via").alias(f"via_{s}"), F.col("fp").alias(s)) for s in "ab")
+        # A pair at distance 0 meets at its common vector, at distance 1 at the vector of the lesser fingerprint.
+        once = (F.col("via_a") == 0) | ((F.col("via_b") != 0) & (F.col("via_a") != F.col("via_b")))
+        links.append(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2) & once).select("a", "b"))
+        fps = met.where(F.col("n") > crowd).select("fp").distinct()
+        if fps.isEmpty():
+            break
+    else:
+        points = map_arrow(fps, _flips, "fp long, point long")
+        links.append(points.withColumn("a", F.min("fp").over(Window.partitionBy("point"))).where("a <> fp").select("a", F.col("fp").alias("b")))
+    return reduce(DataFrame.unionByName, links).distinct(), paths
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -128,8 +142,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def classed(prints: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of stashed fingerprints."""
+    spark = prints.sparkSession
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(near_pairs(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    pairs, paths = near_pairs(nodes.select("fp"))
+    linked = components(pairs).withColumnRenamed("node", "fp")
+    for path in paths:
+        delete(spark, path)
     roots = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("reach"))
     linked = stash(linked.join(roots, "root").select("fp", "reach"), "linked")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"))
@@ -143,12 +161,11 @@ def keep_one(
 
     Near copies have at least ``similarity`` of their distinct shingles of ``width`` words in common, measured on the
     whole texts. Candidates are the members of a SimHash class of that width and of a MinHash band (``near_copies``). The smallest
-    id stays, a row without an id goes before one with an id does, of rows with id and text in common one stays.
+    id stays, a row without an id goes before one with an id does, of rows with id and text in common one stays. Null
+    text counts as empty, and all texts without words are copies of each other. An empty table gives no rows; columns of
+    any name come back as they were.
     """
-    key = row_key(id_col, text_col)
-    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(*[c.alias(k) for k, c in row_key(id_col, text_col).items()], F.col(quoted(id_col)).cast("long").alias("id"), text_of(text_col).alias("text"))
     made = sketches(rows, partial(fingerprint, width=width), width)
     classes = classed(made.select(F.col("row").alias("doc_id"), "fp")).select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("bucket"))
-    gone = near_copies(rows, made, width, similarity, classes)
-    stay = made.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("times")).join(gone, "row", "left_anti")
-    return only(docs, stash(stay.select(F.col("key").alias(ROW), "times"), "kept"), key)
+    return without(docs, id_col, text_col, stash(near_copies(rows, made, width, similarity, classes), "lost"))

@@ -89,8 +89,8 @@ def test_simhash_links(spark):
     values = sorted(values | {0, (1 << 64) - 1, 1, 3})
     want = classes(values)
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    for crowd in (64, 4, 0):
-        pairs = simhash.near_pairs(spark.createDataFrame(signed, "fp long"), crowd=crowd).collect()
+    for crowd, grids in ((64, (16, 32)), (4, (16, 32)), (0, (16, 32)), (0, (8,)), (4, (32,))):
+        pairs = simhash.near_pairs(spark.createDataFrame(signed, "fp long"), grids, crowd)[0].collect()
         assert all((a ^ b).bit_count() <= 2 or bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 2 for a, b in pairs) and len(pairs) == len(set(pairs))
         index = {s[0]: i for i, s in enumerate(signed)}
         left = list(range(len(values)))
@@ -156,10 +156,10 @@ def test_crowd_of_copies(spark):
     near = [" ".join([*base[:i], "x", *base[i + 1:]]) for i in range(100)]
     unlike = [" ".join(f"v{rng.randrange(9999)}" for _ in range(50)) for _ in range(30)]
     df = documents(spark, near + unlike, repeat=False)
-    keyed = df.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), "text")
+    keyed = df.select(*[c.alias(k) for k, c in row_key("doc_id", "text").items()], F.col("doc_id").alias("id"), "text")
     made = near_copies.sketches(keyed, simhash.fingerprint)
     meet = made.select("row", F.lit(1).cast("long").alias("bucket"))
-    gone = near_copies.near_copies(keyed, made, classes=meet, crowd=4).join(made, "row")
+    gone = near_copies.near_copies(keyed, made, classes=meet, crowd=4).join(made, ["k", "k2"])
     gone = {r[0] for r in rows(gone, "id")}
     assert gone == set(range(1, 100))
 
@@ -178,3 +178,69 @@ def test_rows_without_own_id(spark):
     assert sorted(rows(simhash.keep_one(df)), key=str) == sorted(want, key=str)
     swapped = spark.createDataFrame([(None, text[0]), (9, near), (None, text[1])], "doc_id long, text string")
     assert sorted(rows(simhash.keep_one(swapped)), key=str) == sorted([(9, near), (None, text[1])], key=str)
+
+
+CLASH = "doc_id long, text string, __id long, __gone int, __row int, maybe boolean, stays int, k string, k2 int, d int, h int, sha int, `a.b` int, `od``d` int"
+
+
+def brute_near(data, width=5):
+    """What stays by the definition: in order of id (null last), a row goes for an earlier one that stays or went."""
+    order = sorted(range(len(data)), key=lambda i: (data[i][0] is None, data[i][0] or 0))
+    stay = []
+    for i in order:
+        if not any(jaccard(data[i][1] or "", data[j][1] or "", width) >= 0.8 for j in order[:order.index(i)]):
+            stay.append(i)
+    return stay
+
+
+def test_clashing_columns(spark):
+    """Names that the operators use inside, names with dots and quotes, null and repeated ids, ties, repeated rows."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(8)]
+    data = [(1, texts[0]), (1, texts[1]), (None, texts[0]), (None, texts[2]), (2, texts[2] + " "), (3, None), (4, ""), (5, texts[3]), (5, texts[3]), (6, texts[3])]
+    df = spark.createDataFrame([(*r, 1, 2, 3, True, 4, "k", 5, 6, 7, 8, 9, 10) for r in data], CLASH)
+    for got in (exact_dedup.keep_one(df), simhash.keep_one(df)):
+        assert got.columns == df.columns and [t for _, t in got.dtypes] == [t for _, t in df.dtypes]
+        found = rows(got)
+        assert all(r[2:] == (1, 2, 3, True, 4, "k", 5, 6, 7, 8, 9, 10) for r in found)
+        assert sorted(body(r[1]) for r in found) == sorted({body(t) for _, t in data})
+        assert {r[0] for r in found if r[1] and r[1].strip() in (texts[2], texts[3])} == {2, 5}
+        assert got.where("__gone = 2").count() == len(found)
+    assert exact_dedup.keep_one(df.limit(0)).isEmpty() and simhash.keep_one(df.limit(0)).isEmpty()
+
+
+def test_stays_as_by_brute_force(spark):
+    """Mixed copies of few texts: the pairs that meet are all pairs at 0.8 or more, so what stays is what brute force keeps."""
+    rng = random.Random(9)
+    data = []
+    for k in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 120))]
+        for _ in range(rng.randrange(1, 4)):
+            copy = list(base)
+            if rng.random() < 0.6:
+                copy[rng.randrange(len(copy))] = "new"
+            data.append((rng.choice([None, rng.randrange(50), 1000 + len(data)]), " ".join(copy)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert all(jaccard(a[1], b[1]) < 0.8 for i, a in enumerate(kept) for b in kept[:i])
+    for row in data:  # what goes has a near copy, and clean texts stay
+        if row not in kept:
+            assert any(other != row and jaccard(row[1], other[1]) >= 0.8 for other in data)
+    alone = [r for r in data if not any(o is not r and jaccard(r[1], o[1]) >= 0.8 for o in data)]
+    assert set(alone) <= set(kept)
+
+
+def test_sieve(spark):
+    from quern.llm.common import sieve
+
+    rng = random.Random(1)
+    keys, others = ([rng.getrandbits(64) - (1 << 63) for _ in range(500)] for _ in range(2))
+    keys += [0, -1, (1 << 63) - 1, -(1 << 63), 32767, 32768]
+    rows_ = spark.createDataFrame([(k, True) for k in keys] + [(k, False) for k in others], "x long, want boolean")
+    for bits in (1 << 26, 1 << 15, 1 << 8):
+        got = sieve(rows_, "x", spark.createDataFrame([(k,) for k in keys], "k long"), bits).collect()
+        assert len(got) == len(keys) + 500 and all(r.maybe for r in got if r.want)
+        if bits > 1 << 20:
+            assert not any(r.maybe for r in got if not r.want)
+    none = sieve(rows_, "x", spark.createDataFrame([], "k long"))
+    assert not none.where("maybe").count() and none.count() == len(keys) + 500
