@@ -46,7 +46,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"), max_owners=2).drop("text_hash")
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), max_owners=2, max_repos=3).drop("text_hash")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

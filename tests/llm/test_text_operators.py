@@ -26,7 +26,7 @@ SECRETS = [
 
 def test_secrets(spark):
     df = documents(spark, SECRETS)
-    got = secrets.find_secrets(df, max_owners=1)
+    got = secrets.find_secrets(df, max_owners=1).cache()
     for doc_id, text, r in ((d, t, r) for (d, t) in rows(df, "doc_id", "text") for r in got.where(f"doc_id <=> {'null' if d is None else d}").limit(1).collect()):
         spans = base_spans(text)
         base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
@@ -41,6 +41,64 @@ def test_secrets(spark):
     assert dict(rows(secrets.mask_secrets(df), "doc_id", "n_chars"))[2] == 8
 
 
+def brute_owned(data, max_owners, max_repos):
+    """Spans, verdicts and counts of (text, owner, repo) rows, from Python's patterns and sets."""
+    seen, uses = [], {}
+    for text, owner, repo in data:
+        text = text or ""
+        base = [(m.start(), 0, m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+        base += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        base += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        more = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text)]
+        more = [x for x in more if re.search("[A-Za-z]", x[3]) and sum(c.isdigit() for c in x[3]) >= 3 and len(set(x[3])) >= 10 and not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        seen.append((sorted(base), more))
+        for x in base + more:
+            uses.setdefault(x[3], set()).add((owner or "", repo or ""))
+    out = []
+    for base, more in seen:
+        told = []
+        for a, k, b, v in sorted(base + more):
+            owners, repos = len({o for o, _ in uses[v]}), len(uses[v])
+            told.append((k, a, b, owners, repos, "copied" if owners > max_owners or repos > max_repos else "specific"))
+        spans = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for k, a, b, *_, v in told if k < 3 or v == "specific")
+        out.append((spans, ",".join(":".join(map(str, (secrets.KINDS[t[0]], *t[1:]))) for t in told)))
+    return out
+
+
+def test_ownership(spark):
+    """Owners and repositories decide: many owners, or one owner's many repositories, make a value an example."""
+    values = [f"zQ7xV92kLmN4pR8sT1u{c}" for c in "ABCDEF"]
+    data = [(f"see {values[0]} here", f"o{i}", "r") for i in range(3)] + [(f"x {values[1]}", "o1", f"r{i}") for i in range(4)] + [(f"x {values[2]}", "o1", f"r{i}") for i in range(3)]
+    data += [(f"token={values[3]} and {values[4]}", "o1", None), (f"{values[4]} {values[4]}", None, "r"), (f"secret: {values[0]}", "o9", "r"), (None, None, None), ("", "o1", "r")]
+    data += [("0123456789abcdef" * 2 + " " + values[5], "o1", "r")] * 5
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "doc_id long, text string, source string, lang string").repartition(3)
+    got = secrets.find_secrets(df, max_owners=2, max_repos=3).orderBy("doc_id").collect()
+    want = brute_owned(data, 2, 3)
+    assert [(r.spans, r.verdicts) for r in got] == want
+    assert want[0][0] == want[3][0] == "" and want[7][0] and ":4:copied" in want[3][1] and want[13] == ("", "")
+    for drop in ("source", "lang"):  # a table without the column
+        assert secrets.find_secrets(df.drop(drop)).count() == len(data) and secrets.mask_secrets(df.drop(drop)).count() == len(data)
+
+
+def test_many_spans(spark):
+    """Offsets of thousands of matches, over the edges of the folds."""
+    text = " ".join(f"é token=abcdefgh{i:05} {i:032x}" for i in range(1500))
+    got = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(text))
+    assert got.n_assign == got.n_hex == 1500 and got.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_mask_keeps_columns(spark):
+    """Clashing and odd column names, null and repeated ids, repeated rows."""
+    data = [(1, "token=abcdefghij x"), (1, "none here"), (None, "token=abcdefghij y"), (None, None), (2, "token=abcdefghij x"), (2, "token=abcdefghij x")]
+    df = spark.createDataFrame([(*r, 1, 2, "s", 4, True, 5, "k", 99) for r in data], "doc_id long, text string, __id long, __h int, spans string, t int, maybe boolean, `a.b` int, d string, n_chars int")
+    got = secrets.mask_secrets(df)
+    assert got.dtypes == df.dtypes
+    want = [(i, t and t.replace("token=abcdefghij", "[SECRET]"), 1, 2, "s", 4, True, 5, "k", 10 if t and "token" in t else 99) for i, t in data]
+    assert sorted(rows(got), key=str) == sorted(want, key=str)
+    assert secrets.mask_secrets(df.limit(0)).isEmpty()
+
+
 def brute_base(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
