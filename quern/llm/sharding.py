@@ -1,21 +1,23 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups of equal texts are the items. Sizes of groups are summed on the cluster; what reaches the driver is
-bounded by parameters and not by the corpus: every group of at least 1/GRAIN of a shard by itself (at most
-``n_shards * GRAIN`` of them), and the sum of the smaller groups in each of ``BINS`` hash ranges, which enter
-the packing as one item each. Both kinds go, largest first, into the bin whose remaining capacity is the
-tightest that still holds them; a balanced tree finds that bin. Assignments return as two broadcast tables of
-that bounded size, so texts are never shuffled.
+Groups of equal texts are the items, at every scale. The packing needs their sizes only: sizes are counted on the cluster,
+and the driver packs runs of (size, count), largest first, each item into the bin whose remaining capacity is the tightest
+that still holds it; a balanced tree finds that bin, and since it stays the tightest for items of one size, a run
+enters it as a whole, as far as it fits. Sizes under 4096 are runs of their own; of larger ones those that agree in their 12
+leading bits share a run, whose items count with their mean. So there are at most 2,048 runs for each doubling of
+the size, whatever the corpus. The groups of a run are then numbered and dealt to the run's bins by number, in slices, so that
+no task sees a whole run; texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import stash, text_of
+from quern.llm.common import quoted, stash, text_of
 
-GRAIN, BINS = 1000, 16384
+#: Leading bits of a size that tell runs apart, and steps of the capacities that are tried, by the mean load.
+EXACT, STEPS = 12, 1 << 14
 
 
 class RoomTree:
@@ -85,49 +87,77 @@ class RoomTree:
         return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """Bin of every item and the number of bins, for bins of a fixed capacity. A larger item has a bin of its own."""
-    tree, where, bins = RoomTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        room = tree.tightest(sizes[i])
-        if room is None:
-            room, bins = (max(capacity, sizes[i]), bins), bins + 1
-        else:
-            tree.remove(room)
-        where[i] = room[1]
-        tree.add((room[0] - sizes[i], room[1]))
-    return where, bins
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """(bin, items) of every run of (size, items), which must come in falling order of size, in bins of a fixed capacity.
+
+    A larger item has a bin of its own. None if that takes more than ``most`` bins.
+    """
+    tree, bins, where = RoomTree(), 0, []
+    for size, left in runs:
+        dealt = []
+        while left:
+            room = tree.tightest(size)
+            if room is None:
+                if bins == most:
+                    return None
+                room, bins = (max(capacity, size), bins), bins + 1
+            else:
+                tree.remove(room)
+            n = min(left, room[0] // size)
+            dealt.append((room[1], n))
+            tree.add((room[0] - n * size, room[1]))
+            left -= n
+        where.append(dealt)
+    return where
 
 
-def even_bins(sizes: list[int], n_bins: int) -> list[int]:
-    """Bins for items so that ``n_bins`` of the least common capacity hold them.
+def even_bins(runs: list[tuple[int, int]], n_bins: int) -> list[list[tuple[int, int]]]:
+    """(bin, items) of every run so that ``n_bins`` of the least common capacity hold them all.
 
     An item over the mean of what is left can't be evened out: it gets a bin to itself, and the rest is shared out
-    among the other bins. Their capacity is the least multiple of a 2000th over the mean at which best-fit-decreasing
+    among the other bins. Their capacity is the least multiple of a STEPS-th over the mean at which best-fit-decreasing
     needs no more bins than there are.
     """
-    order, own, total = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), {}, sum(sizes)
-    while order and n_bins - len(own) > 1 and sizes[order[0]] * (n_bins - len(own)) >= total:
-        i = order.pop(0)
-        own[i], total = len(own), total - sizes[i]
-    left = n_bins - len(own)
-    rest = [sizes[i] for i in order]
-    fits = lambda k: best_fit_decreasing(rest, -(-total * (2000 + k) // (2000 * left)))
-    low, high = 0, 1
-    while fits(high)[1] > left:
-        low, high = high, high * 2
-    while high - low > 1 and high > 1:
+    order, own, total = sorted(range(len(runs)), key=lambda i: (-runs[i][0], i)), 0, sum(s * n for s, n in runs)
+    where: list[list[tuple[int, int]]] = [[] for _ in runs]
+    left = [n for _, n in runs]
+    for i in order:
+        while left[i] and n_bins - own > 1 and runs[i][0] * (n_bins - own) >= total:
+            where[i].append((own, 1))
+            own, total, left[i] = own + 1, total - runs[i][0], left[i] - 1
+    rest, bins = [(runs[i][0], left[i]) for i in order], n_bins - own
+    fits = lambda k: best_fit_decreasing(rest, -(-total * (STEPS + k) // (STEPS * bins)), bins)
+    low, high = -1, 0
+    while (found := fits(high)) is None:
+        low, high = high, max(1, high * 2)
+    while high - low > 1:
         mid = (low + high) // 2
-        low, high = (low, mid) if fits(mid)[1] <= left else (mid, high)
-    where = fits(high)[0]
-    return [own[i] if i in own else 0 for i in range(len(sizes))] if not order else [
-        x for _, x in sorted([*own.items(), *((i, len(own) + b) for i, b in zip(order, where))])
-    ]
+        if (less := fits(mid)) is None:
+            low = mid
+        else:
+            high, found = mid, less
+    for i, dealt in zip(order, found):
+        where[i] += [(own + b, n) for b, n in dealt]
+    return where
+
+
+def run_of(size: Column) -> Column:
+    """A size with all but its EXACT leading bits cleared."""
+    drop = F.greatest(F.length(F.bin(size)) - EXACT, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
+
+
+def numbered(rows: DataFrame, keys: list[str], slice_of: Column, order: list[str], name: str) -> DataFrame:
+    """Number the rows of every key from 0: those of each slice by themselves, after those of the slices before it."""
+    sliced = rows.withColumn("slice", slice_of)
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rank = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(*order)) - 1
+    return sliced.withColumn("rank", rank).join(starts, [*keys, "slice"]).withColumn(name, (F.col("start") + F.col("rank")).cast("long")).drop("slice", "rank", "start")
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-    grain: int = GRAIN, bins: int = BINS, rows_per_slice: int = 100_000,
+    docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rows_per_slice: int = 100_000,
 ) -> DataFrame:
     """Shard of every row: doc_id, size, text_crc32, law, shard, slot, grown_shard. The law is ``bytes``.
 
@@ -140,33 +170,25 @@ def shard_documents(
     spark = docs.sparkSession
     text = text_of(text_col)
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
+        F.col(quoted(id_col)).alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"),
     )
     rows = stash(rows, "sizes")
-    groups = stash(rows.groupBy("g").agg(F.sum("size").alias("size")), "groups")
-    total, count = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    n_rows = rows.count()
-    least = max(1, total // (n_shards * grain))
-    bucket = F.pmod(F.col("g"), F.lit(bins)).cast("int")
-    heavy = [tuple(r) for r in groups.where(F.col("size") > least).orderBy("g").collect()]  # at most n_shards * grain
-    light = [tuple(r) for r in groups.where(F.col("size") <= least).groupBy(bucket.alias("b")).agg(F.sum("size")).orderBy("b").collect()]
-    where = even_bins([s for _, s in heavy] + [s for _, s in light], n_shards)
-    by_group = spark.createDataFrame([(g, w) for (g, _), w in zip(heavy, where)], "g long, s1 int")
-    by_bucket = spark.createDataFrame([(b, w) for (b, _), w in zip(light, where[len(heavy):])], "b int, s2 int")
-    placed = (
-        rows.withColumn("b", bucket).join(F.broadcast(by_group), "g", "left").join(F.broadcast(by_bucket), "b", "left")
-        .withColumn("shard", F.coalesce("s1", "s2"))
-    )
-    # Rows of a shard are numbered in slices, so that no task sorts a whole shard.
-    slices = max(1, n_rows // (n_shards * rows_per_slice) + 1)
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
-    order = Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")
-    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "start", F.coalesce(F.sum("n").over(before), F.lit(0))
-    ).drop("n")
-    return placed.withColumn("rank", F.row_number().over(order) - 1).join(starts, ["shard", "slice"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    groups = stash(rows.groupBy("g").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).withColumn("run", run_of(F.col("size"))), "groups")
+    counted = groups.groupBy("run").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("rows").alias("r")).orderBy(F.desc("run")).collect()  # bounded: 2^EXACT runs for each doubling
+    dealt = even_bins([(-(-c.s // c.n), c.n) for c in counted], n_shards)
+    table = []
+    for c, parts in zip(counted, dealt):
+        at = 0
+        for shard, n in parts:
+            table.append((c.run, at, at + n, shard))
+            at += n
+    parts = spark.createDataFrame(table, "run long, first long, stop long, shard int")
+    slices = lambda n: max(1, n // (n_shards * rows_per_slice) + 1)
+    ranked = numbered(groups.select("run", "g"), ["run"], F.pmod("g", F.lit(slices(sum(c.n for c in counted)))).cast("int"), ["g"], "number")
+    homes = ranked.join(F.broadcast(parts), (ranked["run"] == parts["run"]) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("stop"))).select("g", "shard")
+    # Both sides are read back, so the join may be split where a group is hot.
+    placed = stash(rows.join(stash(homes, "homes"), "g").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    n_slices = slices(sum(c.r for c in counted))
+    out = numbered(placed, ["shard"], F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slices)).cast("int"), ["doc_id", "text_crc32", "size"], "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

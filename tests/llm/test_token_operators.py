@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.fs as fs
 import pytest
+from pyspark.sql import functions as F
 from helpers import documents, empty, rows
 
 from quern.llm import packing, piece_sampling, sharding, token_store
@@ -121,18 +122,45 @@ def brute_best_fit(sizes, capacity):
     return where, len(room)
 
 
+def runs_of(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def brute_even(sizes, n_bins):
+    """Sizes in each bin: items over the mean of the rest alone, then the least capacity, tried one step after the other."""
+    left, own = sorted(sizes, reverse=True), []
+    while left and n_bins - len(own) > 1 and left[0] * (n_bins - len(own)) >= sum(left):
+        own.append([left.pop(0)])
+    bins, total, k = n_bins - len(own), sum(left), 0
+    while True:
+        where, used = brute_best_fit(left, -(-total * (sharding.STEPS + k) // (sharding.STEPS * bins)))
+        if used <= bins:
+            return own + [[s for s, w in zip(left, where) if w == b] for b in range(bins)]
+        k += 1
+
+
 def test_best_fit():
     rng = np.random.default_rng(0)
     for n in (0, 1, 50, 400):
-        sizes = rng.integers(1, 100, n).tolist()
-        assert sharding.best_fit_decreasing(sizes, 120) == brute_best_fit(sizes, 120)
-    for sizes in ([1000] + [1] * 500, rng.integers(1, 50, 3000).tolist(), [5], [7, 7, 7], []):
-        where = sharding.even_bins(sizes, 5)
-        load = [sum(s for s, w in zip(sizes, where) if w == b) for b in range(5)]
-        assert all(0 <= w < 5 for w in where)
-        if len(sizes) > 100:
-            small = sorted(load)[:-1] if sizes[0] == 1000 else load
-            assert max(small) - min(small) <= 0.02 * max(small) + 2
+        sizes = sorted(rng.integers(1, 100, n).tolist(), reverse=True)
+        where, bins = brute_best_fit(sizes, 120)
+        got = sharding.best_fit_decreasing(runs_of(sizes), 120)
+        assert [b for dealt in got for b, k in dealt for _ in range(k)] == where
+        assert n == 0 or sharding.best_fit_decreasing(runs_of(sizes), 120, bins - 1) is None
+    for sizes in ([1000] + [1] * 500, rng.integers(1, 50, 800).tolist(), [5], [7, 7, 7], [], [9, 9] + [1] * 20):
+        dealt = sharding.even_bins(runs_of(sizes), 5)
+        got = [[] for _ in range(5)]
+        for (size, n), parts in zip(runs_of(sizes), dealt):
+            assert sum(k for _, k in parts) == n
+            for b, k in parts:
+                got[b] += [size] * k
+        assert got == brute_even(sizes, 5)
+
+
+def test_runs(spark):
+    sizes = [8, 4095, 4096, 4097, 8191, 8192, 10_000_001, (1 << 40) + 12345]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "s long").select(sharding.run_of(F.col("s"))).collect()]
+    assert got == [s >> max(0, s.bit_length() - 12) << max(0, s.bit_length() - 12) for s in sizes]
 
 
 def test_shards(spark):
@@ -147,7 +175,21 @@ def test_shards(spark):
         slots[r.shard].append(r.slot)
         load[r.shard] += r.size
     assert all(len(h) == 1 for h in homes.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert len(load) == 4 and max(load.values()) < 1.02 * min(load.values()) and {r.law for r in got} == {"bytes"}
+    assert len(load) == 4 and max(load.values()) < 1.005 * min(load.values()) and {r.law for r in got} == {"bytes"}
+    groups = Counter((t or "") for _, t in source)
+    sizes = [n * (len(t.encode()) + 8) for t, n in groups.items()]
+    held = defaultdict(Counter)
+    for r in got:
+        held[r.shard][r.text_crc32] += r.size
+    exact = [s for s in sizes if s < 4096]
+    if len(exact) == len(sizes):  # then runs are sizes, and the packing is that of brute force
+        assert [sorted(held[b].values()) for b in range(4)] == [sorted(b) for b in brute_even(sizes, 4)]
+    small = spark.createDataFrame([(i, f"{i % 150} " * (1 + i % 30)) for i in range(400)] + [(None, "a"), (None, "b"), (3, "c"), (3, "c")], "doc_id long, text string")
+    held, sizes = defaultdict(Counter), Counter()
+    for r in sharding.shard_documents(small, n_shards=7, rows_per_slice=3).collect():
+        held[r.shard][r.text_crc32] += r.size
+        sizes[r.text_crc32] += r.size
+    assert max(sizes.values()) < 4096 and [sorted(held[b].values()) for b in range(7)] == [sorted(b) for b in brute_even(list(sizes.values()), 7)]
     assert sharding.shard_documents(empty(spark)).isEmpty()
 
 
