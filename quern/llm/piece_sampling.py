@@ -11,10 +11,15 @@ the log-probability that it is among the ``samples`` largest given the next pert
 A piece reaches across no space, so the lattice of a text is a chain of lattices of its space-separated units. Those
 of the distinct units of a block of documents are built once, and paths are drawn for all units of the block at
 a time. Random numbers are a hash of seed, row key, sample and place: results do not depend on partitions or blocks.
+
+Probabilities are doubles. What is left beside an edge is the sum of its siblings and never one minus the edge, so no subtree, however
+rare, gets lost: a text with fewer segmentations than asked for comes back with all of them. Every sample is decoded
+again, and compared with the text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -23,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import map_arrow, text_of
+from quern.llm.common import map_arrow, quoted, text_of
 from quern.llm.tokens import public_vocabulary
 
 SPACE = "▁"
-RESULT = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
+RESULT = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, text_crc32 long, round_trip boolean"
+#: Stands for a space sign that is part of a text: no piece has it, so it falls back to its bytes.
+FOREIGN = 0x110000
 
 
 class Pieces:
@@ -39,6 +47,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
+        self.parts: list[bytes] | None = None
         self.text = [model.id_to_piece(i) for i in range(size)]
         self.byte_id = np.zeros(256, np.int64)
         trie: dict[tuple[int, int], int] = {}
@@ -69,13 +78,16 @@ class Pieces:
         begin = self.keys < 1 << 16
         self.after[self.keys[begin]] = self.next[begin]
 
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of piece ids: spaces restored, the first space dropped."""
+        if self.parts is None:
+            self.parts = [t.replace(SPACE, " ").encode() for t in self.text]
+            for byte, i in enumerate(self.byte_id.tolist()):
+                self.parts[i] = bytes([byte])
+        return b"".join(map(self.parts.__getitem__, ids.tolist()))[1:]
+
     def decode(self, ids: list[int]) -> str:
-        """The text of piece ids: bytes are joined, spaces restored, the first space dropped."""
-        out = bytearray()
-        byte_of = {int(i): b for b, i in enumerate(self.byte_id)}
-        for i in ids:
-            out += bytes([byte_of[i]]) if i in byte_of else self.text[i].encode()
-        return out.decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
+        return self.decode_bytes(np.array(ids, np.int64)).decode("utf-8", "surrogatepass")
 
 
 _pieces: dict[tuple[str, float], Pieces] = {}
@@ -95,6 +107,9 @@ class Lattice:
         codes = np.frombuffer("".join(SPACE + u for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         self.end = np.cumsum(sizes)
         self.start = self.end - sizes
+        own, codes = codes, codes.copy()
+        codes[codes == ord(SPACE)] = FOREIGN
+        codes[self.start] = ord(SPACE)
         n = len(codes)
         room = np.repeat(self.end, sizes) - np.arange(n)
         active, state, found, weights = np.arange(n), np.zeros(n, np.int64), [], []
@@ -116,7 +131,7 @@ class Lattice:
                 bare = np.ones(n, bool)
                 bare[pos] = False
                 bare = np.flatnonzero(bare)
-                c = codes[bare]
+                c = own[bare]
                 many = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
                 order = np.argsort(np.concatenate((pos, bare)), kind="stable")
                 pos, ids = np.concatenate((pos, bare))[order], np.concatenate((ids, -1 - c))[order]
@@ -124,7 +139,7 @@ class Lattice:
             if not len(active) and not len(pos):
                 break
             found.append((pos, ids))
-            dense = np.zeros(n, np.float32 if length > 1 else np.float64)
+            dense = np.zeros(n)
             dense[pos] = w
             weights.append(dense)
         self._normalise(weights, sizes)
@@ -135,14 +150,23 @@ class Lattice:
         self.first = self.to - count
         total = int(self.to[-1]) if n else 0
         self.id, self.length, self.pos = (np.zeros(total, np.int32) for _ in range(3))
-        self.p, self.cdf = np.zeros(total, np.float32), np.zeros(total, np.float32)
+        self.p, self.cdf, aside = np.zeros(total), np.zeros(total), np.zeros(total)
         fill, sums = self.first.copy(), np.zeros(n)
         for length in range(len(found), 0, -1):
             pos, ids = found[length - 1]
             slot, p = fill[pos], weights[length - 1][pos]
             fill[pos] += 1
+            aside[slot] = sums[pos]
             sums[pos] += p
             self.id[slot], self.length[slot], self.p[slot], self.cdf[slot], self.pos[slot] = ids, length, p, sums[pos], pos
+        sums[:] = 0.0
+        for length in range(1, len(found) + 1):  # and the edges after each
+            pos = found[length - 1][0]
+            fill[pos] -= 1
+            aside[fill[pos]] += sums[pos]
+            sums[pos] += weights[length - 1][pos]
+        with np.errstate(divide="ignore"):
+            self.log_p, self.log_aside = np.log(self.p), np.log(aside)
         self.cdf[self.to - 1] = 2.0
         self.last = np.repeat(self.end, sizes) if total else np.zeros(0, np.int64)
 
@@ -242,10 +266,7 @@ class _Samples:
         ends = np.cumsum(many)
         cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(count)))]
         whole, own, value, best = [None] * self.n, [None] * self.n, np.full(self.n, -np.inf), np.full(self.n, -np.inf)
-        p_all = self.lat.p[edges].astype(np.float64)
-        with np.errstate(divide="ignore"):
-            log_all, aside_all = np.log(p_all), np.log1p(-np.minimum(p_all, 1.0))
-        aside_all[p_all > 1 - 1e-6] = -np.inf  # the only edge
+        log_all, aside_all = self.lat.log_p[edges], self.lat.log_aside[edges]
         spot = np.arange(len(edges)) - np.repeat(cut[:-1], np.diff(cut)) + 1
         noise_key = np.repeat(self._stream(docs, sample, 1), np.diff(cut))
         gumbel_all = -np.log(-np.log(_uniform(noise_key, spot))) if len(edges) else np.zeros(0)
@@ -257,15 +278,15 @@ class _Samples:
             if lead[j] is not None:
                 edge, barred = lead[j]
                 begin, base = len(prefix[j][0]), prefix[j][1]
-                rest = 1.0 - float(self.lat.p[list(barred)].sum())
-                others = self.lat.to[self.lat.pos[edge]] - self.lat.first[self.lat.pos[edge]] > len(barred)
-                e, logs = np.concatenate(([edge], e)), np.concatenate(([np.log(self.lat.p[edge])], logs))
-                aside = np.concatenate(([np.log(rest) if others and rest > 1e-6 else -np.inf], aside))
+                others = self._others(int(self.lat.pos[edge]), barred)
+                e, logs = np.concatenate(([edge], e)), np.concatenate(([self.lat.log_p[edge]], logs))
+                aside = np.concatenate(([np.log(self.lat.p[others].sum()) if others else -np.inf], aside))
                 gumbel = np.concatenate(([first_noise[j]], gumbel))
             done = np.cumsum(logs) + base
             mass = done - logs + aside
-            open_ = -np.logaddexp(-bound[j], -(mass + gumbel))
-            open_[np.isneginf(mass)] = -np.inf
+            some = np.flatnonzero(mass > -np.inf)
+            open_ = np.full(len(mass), -np.inf)
+            open_[some] = -np.logaddexp(-bound[j], -(mass[some] + gumbel[some]))
             whole[d] = np.concatenate((prefix[j][0], e)) if begin else e
             own[d] = (begin, open_, done, barred)
             value[d] = bound[j]
@@ -275,6 +296,10 @@ class _Samples:
         self.value.append(value)
         self.best.append(best)
 
+    def _others(self, pos: int, barred: tuple) -> list[int]:
+        """The edges out of a place but for those barred there."""
+        return [e for e in range(int(self.lat.first[pos]), int(self.lat.to[pos])) if e not in barred]
+
     def first(self) -> None:
         docs = np.arange(self.n)
         root = -np.log(-np.log(_uniform(self._stream(docs, 0, 2), 0)))
@@ -298,14 +323,14 @@ class _Samples:
             edge = int(path[begin + i])
             bars = (*barred, edge) if i == 0 and barred else (edge,)
             pos = int(lat.pos[edge])
-            left = [e for e in range(int(lat.first[pos]), int(lat.to[pos])) if e not in bars]
+            left = self._others(pos, bars)
             target, chosen = draw * float(lat.p[left].sum()), left[-1]
             for e in left:
                 target -= float(lat.p[e])
                 if target <= 0:
                     chosen = e
                     break
-            before = float(done[i] - np.log(lat.p[edge]))
+            before = float(done[i] - lat.log_p[edge])
             prefix.append((path[:begin + i], before))
             lead.append((chosen, (*bars, chosen)))
             bound.append(float(open_[i]))
@@ -344,6 +369,12 @@ class _Samples:
         return found
 
 
+def _log_inclusion(ahead: float) -> float:
+    """log(1 - exp(-exp(ahead))), with its digits kept on either side."""
+    rate = math.exp(min(ahead, 700.0))
+    return math.log1p(-math.exp(-rate)) if rate > 0.7 else math.log(-math.expm1(-rate)) if rate > 0 else -math.inf
+
+
 def sample(
     texts: list[str], keys: list[int | None], pieces: Pieces, samples: int, seed: int = 42
 ) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
@@ -359,7 +390,7 @@ def sample(
                 break
             _, _, done, _ = drawn.own[s][d]
             log_prob = float(done[-1]) if len(done) else 0.0
-            score = 0.0 if np.isneginf(kappa[d]) else float(np.log(-np.expm1(-np.exp(np.clip(log_prob - kappa[d], -700, 700)))))
+            score = 0.0 if np.isneginf(kappa[d]) else _log_inclusion(log_prob - float(kappa[d]))
             yield d, s, drawn.ids(drawn.paths[s][d]), log_prob, float(drawn.value[s][d]), score
 
 
@@ -369,7 +400,7 @@ def hash_key(key: int | None) -> int:
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str, alpha: float, samples: int, seed: int, ids: bool, block: int) -> Iterator[pa.RecordBatch]:
     pieces = pieces_of(path, alpha)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()] + [pa.list_(pa.int32())] * ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * ids
     names = [f.split()[0] for f in RESULT.split(", ")] + ["ids"] * ids
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -379,10 +410,11 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, alpha: float, samples: i
             while b < len(texts) and (b == a or held + len(texts[b]) <= block):
                 held += len(texts[b])
                 b += 1
-            rows = [
-                (keys[a + d], s, len(got), zlib.crc32(got.astype("<u4")), log_prob, perturbed, score, *([got] * ids))
-                for d, s, got, log_prob, perturbed, score in sample(texts[a:b], keys[a:b], pieces, samples, seed)
-            ]
+            rows = []
+            for d, s, got, log_prob, perturbed, score in sample(texts[a:b], keys[a:b], pieces, samples, seed):
+                back = pieces.decode_bytes(got)
+                same = back == texts[a + d].encode("utf-8", "surrogatepass")
+                rows.append((keys[a + d], s, len(got), zlib.crc32(got.astype("<u4")), log_prob, perturbed, score, zlib.crc32(back), same, *([got] * ids)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
             a = b
 
@@ -393,12 +425,31 @@ def sample_pieces(
 ) -> DataFrame:
     """Distinct sampled segmentations of every whole text, one row each: see RESULT, and ``ids`` on request.
 
-    ``sample`` counts from 0 in falling order of ``perturbed``. A text with fewer segmentations than ``samples``
+    ``text_crc32`` is that of the text that the pieces decode to, ``round_trip`` whether it is the row's. ``sample`` counts from 0 in falling order of ``perturbed``. A text with fewer segmentations than ``samples``
     has a row for each, with inclusion score 0 (certain). Null and empty texts have one segmentation, of no
     pieces. Rows are seeded by their id (null as a key of its own), so repeated rows have equal samples. An empty table gives
     no rows; other columns are ignored. No shuffle. Memory follows ``block`` characters or the longest text.
     """
     path = vocabulary or public_vocabulary("piece_bpe_32k.model")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     work = partial(_rows, path=path, alpha=alpha, samples=samples, seed=seed, ids=with_ids, block=block)
     return map_arrow(rows, work, RESULT + ", ids array<int>" * with_ids)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(path, 1.0)
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        got = pa.array([None if i is None else pieces.decode(i) for i in ids], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "decoded"])
+
+
+def decode_pieces(rows: DataFrame, column: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """The rows with ``decoded``, the text of the piece ids in ``column``.
+
+    Null ids give a null, an empty list an empty text; an id that the vocabulary lacks is an error. An empty table gives no rows,
+    repeated rows are decoded each, other columns pass through; a column ``decoded`` is replaced. No shuffle.
+    """
+    rows = rows.select(*[quoted(c) for c in rows.columns if c.lower() != "decoded"])
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
+    return map_arrow(rows, partial(_texts, path=vocabulary or public_vocabulary("piece_bpe_32k.model"), column=column), schema)

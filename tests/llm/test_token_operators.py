@@ -224,7 +224,7 @@ def test_sampling_distribution():
     before = None
     for d, s, ids, log_prob, _, inclusion in piece_sampling.sample(["the ca"] * n, list(range(n)), pieces, 3):
         key = tuple(ids.tolist())
-        assert math.log(p[key]) == pytest.approx(log_prob, abs=1e-4)
+        assert math.log(p[key]) == pytest.approx(log_prob, abs=1e-9)
         weight[key] += math.exp(-inclusion)
         if s == 0:
             first[key], before, seen = first[key] + 1, key, {key}
@@ -256,3 +256,66 @@ def test_sampling_rows(spark):
     again = piece_sampling.sample_pieces(df.repartition(5), samples=3, with_ids=True).collect()
     assert sorted((str(r.doc_id), r.sample, tuple(r.ids)) for r in again) == sorted((str(r.doc_id), r.sample, tuple(r.ids)) for r in got)
     assert piece_sampling.sample_pieces(empty(spark)).isEmpty()
+
+
+def segmentations(unit, known, pieces):
+    """All ways to cut a unit into pieces, single characters without a piece as their bytes, with their weights."""
+    if not unit:
+        return {(): 1.0}
+    out = {}
+    for k in range(1, len(unit) + 1):
+        if unit[:k] in known:
+            (i, w), head = known[unit[:k]], 1
+            steps = [((i,), w)]
+        elif k == 1:
+            data = unit[0].encode()
+            steps = [(tuple(int(pieces.byte_id[b]) for b in data), (2.0 + 32000) ** (-0.8 * len(data)))]
+        else:
+            continue
+        for ids, w in steps:
+            for rest, v in segmentations(unit[k:], known, pieces).items():
+                out[ids + rest] = w * v
+    return out
+
+
+def test_no_segmentation_is_lost():
+    """Every text has min(samples, segmentations) samples, also where one of them has next to all the mass."""
+    pieces, known = pieces_for(), weights(pieces_for())
+    texts = ["a", "the", "is a", "house", "reading", "q", "zz", "é", "日本", "to be", "abcdefg", "\u2581x", " ", "a\u2581b"]
+    for most in (2, 5, 40):
+        got = defaultdict(list)
+        for d, s, ids, log_prob, _, inclusion in piece_sampling.sample(texts, list(range(len(texts))), pieces, most):
+            got[d].append((tuple(ids.tolist()), log_prob, inclusion))
+        for d, text in enumerate(texts):
+            unit = [u.replace("\u2581", "\ue000") for u in text.split(" ")]  # a sign of its own, without a piece
+            every = {(): 1.0}
+            for u in unit:
+                more = segmentations("▁" + u, known, pieces)
+                every = {a + b: x * y for a, x in every.items() for b, y in more.items()}
+            sign = tuple(int(pieces.byte_id[b]) for b in "\ue000".encode()), tuple(int(pieces.byte_id[b]) for b in "\u2581".encode())
+
+            def spelt(ids):
+                for i in range(len(ids) - 2):
+                    if ids[i:i + 3] == sign[0]:
+                        ids = ids[:i] + sign[1] + ids[i + 3:]
+                return ids
+
+            every = {spelt(ids): w for ids, w in every.items()}
+            total = sum(every.values())
+            assert len(got[d]) == min(most, len(every)) == len({ids for ids, _, _ in got[d]}), text
+            for ids, log_prob, inclusion in got[d]:
+                assert math.log(every[ids] / total) == pytest.approx(log_prob, abs=1e-9)
+                assert pieces.decode(list(ids)) == text and inclusion <= 0 and (inclusion == 0 or len(every) > most)
+
+
+def test_decoding(spark):
+    texts = ["", None, "a ▁ b▁", "日 é\n\t x", "nul\0 end ", "same", "same"]
+    df = documents(spark, texts)
+    got = piece_sampling.sample_pieces(df, samples=2, with_ids=True)
+    assert all(r.round_trip and r.text_crc32 == zlib.crc32((dict(rows(df, "doc_id", "text"))[r.doc_id] or "").encode()) for r in got.collect())
+    want = dict(rows(df, "doc_id", "text"))
+    back = piece_sampling.decode_pieces(got.select("doc_id", "ids", "sample", F.lit(1).alias("decoded"))).collect()
+    assert back and all(r.decoded == (want[r.doc_id] or "") for r in back)
+    odd = spark.createDataFrame([(None, 1), ([], 2)], "ids array<int>, d int")
+    assert sorted(rows(piece_sampling.decode_pieces(odd), "d", "decoded")) == [(1, None), (2, "")]
+    assert piece_sampling.decode_pieces(odd.limit(0)).isEmpty()
