@@ -8,7 +8,7 @@ their length, and such pieces, largest first, fill windows without a gap, so tha
 
 The histogram and the plan are bounded by the window, whatever the corpus; only they reach the driver. Texts are read
 and encoded once, in place: checksums of every piece a plan may ask for are known before there is a plan.
-Rows are numbered within a length by slices of ids, so a length that a third of the corpus has is numbered by many tasks.
+Rows are numbered within a length by slices, hashes of id and checksums, so a length that a third of the corpus has is numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def pack_documents(
     slices = int(histogram.sum()) // rows_per_slice + 1
     histogram[0] = 0
     plan = spark.sparkContext.broadcast(Plan(histogram, window))
-    slim = slim.withColumn("slice", F.pmod(F.xxhash64("doc_id", "n"), F.lit(slices)).cast("int"))
+    slim = slim.withColumn("slice", F.pmod(F.xxhash64("doc_id", "n", "sums"), F.lit(slices)).cast("int"))
     order = ["doc_id", "n", "sums"]
     counts = stash(slim.groupBy("slice", "r").agg(F.count(F.lit(1)).alias("c"), F.sum("whole").alias("w")), "slices")
     before = Window.partitionBy("r").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
