@@ -108,6 +108,28 @@ def test_store(spark):
         token_store.TokenFile(files[0][0])
 
 
+def test_store_sample(spark):
+    """The dictionary depends on the rows alone, rows that share an id or have none are dealt out, long runs are cut from ids."""
+    data = [(i if i % 3 else None if i % 2 else 7, f"some words of text {i} {i * 7 % 31} " * (1 + i % 50)) for i in range(1200)] + [(5000, "x y " * 20_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    names = []
+    for dealt in (df.repartition(3), df.orderBy("text").coalesce(2)):
+        folder = fresh_path(spark, "test")
+        token_store.write_store(dealt, folder)
+        store, root = fs.FileSystem.from_uri(folder)
+        names.append({f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.extension == "zdict"})
+    assert names[0] == names[1] and len(names[0]) == 1
+    got = sorted(rows(token_store.token_store(df)), key=lambda r: r[1])
+    wanted = Counter((d, len(ids) + 1) for (d, _), ids in zip(data, library("byte", [t for _, t in data])))
+    assert Counter((d, n) for d, _, n, _ in got) == wanted
+    assert [d for d, *_ in got] == sorted((d for d, _ in data), key=lambda d: (d is not None, d or 0))
+    assert [r[1] for r in got] == list(itertools.accumulate((r[2] for r in got), initial=0))[:-1]
+    encoded = spark.createDataFrame([(1, bytearray(range(256)) * 100), (2, bytearray(b"ab"))], "doc_id long, ids binary")
+    runs = token_store.sample_runs(encoded, 5, 2)
+    assert sorted(map(len, runs)) == [2, 2 * token_store.SPAN] and all(r in bytes(bytearray(range(256)) * 100) or r == b"ab" for r in runs)
+    assert token_store.train_dictionary([b"ab"]) == b""
+
+
 def brute_best_fit(sizes, capacity):
     room, where = [], [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
