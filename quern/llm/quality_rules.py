@@ -1,24 +1,41 @@
 """Quality rules: base counts of every text and a log-likelihood ratio of hashed n-grams.
 
-Words and word pairs are hashed into BUCKETS counts. Two multinomials are estimated, one over the whole corpus and one
-over its trusted part (rows labelled good and not toxic); a text's ratio is the sum of log(trusted / corpus) over its n-grams
-divided by their number. One fixed threshold decides every text. Counts are summed in each task before the shuffle,
-so at most BUCKETS rows leave a task; the model of BUCKETS floats is all that the driver sees.
+Words and word pairs are hashed into buckets. Two multinomials are estimated, one over the whole corpus and one over its
+trusted part (rows labelled good and not toxic); a text's ratio is the sum of log(trusted / corpus) over its n-grams
+divided by their number.
+
+The number of buckets follows the size of the corpus, from 2^16 to 2^20 (a model of 4 MB, what a task can hold). Past
+that, buckets mix more n-grams and all ratios shrink towards 0, so a fixed bound on them would drift. The bound is therefore a
+quantile of ratios that trusted documents have: at every size the same small share of them falls under it, and it decides every
+text alike. A document's own n-grams raise its ratio where it is counted as trusted, so one trusted document in FOLDS, by a hash of its
+id, isn't counted, and the quantile is that of these.
+
+Counts are summed in each task before the shuffle, as blocks of counts, then in two steps by block, so neither a task nor the
+driver sees more than the model. Only texts that labels may trust, found by a bounded bitmap of their ids, are shuffled,
+to be told from others exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, map_arrow, text_of, words
+from quern.llm.common import SPACES, map_arrow, quoted, sieve, stash, text_of, words
 
-BUCKETS = 1 << 16
+#: Least and most bits of a bucket; bytes of text for each bucket in between; bits of a bucket within a block of counts.
+LEAST_BITS, MOST_BITS, BYTES_A_BUCKET, BLOCK_BITS = 16, 20, 64, 14
+#: Groups in which the blocks of many tasks are summed first, and n-grams that a task counts together.
+GROUPS, HELD = 64, 1 << 20
+#: Steps of the ratio's histogram in a unit.
+GRAIN = 10_000
+FOLDS = 5
 #: Bytes hashed together, so that memory stays bounded on very long texts.
 BLOCK = 1 << 20
 #: Fixed values of the contract.
@@ -42,7 +59,7 @@ def _word_hashes(b: np.ndarray) -> np.ndarray:
     return np.add.reduceat(_VALUE[b] * _POWER[place & 255], starts, dtype=np.uint32)
 
 
-def ngrams(text: str | None) -> Iterator[np.ndarray]:
+def ngrams(text: str | None, bits: int = LEAST_BITS) -> Iterator[np.ndarray]:
     """Buckets of the words and word pairs of a whole text, repeats included, block by block."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     last, at = np.zeros(0, np.uint32), 0
@@ -62,7 +79,7 @@ def ngrams(text: str | None) -> Iterator[np.ndarray]:
             two = (both[:-1] * np.uint32(0x85EBCA6B)) ^ (both[1:] + np.uint32(0x27D4EB2F))
             last = one[-1:]
             found = np.concatenate((one, two))
-            yield ((found * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+            yield ((found * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -90,66 +107,122 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), copies, repeated
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS), np.int64)
+def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(part, salt, counts): the counts of a task as blocks of 2^BLOCK_BITS."""
+    from pyspark import TaskContext
+
+    total, held, n = np.zeros(1 << bits, np.int64), [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            for found in ngrams(text.as_py(), bits):
+                held.append(found)
+                n += len(found)
+            if n >= HELD:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, n = [], 0
+    if n:
+        total += np.bincount(np.concatenate(held), minlength=len(total))
+    salt = TaskContext.get().partitionId() % GROUPS
+    yield from _blocks({i: block for i, block in enumerate(total.reshape(-1, 1 << BLOCK_BITS)) if block.any()}, salt)
+
+
+def _blocks(found: dict[int, np.ndarray], salt: int) -> Iterator[pa.RecordBatch]:
+    for part, block in found.items():
+        kind = "<u4" if int(block.max()) < 1 << 32 else "<u8"
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([block.astype(kind).tobytes()], pa.binary())], names=["part", "salt", "counts"])
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for text, trusted in zip(batch.column(0), batch.column(1).to_pylist()):
-            for found in ngrams(text.as_py()):
-                got = np.bincount(found, minlength=BUCKETS)
-                total[0] += got
-                if trusted:
-                    total[1] += got
-    used = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])], names=["bucket", "raw", "trusted"])
-
-
-def fit_ratio(docs: DataFrame, labels: DataFrame, smooth: float = 1.0) -> np.ndarray:
-    """log(trusted / corpus) of every bucket, from counts over all rows of ``docs``."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select(
-        F.col("doc_id").alias("__good")
-    ).hint("shuffle_hash")  # labels may be any size: texts are dealt by id, without a sort, whatever they measure
-    rows = docs.select(F.col("doc_id"), text_of().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left")
-    counts = map_arrow(rows.select("text", F.col("__good").isNotNull().alias("good")), _count, "bucket int, raw long, trusted long")
-    total = np.zeros((2, BUCKETS))
-    for bucket, raw, trusted in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("trusted")).collect():  # at most BUCKETS rows
-        total[:, bucket] = raw, trusted
-    if not total[1].sum():
-        return np.zeros(BUCKETS)
-    raw, trusted = (np.log((t + smooth) / (t + smooth).sum()) for t in total)
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(2)):
+            data = counts.as_py()
+            block = np.frombuffer(data, "<u4" if len(data) == 4 << BLOCK_BITS else "<u8").astype(np.int64)
+            total[part] = total[part] + block if part in total else block
+    yield from _blocks(total, 0)
+
+
+def count_ngrams(rows: DataFrame, bits: int) -> np.ndarray:
+    """Counts of the buckets over all rows of one text column."""
+    schema, parts = "part int, salt int, counts binary", 1 << bits - BLOCK_BITS
+    blocks = map_arrow(rows, partial(_count, bits=bits), schema)
+    blocks = map_arrow(blocks.repartition(parts * 4, "part", "salt"), _sum, schema)
+    total = np.zeros((parts, 1 << BLOCK_BITS), np.int64)
+    for row in map_arrow(blocks.repartition(parts, "part"), _sum, schema).collect():  # one row for each block
+        data = bytes(row.counts)
+        total[row.part] += np.frombuffer(data, "<u4" if len(data) == 4 << BLOCK_BITS else "<u8").astype(np.int64)
+    return total.ravel()
+
+
+def bits_for(n_bytes: int) -> int:
+    """Bits of a bucket for a corpus of so many bytes."""
+    return min(max((n_bytes // BYTES_A_BUCKET).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(good, measured): the ids that all labels call good and none toxic, and whether they serve to set the bound."""
+    told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("good")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    return told.where("q = 1 and coalesce(t, 0) = 0").select("good", (F.pmod(F.xxhash64("good"), F.lit(FOLDS)) == 0).alias("measured"))
+
+
+def fit_ratio(docs: DataFrame, good: DataFrame, smooth: float = 1.0) -> np.ndarray:
+    """log(trusted / corpus) of every bucket, from counts over all rows of ``docs`` (doc_id, text)."""
+    bits = bits_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    if good.isEmpty():
+        return np.zeros(1 << bits)
+    maybe = sieve(docs.withColumn("x", F.xxhash64("doc_id")), "x", good.select(F.xxhash64("good").alias("x"))).where("maybe")
+    counts = [count_ngrams(rows.select("text"), bits) + smooth for rows in (docs, maybe.join(good, F.col("doc_id") == F.col("good"), "left_semi"))]
+    raw, trusted = (np.log(c / c.sum()) for c in counts)
     return trusted - raw
 
 
 def log_ratio(text: str | None, ratio: np.ndarray) -> float:
     """Mean log-likelihood ratio of the n-grams of a text, 0 if it has none."""
-    total, n = 0.0, 0
-    for found in ngrams(text):
-        total += float(ratio[found].sum())
+    total, n, bits = 0.0, 0, len(ratio).bit_length() - 1
+    for found in ngrams(text, bits):
+        total += float(ratio[found].sum(dtype=np.float64))
         n += len(found)
     return total / n if n else 0.0
 
 
-def _judge(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+def _judge(batches: Iterator[pa.RecordBatch], ratio: Broadcast) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr"]
+    ratio = ratio.value
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py()
             base = base_counts(text)
             failed = base[0] < LEAST_WORDS or 100 * base[4] > MOST_REPEATED * base[0]
-            llr = log_ratio(text, ratio)
-            rows.append((doc_id, *base, failed, llr, not failed and llr >= threshold))
-        kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.bool_()]
+            rows.append((doc_id, *base, failed, log_ratio(text, ratio)))
+        kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, smooth: float = 1.0) -> DataFrame:
-    """Counts and verdict of every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
+def lower_quantile(scored: DataFrame, good: DataFrame, share: float) -> float:
+    """The ratio, in steps of 1 / GRAIN, that at most ``share`` of the rows of these ids lie under. Rows that fail the base rules don't count."""
+    told = scored.where("not base_failed").select("doc_id", F.floor(F.col("llr") * GRAIN).alias("step")).join(good, F.col("doc_id") == F.col("good"), "left_semi")
+    steps = told.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy("step").collect()  # a mean of bounded logs: bounded
+    under, most = 0, share * sum(r.n for r in steps)
+    for r in steps:
+        if under + r.n > most:
+            return r.step / GRAIN
+        under += r.n
+    return -math.inf
+
+
+def judge(docs: DataFrame, labels: DataFrame, share: float = 0.005, smooth: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts and verdict of every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, threshold, kept.
 
-    Null text has no words and fails. Without trusted rows every ratio is 0 and the base rules decide alone. A document with
-    contradictory labels isn't trusted. Repeated rows are judged alike and count as often as they occur; an empty table gives
-    no rows; other columns are ignored.
+    ``threshold`` is the ratio that ``share`` of the measured trusted rows lie under, the same for all rows. Null text has no words and
+    fails. Without trusted rows every ratio is 0 and the base rules decide alone. A document with contradictory labels
+    isn't trusted, nor is a row without an id. Repeated rows are judged alike and count as often as they occur; an empty table
+    gives no rows; other columns are ignored.
     """
-    ratio = fit_ratio(docs, labels, smooth)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
-    return map_arrow(rows, partial(_judge, ratio=ratio, threshold=threshold), schema)
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    good = stash(trusted_ids(labels), "good")
+    ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(rows, good.where("not measured").select("good"), smooth).astype(np.float32))  # at most 4 MB
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double"
+    scored = stash(map_arrow(rows, partial(_judge, ratio=ratio), schema), "scored")
+    least = lower_quantile(scored, good.where("measured").select("good"), share)
+    return scored.withColumn("threshold", F.lit(least)).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))

@@ -127,12 +127,50 @@ def test_quality_rules(spark):
     assert all(by[i].kept for i in range(1, 20)) and not any(by[i].kept for i in range(20, 45)) and len(got) == df.count()
     assert quality_rules.judge(empty(spark), told).isEmpty()
     assert {r.llr for r in quality_rules.judge(df, labels(spark)).collect()} == {0.0}
-    counts = np.zeros(quality_rules.BUCKETS)
+    counts = np.zeros(1 << 16)
     for found in quality_rules.ngrams("a b  a\nb " * 300_000):
-        counts += np.bincount(found, minlength=quality_rules.BUCKETS)
+        counts += np.bincount(found, minlength=1 << 16)
     assert sorted(counts[counts > 0]) == [599_999, 600_000, 600_000, 600_000] or counts.sum() == 2 * 1_200_000 - 1
 
 
+def brute_ratios(data, told, bits, smooth=1.0):
+    """Ratios, bound and verdicts from counters over word and pair buckets, one document after the other."""
+    grams = [Counter(int(b) for part in quality_rules.ngrams(t, bits) for b in part) for _, t in data]
+    raw, trusted = Counter(), Counter()
+    for (i, _), g in zip(data, grams):
+        raw += g
+        if told.get(i) == "counted":
+            trusted += g
+    size = 1 << bits
+    n_raw, n_trusted = sum(raw.values()) + smooth * size, sum(trusted.values()) + smooth * size
+    ratio = lambda b: np.log((trusted[b] + smooth) / n_trusted) - np.log((raw[b] + smooth) / n_raw)
+    llr = [sum(n * ratio(b) for b, n in g.items()) / max(1, sum(g.values())) for g in grams]
+    fine = [brute_base(t)[0] >= 50 and 2 * brute_base(t)[4] <= brute_base(t)[0] for _, t in data]
+    held = sorted(r for r, (i, _), ok in zip(llr, data, fine) if ok and told.get(i) == "measured")
+    bound = held[int(0.005 * len(held))] if held else -np.inf
+    return llr, bound, [ok and r >= bound for r, ok in zip(llr, fine)]
+
+
+def test_quality_ratio_as_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    data = [(i, " ".join(rng.choice(vocabulary[:300] if i % 3 else vocabulary[150:], 60 + i % 7))) for i in range(150)]
+    data += [(None, data[5][1]), (7, data[7][1]), (7, "short"), (151, None), (152, "same " * 80)]
+    df = spark.createDataFrame([(*r, "q", 0.5, 1) for r in data], "doc_id long, text string, kept string, llr double, x int").repartition(5)
+    told = labels(spark, [(i, int(i % 3 > 0), int(i % 10 == 0), "t", 0.1) for i in range(0, 150, 2)] + [(2, 0, 0, "t", 0.1), (None, 1, 0, "t", 0.1)])
+    good = {r.good: "measured" if r.measured else "counted" for r in quality_rules.trusted_ids(told).collect()}
+    assert set(good) == {i for i in range(4, 150, 2) if i % 3 and i % 10} and "measured" in good.values()
+    llr, bound, kept = brute_ratios(data, good, quality_rules.bits_for(sum(len(t or "") for _, t in data)))
+    got = quality_rules.judge(df, told).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, round(r[1], 4))
+    want = sorted(((i, r, k) for (i, _), r, k in zip(data, llr, kept)), key=key)
+    found = sorted(((r.doc_id, r.llr, r.kept) for r in got), key=key)
+    assert [w[0] for w in want] == [f[0] for f in found] and np.allclose([w[1] for w in want], [f[1] for f in found], atol=1e-5)
+    assert all(w[2] == f[2] for w, f in zip(want, found) if abs(w[1] - bound) > 2 / quality_rules.GRAIN) and 0 < sum(kept) < len(kept)
+    assert abs(got[0].threshold - bound) <= 2 / quality_rules.GRAIN
+    assert [quality_rules.bits_for(n) for n in (0, 1 << 22, 1 << 24, 1 << 50)] == [16, 17, 19, 20]
+
+
 def test_classifier(spark):
     rng = np.random.default_rng(1)
     good = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "dog", "ran"], 60)) + "." for _ in range(120)]
