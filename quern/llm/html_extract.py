@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block, that know the length of their text and of its links and what
-element they lie in. The lengths of text are summed over windows of ``WINDOW`` lines. Where the sums surge a region of text
-begins, where they dive to nothing it ends; text between is kept. Lines in menus, footers, notices and the like have
-length zero, so they make dives; where a page marks its article, so do all lines outside it, and any surge counts.
-Without such a mark a region counts if its sums surge over ``SURGE`` characters, or if it is the longest there is.
+Markup is stripped to lines: one for each block of text, and an empty one for each edge of a container, as stripping leaves
+them. A line weighs the length of its text, times what speaks for or against it: text inside a marked article (``<article>``,
+``<main>``) weighs INSIDE times as much and text beside it an OUTSIDE-th, text in menus, footers, notices, comments and
+the like an APART-th, lines that are links for the most part nothing. The weights are summed over windows of WINDOW
+lines. Where the sums rise from nothing a region begins, where they dive to nothing it ends, and it is text if they surge
+over SURGE in between; if none do, the region with the most weight is. This decides on every page, with or without marks.
+
+What speaks against a container doesn't count where it can't be meant: on html, body, main and article, on containers that a
+marked article lies in, and, if it is a name or a form, on containers that hold nearly all text of the page. A mark that holds little of the text (a teaser) is none.
 """
 
 from __future__ import annotations
@@ -12,14 +16,19 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, text_of
+from quern.llm.common import map_arrow, quoted, text_of
 
 WINDOW, SURGE = 3, 86
+#: Factors of weights, and the least weight of a line that counts as text.
+INSIDE, OUTSIDE, APART, LEAST = 100.0, 1 / 50, 1 / 1000, 1.0
+#: Share of the text that makes a container the page, and a mark the article.
+BULK, MARKED = 0.9, 0.3
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b(?>[^>"']+|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -31,6 +40,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i i
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TEXT_ONLY = frozenset("p li dt dd td th tr option h1 h2 h3 h4 h5 h6".split())
 _APART = frozenset("nav footer aside form button dialog menu".split())
+_FIRM = _APART - {"form"}
 _APART_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "comment comments commentlist disqus respond replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related "
@@ -43,25 +53,41 @@ def _names(attrs: str) -> frozenset[str]:
     return frozenset(w for _, v in _WORDS.findall(attrs) for w in re.split(r"[^a-z0-9]+", v.lower()) if w) if "=" in attrs else frozenset()
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length of its links, apart, in the article) of every line that has text, in page order.
+class Line(NamedTuple):
+    """A block of text, its characters in links, and the numbers of the containers around it that are apart (negative if only a name or a form says so), and marks."""
+
+    text: str
+    linked: int
+    apart: tuple[int, ...]
+    marks: tuple[int, ...]
+
+
+_GAP = Line("", 0, (), ())
+_PLAIN = frozenset("html body main article".split())
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page in order, empty ones for edges of containers.
 
     A line ends at the edges of block elements and at <br>. End tags close what they match; what is left open ends with
-    its parent.
+    its parent. The edges of marks and of containers apart are WINDOW empty lines wide.
     """
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, apart, in the article
+    lines: list[Line] = []
+    stack: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = [("", (), ())]  # tag, containers apart, marks
     held: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, in_link, at, number = 0, False, 0, 0
 
     def close() -> None:
         nonlocal held, linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                lines.append((text, linked, stack[-1][1], stack[-1][2]))
+                lines.append(Line(text, linked, stack[-1][1], stack[-1][2]))
             held, linked = [], 0
 
+    def edge(wide: bool) -> None:
+        lines.extend([_GAP] * (WINDOW if wide else 1))
+
     for token in _TOKEN.finditer(page):
         if token.start() > at:
             part = page[at:token.start()]
@@ -78,40 +104,88 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         close()
         in_link = False
-        if tag in _VOID or tag in _TEXT_ONLY:
+        text_only = tag in _TEXT_ONLY
+        if tag in _VOID or text_only:
             names = frozenset() if token["end"] or tag in _VOID else _names(token["attrs"])
             if not names & _APART_NAMES and tag not in ("li", "td", "th", "dd", "dt"):
                 if stack[-1][0] == "p" and (tag == "p" or token["end"]):
+                    edge(True)
                     stack.pop()
                 continue
         if token["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    if stack[k][1:] != stack[k - 1][1:]:
+                        edge(True)
+                    elif not text_only:
+                        edge(False)
                     del stack[k:]
                     break
             continue
         names = _names(token["attrs"])
-        _, apart, inside = stack[-1]
-        apart = apart or tag in _APART or bool(names & _APART_NAMES) or (not inside and (tag == "header" or "header" in names))
-        inside = inside or ((tag in ("article", "main") or bool(names & _MAIN_NAMES)) and not apart)
+        _, apart, marks = stack[-1]
+        number += 1
+        if tag not in _PLAIN and (tag in _APART or names & _APART_NAMES or (not marks and (tag == "header" or "header" in names))):
+            apart = (*apart, number if tag in _FIRM else -number)
+        if tag in ("article", "main") or names & _MAIN_NAMES:
+            marks = (*marks, number)
         if token["attrs"].endswith("/"):
             continue
         if tag in ("li", "td", "th", "dd", "dt") and stack[-1][0] == tag:
             stack.pop()
-        stack.append((tag, apart, inside))
+        if (apart, marks) != stack[-1][1:]:
+            edge(True)
+        elif not text_only:
+            edge(False)
+        stack.append((tag, apart, marks))
     if at < len(page):
         held.append(page[at:])
     close()
     return lines
 
 
-def regions(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(first, end) of the runs of lines between a surge of the window sums and their dive to zero.
-
-    If no sum surges over ``surge``, the run with the most text is the only one.
+def weights(lines: list[Line]) -> list[float]:
+    """What each line counts for: the length of its text by the factors above."""
+    size = [max(len(x.text) - x.linked, 0) for x in lines]
+    total, held, around = sum(size), {}, {}
+    for n, x in zip(size, lines):
+        for c in x.apart:
+            held[c] = held.get(c, 0) + n
+    for x in lines:  # the marks that begin inside a container apart have greater numbers than it
+        for c in x.apart:
+            for m in x.marks:
+                if m > abs(c):
+                    around.setdefault(c, set()).add(m)
+    marked: dict[int, int] = {}
+    for n, x in zip(size, lines):
+        for m in x.marks:
+            marked[m] = marked.get(m, 0) + n
+    main = {m for m, n in marked.items() if n >= MARKED * total}
+    apart = {c for c, n in held.items() if (c > 0 or n < BULK * total) and not around.get(c, set()) & main}
+    fine = [not any(c in apart for c in x.apart) for x in lines]
+    text = sum(n for n, ok in zip(size, fine) if ok)
+    inside = [ok and bool(x.marks) for x, ok in zip(lines, fine)]
+    has_mark = 0 < sum(n for n, ok in zip(size, inside) if ok) >= MARKED * text
+    out = []
+    for x, ok, within in zip(lines, fine, inside):
+        n = float(len(x.text))
+        if not ok:
+            out.append(n * APART)
+        elif has_mark and within:
+            out.append(n * INSIDE)
+        else:
+            out.append(0.0 if 2 * x.linked >= n else n * OUTSIDE if has_mark else n)
+    return out
+
+
+def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(first, end) of the runs of lines where the window sums are over nothing and surge over ``surge``.
+
+    A weight under LEAST counts as nothing. If no sum surges, the run with the most weight is the only one.
     """
-    n = len(lengths)
-    sums = [sum(lengths[i:i + window]) for i in range(n)]
+    n = len(weight)
+    solid = [w if w >= LEAST else 0.0 for w in weight]
+    sums = [sum(solid[i:i + window]) for i in range(n)]
     runs, i = [], 0
     while i < n:
         if not sums[i]:
@@ -120,22 +194,17 @@ def regions(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[
         end = i
         while end < n and sums[end]:
             end += 1
-        runs.append((i, min(n, end)))
+        runs.append((i, end))
         i = end
     strong = [(a, b) for a, b in runs if max(sums[a:b]) > surge]
-    return strong or sorted(runs, key=lambda r: (-sum(lengths[r[0]:r[1]]), r))[:1]
+    return strong or sorted(runs, key=lambda r: (-sum(solid[r[0]:r[1]]), r))[:1]
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page, one line for each block. Empty for null, for no markup left open and for pages without text."""
+    """The article of a page, one line for each block. Empty for null and for pages without text."""
     lines = lines_of(page or "")
-    marked = any(inside and not apart for _, _, apart, inside in lines)
-    lengths = [
-        0 if apart or (marked and not inside) else len(text) if marked else len(text) if 2 * links < len(text) else 0
-        for text, links, apart, inside in lines
-    ]
-    kept = (k for a, b in regions(lengths, 0 if marked else SURGE) for k in range(a, b) if lengths[k])
-    return "\n".join(lines[k][0] for k in kept)
+    weight = weights(lines)
+    return "\n".join(lines[k].text for a, b in regions(weight) for k in range(a, b) if weight[k] >= LEAST)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,5 +222,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Null html counts as empty and gives an empty text. Character references are decoded, white space in a block becomes one
     space. Repeated rows come back each; an empty table gives no rows; other columns are ignored. No shuffle.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
+    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("url"), text_of(html_col).alias("html"))
     return map_arrow(rows, _extract, "page_id long, url string, text string, n_chars long")

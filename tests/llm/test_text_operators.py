@@ -199,6 +199,58 @@ PAGES = [
 ]
 
 
+BODY = "<p>" + "This is a sentence of the body, as long as most are. " * 6 + "</p><p>Short.</p><p>" + "Another one that goes on for a while, and then some. " * 5 + "</p>"
+BODY_TEXT = "\n".join([("This is a sentence of the body, as long as most are. " * 6).strip(), "Short.", ("Another one that goes on for a while, and then some. " * 5).strip()])
+PAGES += [
+    (f"<body class='right-sidebar'><article>{BODY}</article><div class='sidebar'>side</div>", BODY_TEXT),  # names on body don't count
+    (f"<div class='comment-page widget'><main>{BODY}</main></div><footer>f</footer>", BODY_TEXT),  # nor around the article
+    (f"<div class='social-wrapper'>{BODY}</div><div>x</div>", BODY_TEXT),  # nor on what holds nearly all text
+    (f"<article><a href=/>A teaser</a><p>Read on.</p></article><div>{BODY}</div>", BODY_TEXT),  # a mark that holds little is none
+    (f"<div><p>Some other words.</p></div><div><div>{BODY}</div></div><div><div><p>Ten more words.</p></div></div>", BODY_TEXT),  # no mark, no name
+    (f"<article>{BODY}</article><div><p>{'Reader says so. ' * 20}</p></div>", BODY_TEXT),
+    (f"<article>{BODY}<div class=comments><p>{'Reader says so. ' * 300}</p></div><p>End.</p></article>", BODY_TEXT + "\nEnd."),
+    (f"<article><h1>T</h1>{BODY}<section><h2>S</h2><p>x.</p></section><ul><li>one</li><li><a href=/>two</a></li></ul></article>", f"T\n{BODY_TEXT}\nS\nx.\none\ntwo"),
+]
+
+
+def brute_regions(weight, surge, window):
+    """A line is text if it counts and lies in a stretch, without a window of nothing, in which some window surges."""
+    solid = [w if w >= 1 else 0 for w in weight]
+    sums = [sum(solid[i:i + window]) for i in range(len(solid))]
+    groups, keep = [], set()
+    for i, s in enumerate(sums):
+        if s and i and sums[i - 1]:
+            groups[-1].append(i)
+        elif s:
+            groups.append([i])
+    strong = [g for g in groups if any(sums[i] > surge for i in g)]
+    if groups and not strong:
+        most = max(sum(solid[i] for i in g) for g in groups)
+        strong = [next(g for g in groups if sum(solid[i] for i in g) == most)]
+    for g in strong:
+        keep |= {i for i in g if solid[i]}
+    return keep
+
+
+def test_line_blocks_as_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        weight = [float(w) if rng.random() < 0.6 else 0.0 for w in rng.choice([0.3, 1, 5, 20, 60, 90, 300], rng.integers(0, 25))]
+        got = {k for a, b in html_extract.regions(weight, 86, 3) for k in range(a, b) if weight[k] >= 1}
+        assert got == brute_regions(weight, 86, 3), weight
+
+
+def test_surge_and_dive_decide():
+    """With and without marks and names, the regions drop lines that would otherwise be in the text, and keep all of the article."""
+    chrome = "<nav><ul><li><a href=/>Home</a></li><li><a href=/x>More</a></li></ul></nav><div class=ad>Buy this now, it is cheap.</div>", "<footer>Written by us in a hurry.</footer>"
+    page = f"<html><body>{chrome[0]}<article><h1>Head</h1>{BODY}</article>{chrome[1]}</body></html>"
+    for old, new in (("", ""), ("article>", "div>"), ("class=ad", ""), ("nav>", "div>")):
+        lines = html_extract.lines_of(page.replace(old, new) if old else page)
+        every = [x.text for x in lines if x.text]
+        kept = html_extract.main_text(page.replace(old, new) if old else page).split("\n")
+        assert kept == ["Head", *BODY_TEXT.split("\n")] and len(every) > len(kept)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(i, f"u{i}", h, "t", 9) for i, (h, _) in enumerate(PAGES)] + [(0, "u0", PAGES[0][0], "t", 9), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
     got = html_extract.extract_pages(df).collect()
