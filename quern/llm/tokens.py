@@ -62,10 +62,14 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    return _tokenizer(path).get_vocab_size()
+
+
 class Encoder:
     """Encodes texts with one vocabulary file. mode: ``word`` if white space never reaches a token, else ``byte``."""
 
-    def __init__(self, path: str, mode: str, most_units: int = 800_000, span: int = 1 << 22) -> None:
+    def __init__(self, path: str, mode: str, most_units: int = 250_000, span: int = 1 << 22) -> None:
         self.tokenizer, self.unit, self.most_units, self.span = _tokenizer(path), _UNIT[mode], most_units, span
         self.ends_word, self.mode = None, mode
         if mode == "word":
