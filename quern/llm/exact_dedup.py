@@ -69,6 +69,7 @@ def exact_dedup(
     # Keys and results of both steps have a fixed width, so they are hashed and not sorted.
     level = ids.groupBy("h", "sha", "n").agg(F.min("doc_id").alias("least"), F.sum("times").alias("size"))
     best = level.groupBy("h", "sha").agg(F.max("n").alias("keep_n"), F.max_by("least", "n").alias("keep_id"), F.sum("size").alias("group_size"))
+    best = stash(best, "best")  # read back, the join below has a plain shuffle on either side, which may be split where a class is hot
     # The same row twice is counted above and numbered again here, so that one of them is kept.
     one = ids.join(best, ["h", "sha"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n")) & (F.col("copy") == 1)
@@ -86,6 +87,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     compare_bytes(docs, slim, text_col)
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k", "k2")
     best = slim.groupBy("h", "sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", "sha", "best")
+    best = stash(best, "best")  # read back, the join below has a plain shuffle on either side, which may be split where a class is hot
     rows = slim.groupBy("h", "sha", "k", "k2").agg(F.count(F.lit(1)).alias("times")).join(best, ["h", "sha"])
     stays = (F.col("k") == F.col("best.k")) & (F.col("k2") == F.col("best.k2"))
     lost = rows.withColumn("stays", stays).where("not stays or times > 1").select("k", "k2", "stays")

@@ -4,16 +4,21 @@ A 64-bit fingerprint of a pair at similarity 0.8 differs in about 10 bits, too m
 alone miss most near copies. Each row also gets 20 bands of 5 MinHash values, which a pair at similarity s shares
 with chance 1 - (1 - s^5)^20: 0.9996 at 0.8. Rows that meet are compared by their whole sets.
 
-Rounds. A bucket's members are compared with its least row first, in small buckets later all with all. What is a
-near copy of a lesser row goes and is not compared again, so a large group of copies costs one comparison a member
-and band. Buckets still over ``crowd`` are compared with four times as many rows in each round; a row leaves a
-crowded bucket once it was compared with all of it.
+Before sets are compared, count parities are: every set is mapped to 512 bits, each the parity of the number of its shingles in
+one of 512 hash segments. The Hamming distance of two such maps never exceeds the size of the sets' symmetric difference, which for
+a given similarity is a fixed share of both sizes. So the test is a lower bound, loses nothing, and drops most unlike
+pairs inside the join, where they are not even rows.
+
+Rounds. At first every row is compared with one other only, the least that leads one of its buckets. What is a near
+copy of a lesser row goes and is not compared again, so a large group of copies costs about one comparison a member.
+Then small buckets are compared all with all, and buckets over ``crowd`` with some of their rows, four times as many in
+each round; a row leaves a crowded bucket once it was compared with all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, sieve, stash, words
+from quern.llm.common import map_arrow, sieve, stash
 
 BANDS, DEPTH = 20, 5
+#: Longs of a parity map.
+MAP = 8
 _RNG = np.random.default_rng(42)
 _FACTOR = _RNG.integers(0, 1 << 64, (BANDS * DEPTH, 1), np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, (BANDS * DEPTH, 1), np.uint64)
@@ -31,11 +38,22 @@ _ADD = _RNG.integers(0, 1 << 64, (BANDS * DEPTH, 1), np.uint64)
 BLOCK = 2048
 
 
-def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles. A text of fewer words is one shingle."""
-    found = [w.lower() for w in words(text)]
-    n = max(1, len(found) - width + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i:i + width]), seed) for i in range(n)), np.uint64, n))
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of a text's shingles in order, repeats included; of the whole sequence if it has fewer words, none without any."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only SPACES cut
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n, digest = max(1, len(found) - width + 1), xxhash.xxh64_intdigest
+    first, last = starts[:n].tolist(), ends[min(width, len(found)) - 1:].tolist()
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(first, last)), np.uint64, n)
+
+
+def distinct(hashes: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes; a text without words has one shingle, the empty one."""
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", seed)], np.uint64)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -50,6 +68,12 @@ def bands(hashes: np.ndarray) -> list[int]:
 ROWS = 256
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of hashes in 64 * MAP segments, as MAP signed longs."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * MAP).astype(np.uint8) & 1
+    return np.packbits(odd).view("<i8")
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), ROWS):
@@ -62,28 +86,34 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+_MAPS = [f"p{i}" for i in range(MAP)]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, fingerprint: Callable) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        sizes, buckets, prints = [], [], []
+        sizes, buckets, prints, maps = [], [], [], []
         for text in batch.column(3):
-            text = text.as_py()
-            found = shingles(text, width)
+            hashes = shingle_hashes(text.as_py(), width)
+            found = distinct(hashes)
             sizes.append(len(found))
             buckets.append(np.array(bands(found), np.uint64))
-            prints.append(fingerprint(text))
+            prints.append(fingerprint(hashes))
+            maps.append(parities(found))
         arrays = [*batch.columns[:3], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(buckets)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["k", "k2", "id", "fp", "m", "buckets"])
+        table = np.array(maps, np.int64).reshape(-1, MAP)
+        yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, table.T)], names=["k", "k2", "id", "fp", "m", "buckets", *_MAPS])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        sets = [shingles(t.as_py(), width) for t in batch.column(2)]
+        sets = [distinct(shingle_hashes(t.as_py(), width)) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(sets)], names=["k", "k2", "set"])
 
 
 def sketches(rows: DataFrame, fingerprint: Callable, width: int = 5) -> DataFrame:
-    """(k, k2, id, fp, m, buckets, row) of rows (k, k2, id, text): number of shingles, band keys, a number for each row. Stashed."""
-    made = map_arrow(rows, partial(_sketch, width=width, fingerprint=fingerprint), "k long, k2 long, id long, fp long, m int, buckets array<long>")
+    """(k, k2, id, fp, m, buckets, p0.., row) of rows (k, k2, id, text): number of shingles, band keys, parities, a number for each row. Stashed."""
+    schema = "k long, k2 long, id long, fp long, m int, buckets array<long>, " + ", ".join(f"{p} long" for p in _MAPS)
+    made = map_arrow(rows, partial(_sketch, width=width, fingerprint=fingerprint), schema)
     return stash(made.withColumn("row", F.monotonically_increasing_id()), "sketch")
 
 
@@ -92,13 +122,28 @@ def _alike(similarity: float) -> Column:
     return both / (F.size("set_a") + F.size("set_b") - both) >= similarity
 
 
-def _meetings(members: DataFrame, crowd: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+def _may_be(x: str, y: str, similarity: float) -> Column:
+    """False only for pairs whose sets are less alike: by their sizes, and by the lower bound of their difference."""
+    m = [F.col(f"{s}.m") for s in (x, y)]
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _MAPS])
+    most = F.floor((1 - similarity) / (1 + similarity) * (m[0] + m[1]) + 1e-6)
+    return (apart <= most) & (F.least(*m) >= F.greatest(*m) * similarity - 1e-6)
+
+
+def _leaders(members: DataFrame, similarity: float) -> DataFrame:
+    """A pair (a, b) for a row b: the least row that leads one of its buckets and may be alike."""
+    first = members.groupBy("bucket").agg(F.min("at").alias("p"))
+    near = members.join(first, "bucket").where((F.col("p") < F.col("at")) & _may_be("p", "at", similarity))
+    return near.groupBy(F.col("at").alias("b")).agg(F.min("p").alias("a")).select("a", "b")
+
+
+def _meetings(members: DataFrame, crowd: int, pivots: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a before b, to compare; and the members of larger buckets without those that are compared with all."""
     sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
     small, large = (sized.where(c).select("bucket", "at") for c in (F.col("n") <= crowd, F.col("n") > crowd))
-    pairs = small.select("bucket", F.col("at").alias("a")).join(small.select("bucket", F.col("at").alias("b")), "bucket").where("a < b")
+    pairs = small.select("bucket", F.col("at").alias("a")).join(small.select("bucket", F.col("at").alias("b")), "bucket").where((F.col("a") < F.col("b")) & _may_be("a", "b", similarity))
     first = large.groupBy("bucket", F.pmod(F.xxhash64("at.row"), F.lit(pivots)).alias("salt")).agg(F.min("at").alias("p")).drop("salt")
-    star = large.join(first, "bucket").where("at <> p").select(F.least("at", "p").alias("a"), F.greatest("at", "p").alias("b"))
+    star = large.join(first, "bucket").where((F.col("at") != F.col("p")) & _may_be("p", "at", similarity)).select(F.least("at", "p").alias("a"), F.greatest("at", "p").alias("b"))
     return pairs.select("a", "b").unionByName(star), large.join(first.select("bucket", F.col("p").alias("at")), ["bucket", "at"], "left_anti")
 
 
@@ -118,7 +163,7 @@ def near_copies(rows: DataFrame, made: DataFrame, width: int = 5, similarity: fl
     if classes is not None:
         meets = meets.unionByName(classes.select("row", "bucket").join(ones.select("row"), "row", "left_semi"))
     shared = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    at = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k", "k2", "row", "m").alias("at")
+    at = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k", "k2", "row", "m", *_MAPS).alias("at")
     left = stash(meets.join(shared, "bucket").join(ones.drop("buckets"), "row").select("bucket", at).distinct(), "meets")
     # Only rows that meet others are read again, for their sets; rows of one key have one text.
     who = left.select(F.col("at.k").alias("k")).distinct()
@@ -127,9 +172,8 @@ def near_copies(rows: DataFrame, made: DataFrame, width: int = 5, similarity: fl
     sets = stash(sets if repeated.isEmpty() else sets.dropDuplicates(["k", "k2"]), "sets")
     gone, turn = None, 0
     while not left.isEmpty():
-        pairs, rest = _meetings(left, crowd if turn else 2, 4**turn)
-        ratio = F.least("a.m", "b.m") / F.greatest("a.m", "b.m")  # never less than the similarity
-        pairs = pairs.where(ratio >= similarity).select(
+        pairs, rest = _meetings(left, crowd, 4**turn, similarity) if turn else (_leaders(left, similarity), left)
+        pairs = pairs.select(
             *[F.col(f"{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("k", "k2")], F.col("b.row").alias("row")
         ).distinct()
         for s in "ab":

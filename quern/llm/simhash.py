@@ -21,34 +21,29 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import delete, fresh_path, map_arrow, quoted, row_key, stash, stash_at, text_of, without
 from quern.llm.components import components
-from quern.llm.near_copies import near_copies, sketches
+from quern.llm.near_copies import near_copies, shingle_hashes, sketches
 
 #: Shingles whose bits are counted at once, so that memory stays bounded on very long texts.
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64-bit fingerprint of a whole text, unsigned. Bit i is 1 if it is set in over half of the shingle hashes."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only SPACES cut
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(found) - width + 1)
-    first, last = starts[:n].tolist(), ends[min(width, len(found)) - 1:].tolist()
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        part = [digest(joined[i:j], seed) for i, j in zip(first[at:at + BLOCK], last[at:at + BLOCK])]
-        bits = np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit fingerprint of shingle hashes, unsigned. Bit i is 1 if it is set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at:at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         votes += np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Fingerprint of a whole text; zero if it has no words."""
+    return fingerprint_of(shingle_hashes(text, width, seed))
 
 
 def _prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -166,6 +161,6 @@ def keep_one(
     any name come back as they were.
     """
     rows = docs.select(*[c.alias(k) for k, c in row_key(id_col, text_col).items()], F.col(quoted(id_col)).cast("long").alias("id"), text_of(text_col).alias("text"))
-    made = sketches(rows, partial(fingerprint, width=width), width)
+    made = sketches(rows, fingerprint_of, width)
     classes = classed(made.select(F.col("row").alias("doc_id"), "fp")).select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("bucket"))
     return without(docs, id_col, text_col, stash(near_copies(rows, made, width, similarity, classes), "lost"))

@@ -157,7 +157,7 @@ def test_crowd_of_copies(spark):
     unlike = [" ".join(f"v{rng.randrange(9999)}" for _ in range(50)) for _ in range(30)]
     df = documents(spark, near + unlike, repeat=False)
     keyed = df.select(*[c.alias(k) for k, c in row_key("doc_id", "text").items()], F.col("doc_id").alias("id"), "text")
-    made = near_copies.sketches(keyed, simhash.fingerprint)
+    made = near_copies.sketches(keyed, simhash.fingerprint_of)
     meet = made.select("row", F.lit(1).cast("long").alias("bucket"))
     gone = near_copies.near_copies(keyed, made, classes=meet, crowd=4).join(made, ["k", "k2"])
     gone = {r[0] for r in rows(gone, "id")}
@@ -244,3 +244,13 @@ def test_sieve(spark):
             assert not any(r.maybe for r in got if not r.want)
     none = sieve(rows_, "x", spark.createDataFrame([], "k long"))
     assert not none.where("maybe").count() and none.count() == len(keys) + 500
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for share in (0, 0.05, 0.3, 1):
+            b = np.unique(np.where(rng.random(len(a)) < share, rng.integers(0, 1 << 64, len(a), np.uint64), a))
+            apart = sum(int(x).bit_count() for x in (near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b)) and (share or not apart)
