@@ -19,12 +19,13 @@ def _words(text: Column) -> Column:
 def word_errors(reference: Column, hypothesis: Column) -> Column:
     """Word edit distance: each distinct word of a pair becomes one character from U+4E00 on, then characters are compared.
 
-    Holds for pairs of up to 34,000 distinct words.
+    A pair of more than 35,000 distinct words, for which there are not enough such characters, is an error.
     """
     r, h = _words(reference), _words(hypothesis)
     known = F.array_distinct(F.concat(r, h))
     mapped = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 19967), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(mapped(r), mapped(h)).cast("long")
+    many = F.raise_error(F.lit("word_errors: over 35,000 distinct words in a pair")).cast("long")
+    return F.when(F.size(known) > 35_000, many).otherwise(F.levenshtein(mapped(r), mapped(h)).cast("long"))
 
 
 def reference_words(reference: Column) -> Column:

@@ -41,11 +41,11 @@ def manifest_summary(df: DataFrame, dimensions: tuple[str, ...] = ("dataset", "s
     return grouped.select(name.alias("dimension"), value.alias("value"), "examples", "hours")
 
 
-def text_profile(df: DataFrame, low: int = X.TAMIL[0], high: int = X.TAMIL[1]) -> DataFrame:
+def text_profile(df: DataFrame, low: int = X.TAMIL[0], high: int = X.TAMIL[1], fraction: Column | None = None, latin: str = X.LATIN_TOKEN) -> DataFrame:
     """Counts by dataset: rows, characters, rows with Latin tokens and annotations, three bands of script fraction."""
-    banded = df.withColumn("__f", X.script_fraction(F.col("text"), low, high))
+    banded = df.withColumn("__f", X.script_fraction(F.col("text"), low, high) if fraction is None else fraction)
     return banded.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("examples"), F.sum(F.char_length("text")).cast("long").alias("characters"), F.count_if(F.col("text").rlike(X.LATIN_TOKEN)).alias("latin_token_examples"),
+        F.count(F.lit(1)).alias("examples"), F.sum(F.char_length("text")).cast("long").alias("characters"), F.count_if(F.col("text").rlike(latin)).alias("latin_token_examples"),
         F.count_if(X.has_annotation(F.col("text"))).alias("annotation_examples"), F.count_if(F.col("__f") >= 0.95).alias("fraction_ge_95"),
         F.count_if((F.col("__f") >= 0.5) & (F.col("__f") < 0.95)).alias("fraction_50_95"), F.count_if(F.col("__f") < 0.5).alias("fraction_below_50"),
     )

@@ -13,11 +13,17 @@ def weighted_mean_loss(df: DataFrame, loss: str, tokens: str, order: list[str],
     )
 
 
-def log_windows(df: DataFrame, step: str, every: int, loss: str, tokens: str) -> DataFrame:
-    """Sums that are reset at each log point: windows of ``every`` steps from step 1 on."""
-    return df.groupBy(F.expr(f"({step} - 1) div {every}").alias("window")).agg(
+def log_windows(df: DataFrame, step: str, every: int, loss: str, tokens: str, keys: tuple[str, ...] = (), seconds: str | None = None, waits: tuple[str, ...] = ()) -> DataFrame:
+    """Sums that are reset at each log point: windows of ``every`` steps from step 1 on, apart for each of ``keys``.
+
+    With ``seconds`` (wall time of a row) also ``tokens_per_second``, and for each column of ``waits``, seconds spent on
+    something, its share of the wall time as ``<column>_fraction``.
+    """
+    wall = F.greatest(F.sum(seconds), F.lit(1e-9)) if seconds else None
+    timed = [(F.sum(tokens) / wall).alias("tokens_per_second"), *[(F.sum(w) / wall).alias(f"{w}_fraction") for w in waits]] if seconds else []
+    return df.groupBy(*keys, F.expr(f"({step} - 1) div {every}").alias("window")).agg(
         F.max(step).alias("last_step"), (F.sum(F.col(loss) * F.col(tokens)) / F.greatest(F.sum(tokens), F.lit(1))).alias("token_loss"),
-        F.avg(loss).alias("microbatch_loss"), F.sum(tokens).cast("long").alias("tokens"), F.count(F.lit(1)).alias("microbatches"),
+        F.avg(loss).alias("microbatch_loss"), F.sum(tokens).cast("long").alias("tokens"), F.count(F.lit(1)).alias("microbatches"), *timed,
     )
 
 

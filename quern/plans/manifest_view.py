@@ -10,7 +10,6 @@ from quern.operators.quality import Thresholds, reject_reason
 from quern.session import ensure_importable
 
 THRESHOLDS = Thresholds(min_alignment=0.05, min_script_fraction=0.9)
-MAX_WORDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +36,10 @@ def judged_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as references, each with the turn after it as hypothesis, both cut to MAX_WORDS words."""
+    """Turns of conversations as references, each with the turn after it as hypothesis, whole, with white space squeezed."""
     from pyspark.sql import Window
 
-    cut = lambda c: F.array_join(F.slice(F.filter(F.split(c, X.WS), lambda w: w != ""), 1, MAX_WORDS), " ")
+    cut = X.squeeze
     turns = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     c, t = F.col("conv_id"), F.col("turn")
     return turns.where("next is not null").select(
@@ -83,7 +82,7 @@ j AS (
     WHEN {LATIN_SHARE} < 0.9 THEN 'low_tamil_fraction'
     WHEN alignment_score IS NULL OR alignment_score < 0.05 THEN 'low_or_missing_alignment' END AS reject_reason
   FROM v)"""
-_CUT = f"array_to_string((list_filter(regexp_split_to_array(%s, '{_WS}'), lambda w: w <> ''))[1:{MAX_WORDS}], ' ')"
+_CUT = f"trim(regexp_replace(%s, '{_WS}+', ' ', 'g'), ' ')"
 PAIRS = f"""
 p AS (
   SELECT conv_id || ':' || turn AS id, role AS dataset, CASE WHEN conv_id % 2 = 0 THEN 'test' ELSE '' END AS source_split, 'dom' || (conv_id % 3) AS domain,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,21 +15,31 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put what was staged in the place of ``path``. Readers see the old or the new folder."""
+    """Put what was staged in the place of ``path``.
+
+    What was there is moved aside first and deleted last, so a failure in between loses nothing: it leaves the old folder
+    under ``path`` or beside it. Readers may find none for the moment between the two renames.
+    """
     fs, target = _fs(spark, path)
-    source = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    fs.delete(target, True)
+    source, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, f"{path}.old-{uuid.uuid4().hex}"))
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"can't move {path} aside")
     if not fs.rename(source, target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"can't move {staged} to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
     """Write JSON lines with sorted keys to a staging folder, then move it into place; returns the row count."""
     spark, staged = df.sparkSession, f"{path}.staging-{uuid.uuid4().hex}"
-    df.select(*sorted(df.columns)).write.option("ignoreNullFields", "false").json(staged)
-    count = spark.read.text(staged).count()
+    seen = Observation()
+    df.select(*sorted(df.columns)).observe(seen, F.count(F.lit(1)).alias("n")).write.option("ignoreNullFields", "false").json(staged)
     _swap(spark, staged, path)
-    return count
+    return seen.get["n"]
 
 
 def write_splits(df: DataFrame, path: str) -> None:

@@ -38,10 +38,10 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return ids
 
 
-def pick_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def pick_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """The rows named by an id list, in its order; an id that no row has is an error."""
-    check(ids.join(rows, "id", "left_anti").select(F.lit("unknown id").alias("rule"), F.col("id").alias("key")), "id list")
-    return ids.join(rows, "id").orderBy("ordinal")
+    check(ids.join(rows.select(key), key, "left_anti").select(F.lit("unknown id").alias("rule"), F.col(key).cast("string").alias("key")), "id list")
+    return ids.join(rows, key).orderBy("ordinal")
 
 
 def load_yaml(path: str) -> dict[str, Any]:

@@ -85,9 +85,18 @@ def scan(spark: SparkSession, cfg: DatasetConfig) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def scan_enabled(spark: SparkSession, configs: list[DatasetConfig]) -> DataFrame:
+    """The rows of all datasets that are enabled, by name. None enabled is an error."""
+    chosen = sorted((c for c in configs if c.enabled), key=lambda c: c.name)
+    if not chosen:
+        raise ValueError("no dataset is enabled")
+    return reduce(lambda a, b: a.unionByName(b), [scan(spark, c) for c in chosen])
+
+
 def _scan_group(spark: SparkSession, cfg: DatasetConfig, split: str, paths: list[str]) -> DataFrame:
     df = spark.read.parquet(*paths)
     cols = _resolve(cfg, df.columns)
+    check_embedded(df.schema, cols["audio"], cfg.name)
     root = cfg.root.rstrip("/") + "/"
     variants = X.variants(**{c: F.col(c) for c in cols["audit_text"]})
     relative = F.element_at(F.split(F.col("file_path"), r"\Q" + root.split(":")[-1] + r"\E", 2), -1)

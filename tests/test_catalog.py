@@ -28,3 +28,20 @@ def test_query_matches_sql(spark, sf, name, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["dataset", "split", "examples", "hours"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_word_errors_of_whole_turns(spark, sf):
+    """Against a plain edit distance over words, on turns of hundreds of words."""
+    db = duckdb.connect()
+    turns = db.sql(f"SELECT conv_id, turn, text FROM '{sf}/conversations.parquet' ORDER BY 1, 2").fetchall()
+    pairs = {f"{a[0]}:{a[1]}": (a[2].split(), b[2].split()) for a, b in zip(turns, turns[1:]) if a[0] == b[0] and a[2].split()}
+    got = {r.id: (r.word_errors, r.reference_words) for r in catalog.QUERIES["wer_scores"](spark, sf).collect()}
+    assert set(got) == set(pairs) and max(len(x) for x, _ in pairs.values()) > 40
+    for name in sorted(pairs)[:12]:
+        x, y = pairs[name]
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        assert got[name] == (row[-1], len(x))

@@ -158,6 +158,23 @@ def test_log(spark):
     assert rows(training_log.superseded_checkpoints(listing, 2), "path") == [("p/checkpoint-9",)]
 
 
+def test_log_windows_timing(spark):
+    log = spark.createDataFrame([(1, 2.0, 10, 2.0, 0.5), (2, 4.0, 30, 2.0, 1.5), (3, 1.0, 5, 1.0, 0.0)], "step long, loss double, tokens long, seconds double, wait double")
+    got = training_log.log_windows(log, "step", 2, "loss", "tokens", seconds="seconds", waits=("wait",))
+    assert rows(got, "window", "last_step", "token_loss", "microbatch_loss", "tokens_per_second", "wait_fraction") == [(0, 2, 3.5, 3.0, 10.0, 0.5), (1, 3, 1.0, 1.0, 5.0, 0.0)]
+
+
+def test_enabled_and_embedded(spark, tmp_path):
+    spark.createDataFrame([(bytearray(b"x"), "some text", 2.0)], "audio binary, text string, duration double").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([("x.wav", "some text", 2.0)], "audio string, text string, duration double").write.parquet(str(tmp_path / "b"))
+    make = lambda name, **more: scan.DatasetConfig(name, f"file:{tmp_path}", {"train": [f"{name}/*.parquet"]}, ["audio"], ["text"], ["duration"], **more)
+    assert rows(scan.scan_enabled(spark, [make("b", enabled=False), make("a")]), "dataset") == [("a",)]
+    with pytest.raises(ValueError, match="path-only"):
+        scan.scan(spark, make("b"))
+    with pytest.raises(ValueError, match="enabled"):
+        scan.scan_enabled(spark, [make("a", enabled=False)])
+
+
 def test_scan_and_round_trip(spark, tmp_path):
     root = tmp_path / "corpus"
     data = [(bytearray(b"x"), "தமிழ் மொழி " * 3, "2.5", "s1"), (bytearray(b"y"), None, "3", "s2")]
