@@ -47,7 +47,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.parts: list[bytes] | None = None
+        self.parts: np.ndarray | None = None
         self.text = [model.id_to_piece(i) for i in range(size)]
         self.byte_id = np.zeros(256, np.int64)
         trie: dict[tuple[int, int], int] = {}
@@ -77,14 +77,47 @@ class Pieces:
         self.after = np.full(1 << 16, -1, np.int64)  # the state after a first character
         begin = self.keys < 1 << 16
         self.after[self.keys[begin]] = self.next[begin]
+        self._hash()
+
+    def _hash(self) -> None:
+        """An open hash table of the edges, filled all at once, one probe after the other."""
+        self.shift = 64 - (4 * len(self.keys)).bit_length()
+        size = 1 << 64 - self.shift
+        self.slot_key, self.slot_next = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        left, self.probes = np.arange(len(self.keys)), 0
+        while len(left):
+            slot = (self._slot(self.keys[left]) + self.probes) & (size - 1)
+            first = np.unique(slot, return_index=True)[1]
+            first = first[self.slot_key[slot[first]] < 0]
+            self.slot_key[slot[first]], self.slot_next[slot[first]] = self.keys[left[first]], self.next[left[first]]
+            left, self.probes = np.delete(left, first), self.probes + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).view(np.int64)
+
+    def step(self, keys: np.ndarray) -> np.ndarray:
+        """The states that the edges with these keys lead to, -1 where there is none."""
+        slot = self._slot(keys)
+        held = self.slot_key[slot]
+        found = np.where(held == keys, self.slot_next[slot], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        for probe in range(1, self.probes):
+            if not len(left):
+                break
+            at = (slot[left] + probe) & (len(self.slot_key) - 1)
+            held = self.slot_key[at]
+            same = held == keys[left]
+            found[left[same]] = self.slot_next[at[same]]
+            left = left[~same & (held >= 0)]
+        return found
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """UTF-8 of piece ids: spaces restored, the first space dropped."""
         if self.parts is None:
-            self.parts = [t.replace(SPACE, " ").encode() for t in self.text]
+            self.parts = np.array([t.replace(SPACE, " ").encode() for t in self.text], object)
             for byte, i in enumerate(self.byte_id.tolist()):
                 self.parts[i] = bytes([byte])
-        return b"".join(map(self.parts.__getitem__, ids.tolist()))[1:]
+        return b"".join(self.parts[ids])[1:]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(np.array(ids, np.int64)).decode("utf-8", "surrogatepass")
@@ -121,10 +154,9 @@ class Lattice:
                 active = np.flatnonzero(state >= 0)
                 state = state[active]
             else:
-                key = state << 21 | codes[active + length - 1]
-                at = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
-                ok = pieces.keys[at] == key
-                active, state = active[ok], pieces.next[at[ok]]
+                state = pieces.step(state.astype(np.int64) << 21 | codes[active + length - 1])
+                ok = state >= 0
+                active, state = active[ok], state[ok]
             hit = pieces.final[state] >= 0
             pos, ids, w = active[hit], pieces.final[state[hit]], pieces.weight[state[hit]]
             if length == 1:  # characters without a piece: their bytes, as one edge
