@@ -85,9 +85,12 @@ def without(docs: DataFrame, id_col: str, text_col: str, lost: DataFrame) -> Dat
 
 def _tidy(batches: Iterator[pa.RecordBatch], function: Callable) -> Iterator[pa.RecordBatch]:
     """Run a function over a task's batches and give its memory back afterwards: workers live on, idle, beside the JVM."""
-    yield from function(batches)
+    pool = pa.default_memory_pool()
+    for made in function(batches):
+        yield made
+        pool.release_unused()
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    pool.release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:

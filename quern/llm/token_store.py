@@ -11,13 +11,12 @@ A file holds documents in ascending id order. Layout, all numbers little-endian:
     8 bytes   QTOK0001
 
 The dictionary lies beside the files under its hash. It is trained on serialized id arrays of at most ``sample`` documents, those
-with the least hashes of id and ids in the whole table, a run of at most SPAN ids of each from a place that the hash chooses;
+with the least hashes of id and text in the whole table, a run of at most SPAN ids of each from a place that the hash chooses;
 so it doesn't depend on how the table is dealt. A table too small to train on gets no dictionary. Everything
 else covers whole texts, and what is read back doesn't depend on the dictionary.
 
-Texts are encoded where they are read; what is written out, dealt into ranges of ids and sorted are their ids, two bytes
-each. A task writes a file under a name of its own and moves it into place, and only files named by tasks that
-ended are read, so a lost executor leaves nothing behind that counts. The only global step is a running sum over files.
+A task writes a file under a name of its own and moves it into place, and only files named by tasks that ended are
+read, so a lost executor leaves nothing behind that counts. The only global step is a running sum over files.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import delete, fresh_path, map_arrow, quoted, stash_at, text_of
+from quern.llm.common import fresh_path, map_arrow, quoted, text_of
 from quern.llm.tokens import encoder, public_vocabulary, vocabulary_size
 
 MAGIC, HEAD, TAIL = b"QTOK0001", struct.Struct("<8sI32s"), struct.Struct("<QQ8s")
@@ -48,6 +47,8 @@ NO_ID = -(1 << 63)
 
 #: Most ids of a document that the dictionary is trained on.
 SPAN = 4096
+#: Units that a worker keeps the ids of; a store is written by jobs that have the executor for themselves.
+UNITS = 800_000
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 16) -> bytes:
@@ -131,13 +132,7 @@ class TokenFile:
             k = upto
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, mode: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes() for ids in encoder(path, mode).encode(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["doc_id", "ids"])
-
-
-def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int, dictionary: bytes) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, mode: str, end_id: int, width: int, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     first = next(batches, None)
     while first is not None and not len(first):
         first = next(batches, None)
@@ -148,8 +143,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int, dictionar
 
     def documents() -> Iterator[tuple[int | None, np.ndarray]]:
         for batch in itertools.chain([first], batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield doc_id, np.frombuffer(ids.as_py(), f"<u{width}")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, mode, most_units=UNITS).encode(batch.column(1))):
+                yield doc_id, np.append(ids, np.uint32(end_id))
 
     with store.open_output_stream(f"{root}/{name}.part") as stream:
         index = write_file(stream, documents(), width, dictionary)
@@ -159,14 +154,21 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int, dictionar
     })
 
 
-def sample_runs(encoded: DataFrame, sample: int, width: int) -> list[bytes]:
-    """Runs of at most SPAN ids of at most ``sample`` documents, those of the least hashes, in that order. Only the runs reach the driver."""
-    hashed = encoded.withColumn("h", F.xxhash64("doc_id", "ids"))
+def _runs(batches: Iterator[pa.RecordBatch], path: str, mode: str, width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = []
+        for h, ids in zip(batch.column(0).to_pylist(), encoder(path, mode, most_units=UNITS).encode(batch.column(1))):
+            at = h % max(1, len(ids) - SPAN + 1)
+            runs.append(ids[at:at + SPAN].astype(f"<u{width}").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["h", "run"])
+
+
+def sample_runs(rows: DataFrame, path: str, mode: str, sample: int, width: int) -> list[bytes]:
+    """Runs of at most SPAN ids of at most ``sample`` rows (doc_id, text), those of the least hashes, in that order. Only hashes and runs reach the driver."""
+    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text")
     least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
-    n = F.floor(F.octet_length("ids") / width).cast("int")
-    at = F.pmod(F.xxhash64("h"), F.greatest(n - SPAN + 1, F.lit(1)).cast("long")).cast("int")
-    runs = hashed.where(F.col("h").isin(least)).select("h", F.substring(F.col("ids"), at * width + 1, F.lit(SPAN * width)).alias("run"))
-    return [bytes(r.run) for r in runs.dropDuplicates(["h"]).orderBy("h").collect()]
+    chosen = hashed.where(F.col("h").isin(least)).dropDuplicates(["h"])
+    return [bytes(r.run) for r in map_arrow(chosen, partial(_runs, path=path, mode=mode, width=width), "h long, run binary").orderBy("h").collect()]
 
 
 def write_store(
@@ -179,17 +181,14 @@ def write_store(
     store.create_dir(root)
     width = 2 if vocabulary_size(path) <= 1 << 16 and end_id < 1 << 16 else 4
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    kept = fresh_path(docs.sparkSession, "ids")
-    encoded = stash_at(map_arrow(rows, partial(_encode, path=path, mode=mode, end_id=end_id, width=width), "doc_id long, ids binary"), kept)
-    dictionary = train_dictionary(sample_runs(encoded, sample, width))
+    dictionary = train_dictionary(sample_runs(rows, path, mode, sample, width))
     if dictionary:
         with store.open_output_stream(_dictionary_file(root, _digest(dictionary))) as f:
             f.write(dictionary)
     # The hash deals out rows that share an id or have none.
-    dealt = encoded.withColumn("x", F.xxhash64("ids")).repartitionByRange("doc_id", "x").sortWithinPartitions("doc_id", "x").select("doc_id", "ids")
-    work = partial(_write, folder=folder, width=width, dictionary=dictionary)
+    dealt = rows.withColumn("x", F.xxhash64("text")).repartitionByRange("doc_id", "x").sortWithinPartitions("doc_id", "x").select("doc_id", "text")
+    work = partial(_write, folder=folder, path=path, mode=mode, end_id=end_id, width=width, dictionary=dictionary)
     files = map_arrow(dealt, work, "path string, first long, last long, docs long, ids long").collect()  # one row a file
-    delete(docs.sparkSession, kept)
     files.sort(key=lambda r: (r["first"], r["last"]))
     starts = itertools.accumulate([r["ids"] for r in files], initial=0)
     return [(r["path"], start, r["ids"]) for r, start in zip(files, starts)]
@@ -213,7 +212,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_store(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Encode every text into files and read them back: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before, in ascending order of id (null first, then a hash of the ids where
+    ``start`` counts the ids of all documents before, in ascending order of id (null first, then a hash of the text where
     row ids repeat). Null text counts as empty: a document of the end id alone. Repeated rows are documents of their own, an empty
     table gives no file and no rows. Other columns are ignored. ``folder`` must be shared by driver and executors
     and of a kind that pyarrow opens; it lies under the checkpoint folder unless given.

@@ -28,7 +28,7 @@ _UNIT = {
 #: The same in the syntax of Arrow's regular expressions, which mark an edge between units by its two sides.
 _EDGE = f"({_LETTERS[:-1]})([,.!?;:|#$%&*])"
 _ODD = "[ \\n][" + _RE2_WS + "]|[" + _RE2_WS + "][ \\n]"
-_PLAIN = re.compile(_LETTERS)
+_PLAIN = {"word": re.compile(_LETTERS).fullmatch, "byte": re.compile(" " + _LETTERS).fullmatch}
 _SAFE = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
 
 _loaded: dict[str, object] = {}
@@ -48,10 +48,10 @@ def _tokenizer(path: str):
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
-def encoder(path: str, mode: str) -> "Encoder":
+def encoder(path: str, mode: str, **bounds: int) -> "Encoder":
     """The encoder of this worker process, which keeps the units of earlier tasks, up to its bound."""
     if (path, mode) not in _encoders:
-        _encoders[path, mode] = Encoder(path, mode)
+        _encoders[path, mode] = Encoder(path, mode, **bounds)
     return _encoders[path, mode]
 
 
@@ -69,18 +69,30 @@ def vocabulary_size(path: str) -> int:
 class Encoder:
     """Encodes texts with one vocabulary file. mode: ``word`` if white space never reaches a token, else ``byte``."""
 
-    def __init__(self, path: str, mode: str, most_units: int = 250_000, span: int = 1 << 22) -> None:
+    def __init__(self, path: str, mode: str, most_units: int = 200_000, span: int = 1 << 22) -> None:
         self.tokenizer, self.unit, self.most_units, self.span = _tokenizer(path), _UNIT[mode], most_units, span
-        self.ends_word, self.mode = None, mode
-        if mode == "word":
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.plain, self.glue = _PLAIN[mode], " " if mode == "word" else ""
+        self.mode = mode
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or that begin one with its space
+        self.edge[[i for token, i in vocabulary.items() if (token.endswith("</w>") if mode == "word" else token.startswith("Ġ"))]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _thin(self) -> None:
+        """Forget the units that one batch of texts alone had, and of the others the rarer ones if they fill over half of the cache."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.most_units // 2:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], self.most_units // 2)[:self.most_units // 2]])
+        units = list(self.at)
+        self.at = {units[i]: k for k, i in enumerate(keep.tolist())}
+        begin, size = self.ends[keep], self.ends[keep + 1] - self.ends[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.ends, self.uses = np.concatenate((np.zeros(1, np.int64), ends)), self.uses[keep] // 2
 
     def _parts(self, text: str) -> Iterator[str]:
         """A very long text in parts, cut where a cut changes no id."""
@@ -95,14 +107,14 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode units that aren't known yet."""
-        plain: list[str] = []
-        if self.ends_word is not None:  # letters alone are one pre-token each, whose last id ends a word
-            plain = [u for u in new if _PLAIN.fullmatch(u)]
-            ids = np.array([i for k in range(0, len(plain), 1000) for i in self.tokenizer.encode(" ".join(plain[k:k + 1000]), add_special_tokens=False).ids], np.uint32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(plain):
-                self._add(plain, ids, ends)
-                new = [u for u in new if u not in self.at]
+        plain = [u for u in new if self.plain(u)]
+        # Words of letters alone are pre-tokens of their own, and in a row of them the ids at their edges tell them apart.
+        ids = [self.tokenizer.encode(self.glue.join(plain[k:k + 1000]), add_special_tokens=False).ids for k in range(0, len(plain), 1000)]
+        ids = np.concatenate([np.array(i, np.uint32) for i in ids] or [np.zeros(0, np.uint32)])
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) == len(plain):
+            self._add(plain, ids, edges + 1 if self.mode == "word" else np.append(edges[1:], len(ids)) if len(ids) else edges)
+            new = [u for u in new if u not in self.at]
         got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         self._add(new, np.array([i for g in got for i in g], np.uint32), np.cumsum([len(g) for g in got], dtype=np.int64))
 
@@ -111,6 +123,7 @@ class Encoder:
         self.at.update(zip(new, range(n, n + len(new))))
         self.ends = np.concatenate((self.ends, self.ends[-1] + ends))
         self.flat = np.concatenate((self.flat, ids))
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int32)))
 
     def _marked(self, texts: pa.Array) -> pa.Array:
         """The texts with a NUL between units."""
@@ -127,14 +140,18 @@ class Encoder:
     def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and where each text ends among them. No text has a NUL."""
         if len(self.at) > self.most_units:
-            self._clear()
+            self._thin()
         parts = pc.split_pattern(self._marked(texts), "\0")
         code = pc.dictionary_encode(parts.flatten())
         distinct = code.dictionary.to_pylist()
-        new = [u for u in distinct if u not in self.at]
-        if new:
+        get = self.at.get
+        known = np.fromiter((get(u, -1) for u in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
             self._learn(new)
-        known = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+            known[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        self.uses[known] += 1
         which = known[code.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
         begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
         ends = np.cumsum(size)

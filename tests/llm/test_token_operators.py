@@ -31,6 +31,17 @@ def test_encoder(mode, bounds):
     assert [g.tolist() for g in Encoder(public_vocabulary(FILES[mode]), mode, **bounds).encode(TEXTS)] == library(mode, TEXTS)
 
 
+def test_encoder_forgets(spark):
+    """Texts come out the same while the cache is thinned again and again."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 300) % 5000) + " the cat, sat" for _ in range(60)]
+    for mode in FILES:
+        made = Encoder(public_vocabulary(FILES[mode]), mode, most_units=300)
+        got = [g.tolist() for k in range(0, 60, 6) for g in made.encode(texts[k:k + 6])]
+        assert got == library(mode, texts) and len(made.at) < 2500
+        assert len(made.uses) == len(made.at) == len(made.ends) - 1 and made.ends[-1] == len(made.flat)
+
+
 def check_pieces(got, source, window):
     by_id = {d: np.array([*ids, 1], "<u4") for (d, _), ids in zip(source, library("word", [t for _, t in source]))}
     docs, sequences = defaultdict(list), defaultdict(list)
@@ -124,9 +135,10 @@ def test_store_sample(spark):
     assert Counter((d, n) for d, _, n, _ in got) == wanted
     assert [d for d, *_ in got] == sorted((d for d, _ in data), key=lambda d: (d is not None, d or 0))
     assert [r[1] for r in got] == list(itertools.accumulate((r[2] for r in got), initial=0))[:-1]
-    encoded = spark.createDataFrame([(1, bytearray(range(256)) * 100), (2, bytearray(b"ab"))], "doc_id long, ids binary")
-    runs = token_store.sample_runs(encoded, 5, 2)
-    assert sorted(map(len, runs)) == [2, 2 * token_store.SPAN] and all(r in bytes(bytearray(range(256)) * 100) or r == b"ab" for r in runs)
+    path, long = public_vocabulary(FILES["byte"]), "x y z " * 9_000
+    runs = token_store.sample_runs(spark.createDataFrame([(1, long), (1, long), (2, "ab")], "doc_id long, text string"), path, "byte", 5, 2)
+    want = np.array(library("byte", [long])[0], "<u2").tobytes()
+    assert sorted(map(len, runs)) == [2, 2 * token_store.SPAN] and max(runs, key=len) in want
     assert token_store.train_dictionary([b"ab"]) == b""
 
 
