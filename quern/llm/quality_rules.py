@@ -146,9 +146,9 @@ def count_ngrams(rows: DataFrame, bits: int) -> np.ndarray:
     """Counts of the buckets over all rows of one text column."""
     schema, parts = "part int, salt int, counts binary", 1 << bits - BLOCK_BITS
     blocks = map_arrow(rows, partial(_count, bits=bits), schema)
-    blocks = map_arrow(blocks.repartition(parts * 4, "part", "salt"), _sum, schema)
+    blocks = map_arrow(blocks.repartition("part", "salt"), _sum, schema)
     total = np.zeros((parts, 1 << BLOCK_BITS), np.int64)
-    for row in map_arrow(blocks.repartition(parts, "part"), _sum, schema).collect():  # one row for each block
+    for row in map_arrow(blocks.repartition("part"), _sum, schema).collect():  # one row for each block
         data = bytes(row.counts)
         total[row.part] += np.frombuffer(data, "<u4" if len(data) == 4 << BLOCK_BITS else "<u8").astype(np.int64)
     return total.ravel()
