@@ -21,22 +21,27 @@ from quern.llm.common import stash, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier scores 0.3 or more, see quality_classifier.keep_good."""
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts equal but for white space, see exact_dedup.keep_one."""
     return exact_dedup.keep_one(docs)
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without an earlier near copy, see simhash.keep_one."""
     return simhash.keep_one(docs)
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked, see secrets.mask_secrets."""
     return secrets.mask_secrets(docs)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, see packing.pack_documents."""
     return packing.pack_documents(docs, window=2048, end_id=1)
 
 
@@ -48,7 +53,7 @@ STAGES = [
     ("packing", packed_documents),
 ]
 
-#: A fitted classifier and a tokenizer have no SQL; the tests compare the stages with brute force.
+#: A fitted classifier and a tokenizer have no SQL. The tests check the stages on a small table, and the operators behind them on their own.
 ORACLE_SQL = None
 
 
