@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import (
     exact_dedup,
     html_extract,
+    multiset_hash,
     packing,
     piece_sampling,
     quality_classifier,
@@ -61,6 +62,10 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"), samples=2, alpha=0.8, seed=42)
 
 
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_extract": op2_html_extract,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_piece_sampling": op10_piece_sampling,
+    "op11_multiset_hash": op11_multiset_hash,
 }
 
 ORACLE_SQL: dict[str, str] = {
