@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import (
+    alignment,
     exact_dedup,
     html_extract,
     multiset_hash,
@@ -14,6 +15,7 @@ from quern.llm import (
     piece_sampling,
     quality_classifier,
     quality_rules,
+    ranked_search,
     secrets,
     sharding,
     simhash,
@@ -66,6 +68,14 @@ def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_extract": op2_html_extract,
@@ -78,8 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_piece_sampling": op10_piece_sampling,
     "op11_multiset_hash": op11_multiset_hash,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op12_ranked_search": ranked_search.SQL,
 }
