@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from quern.llm.tokens import _LETTERS, _WS, _tokenizer, public_vocabulary
 #: Documents of a run at most, and most occurrences that one entry of a posting holds (more take several entries).
 RUN, MOST = 1 << 11, (1 << 20) - 1
 #: Units that a worker keeps; characters of a text that are worked on at a time.
-UNITS, SPAN = 150_000, 1 << 21
+UNITS, SPAN = 250_000, 1 << 20
+_PLAIN = re.compile(" " + _LETTERS).fullmatch
 _ODD = re.compile(f"[ \\n][{_WS}]|[{_WS}][ \\n]|\\0")
 _SAFE = re.compile(f"(?<=[^{_WS}])(?= [^{_WS}])|(?<=[^{_WS}])(?=\\n[^{_WS}])|(?<=[^{_WS}]\\n)(?=[^{_WS}])")
 _CUT = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
@@ -84,82 +86,177 @@ class Aligner:
         if any(re.search(f"[^▁]▁|{_LETTERS[:-1]}[,.!?;:|#$%&*]|.\\n|\\n.", p) for i, p in enumerate(pieces) if not self.b.is_byte(i)):
             raise ValueError("a piece reaches over the edge of a unit")
         self.lead = self.b.encode("\n")  # what stands before a unit that is encoded after a line feed
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in each], np.int64) for each in (self.a_bytes, self.b_bytes))
+        self.a_first = np.array([t[:1] == b" " for t in self.a_bytes])
+        self.b_first = np.array([t[:1] == b" " for t in self.b_bytes])
+        #: Every id in decimals, with each thing that may follow it: in a stream, between streams, between groups, at a unit's end.
+        self.digits = [f"{i}{end}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for end in ",|;\n"]
         self.most_units = most_units or UNITS
-        self._clear()
-
-    def _clear(self) -> None:
         self.at: dict[str, int] = {}
         self.groups: list[str] = []
-        #: By unit: tokens of A and of B, links; a unit whose bytes a tokenizer changed has no links.
-        self.sizes, self.flat, self.ends = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
+        #: By unit: tokens of A and of B, batches that had it, its links among ``flat``. A unit whose bytes a tokenizer changed has no links.
+        self.sizes, self.uses, self.flat, self.ends = np.zeros((0, 2), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _thin(self) -> None:
+        """Forget the units that one batch alone had, and of the others the rarer ones if they fill over half of the cache."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.most_units // 2:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], self.most_units // 2)[:self.most_units // 2]])
+        units, which = list(self.at), keep.tolist()
+        self.at, self.groups = {units[i]: k for k, i in enumerate(which)}, [self.groups[i] for i in which]
+        self.flat, size = _runs(self.flat, self.ends, keep)
+        self.ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
+
+    def _streams(self, new: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and of B over all units, and how many of each a unit has. Plain units, a space and letters, are encoded in a row; None where
+        the edges between them can't be told apart."""
+        if plain:
+            rows = ["".join(new[k:k + 1000]) for k in range(0, len(new), 1000)]
+            a = np.array([i for e in self.a.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids], np.int64)
+            b = np.array([i for ids in self.b.encode([r[1:] for r in rows], num_threads=1) for i in ids], np.int64)
+            firsts = np.flatnonzero(self.a_first[a]), np.flatnonzero(self.b_first[b])
+            if any(len(f) != len(new) for f in firsts):
+                return None
+            return a, b, np.diff(firsts[0], append=len(a)), np.diff(firsts[1], append=len(b))
         a_ids = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         b_ids = [i[len(self.lead):] for i in self.b.encode(["\n" + u for u in new], num_threads=1)]
-        links, ends, sizes = [], [], []
-        for unit, a, b in zip(new, a_ids, b_ids):
-            self.at[unit] = len(self.at)
-            data, x, y = unit.encode("utf-8", "surrogatepass"), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(x) != data or b"".join(y) != data:
-                self.groups.append("")
-                sizes.append((0, 0))
-                ends.append(len(links))
-                continue
-            made, i, j, p, q, i0, j0 = [], 0, 0, 0, 0, 0, 0
-            while i < len(a):  # the ends of both streams, merged
-                if p <= q:
-                    p += len(x[i])
-                    i += 1
-                if q < p:
-                    q += len(y[j])
-                    j += 1
-                while q < p:
-                    q += len(y[j])
-                    j += 1
-                if p == q:
-                    made.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                    links.append(b[j - 1] << 32 | a[i - 1])
-                    i0, j0 = i, j
-            self.groups.append(";".join(made))
-            sizes.append((len(a), len(b)))
-            ends.append(len(links))
-        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64).reshape(-1, 2)))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.array(ends, np.int64)))
-        self.flat = np.concatenate((self.flat, np.array(links, np.int64)))
-
-    def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens of A, of B, groups, SHA-256 of the groups, linked pairs as B id << 32 | A id, multiplicities) of a whole text.
-
-        Zeros and empty values for a null or empty text, and for one whose bytes a tokenizer changes.
+        flat = [np.array([i for ids in x for i in ids], np.int64) for x in (a_ids, b_ids)]
+        return *flat, *(np.array([len(i) for i in x], np.int64) for x in (a_ids, b_ids))
+
+    def _learn(self, new: list[str]) -> None:
+        """Work out the groups of units that aren't known yet."""
+        plain = [u for u in new if _PLAIN(u)]
+        if len(plain) > 1:
+            streams = self._streams(plain, True)
+            if streams:
+                self._add(plain, *streams)
+                new = [u for u in new if u not in self.at]
+        if new:
+            self._add(new, *self._streams(new, False))
+
+    def _add(self, new: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        data = [u.encode("utf-8", "surrogatepass") for u in new]
+        bytes_, size_a, size_b = np.array([len(d) for d in data], np.int64), self.a_sizes[a], self.b_sizes[b]
+        unit_a, unit_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
+        sound = (np.bincount(unit_a, size_a, len(new)) == bytes_) & (np.bincount(unit_b, size_b, len(new)) == bytes_)
+        whole = b"".join(data)
+        if not sound.all() or any(b"".join(map(table.__getitem__, ids.tolist())) != whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
+            for i, d in enumerate(data):
+                x, y = a[at_a[i] - n_a[i]:at_a[i]], b[at_b[i] - n_b[i]:at_b[i]]
+                sound[i] = b"".join(self.a_bytes[t] for t in x) == d == b"".join(self.b_bytes[t] for t in y)
+            if not sound.all():
+                for i in np.flatnonzero(~sound).tolist():
+                    self._put([new[i]], [""], np.zeros((1, 2), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+                good = np.flatnonzero(sound)
+                if len(good):
+                    self._add([new[i] for i in good.tolist()], a[sound[unit_a]], b[sound[unit_b]], n_a[good], n_b[good])
+                return
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        place = np.searchsorted(end_b, end_a)
+        cut_a = np.flatnonzero(end_b[place] == end_a)  # tokens of A that end where one of B does; every unit's last is one
+        cut_b = place[cut_a]
+        links = b[cut_b] << 32 | a[cut_a]
+        unit = unit_a[cut_a]
+        last = np.diff(unit, append=-1) != 0
+        # tokens in the order of the text of groups: a group's of A, then its of B; what follows a token depends on where it stands
+        group_a, group_b = np.searchsorted(cut_a, np.arange(len(a))), np.searchsorted(cut_b, np.arange(len(b)))
+        before_b, upto_a = np.concatenate(([0], cut_b + 1))[group_a], (cut_a + 1)[group_b]
+        what = np.empty(len(a) + len(b), np.int64)
+        in_a, in_b = np.arange(len(a)) + before_b, np.arange(len(b)) + upto_a
+        what[in_a], what[in_b] = a * 4, b * 4
+        what[in_a[cut_a]] += 1
+        what[in_b[cut_b]] += np.where(last, 3, 2)
+        groups = "".join(map(self.digits.__getitem__, what.tolist())).split("\n")[:-1]
+        self._put(new, groups, np.stack((n_a, n_b), 1), links, np.cumsum(np.bincount(unit, minlength=len(new))))
+
+    def _put(self, new: list[str], groups: list[str], sizes: np.ndarray, links: np.ndarray, ends: np.ndarray) -> None:
+        n = len(self.at)
+        self.at.update(zip(new, range(n, n + len(new))))
+        self.groups += groups
+        self.sizes, self.uses = np.concatenate((self.sizes, sizes)), np.concatenate((self.uses, np.zeros(len(new), np.int32)))
+        self.ends, self.flat = np.concatenate((self.ends, self.ends[-1] + ends)), np.concatenate((self.flat, links))
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """For each whole text: tokens of A, of B, groups, SHA-256 of the groups, linked pairs as B id << 32 | A id, multiplicities.
+
+        Zeros and empty values for a null or empty text, and for one whose bytes a tokenizer changes. Spans of texts are worked on together, up to
+        SPAN characters.
         """
-        nothing = 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return nothing
-        digest, n, found = hashlib.sha256(), np.zeros(2, np.int64), []
-        for k, span in enumerate(spans(" " + text)):
-            units = parts(span)
-            if len(self.at) > self.most_units:
-                self._clear()
-            get = self.at.get
-            which = list(map(get, units))
-            if None in which:
-                self._learn(list(dict.fromkeys(u for u, i in zip(units, which) if i is None)))
-                which = list(map(get, units))
-            at = np.array(which, np.int64)
-            begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-            if not size.all():
-                return nothing
-            n += self.sizes[at].sum(0)
-            upto = np.cumsum(size)
-            codes = self.flat[np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]))]
-            found.append(np.unique(codes, return_counts=True))
-            groups = self.groups
-            digest.update(((";" if k else "") + ";".join([groups[i] for i in which])).encode())
-        pairs, times = found[0]
-        if len(found) > 1:
-            pairs, back = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-            times = np.bincount(back, np.concatenate([c for _, c in found])).astype(np.int64)
-        return int(n[0]), int(n[1]), int(times.sum()), digest.hexdigest(), pairs, times
+        made = [_Text() for _ in texts]
+        held, size = [], 0
+        for text, one in zip(texts, made):
+            for span in spans(" " + text) if text else ():
+                held.append((one, parts(span)))
+                size += len(span)
+                if size >= SPAN:
+                    self._spans(held)
+                    held, size = [], 0
+        self._spans(held)
+        return [one.result() for one in made]
+
+    def _spans(self, held: list[tuple["_Text", list[str]]]) -> None:
+        if not held:
+            return
+        if len(self.at) > self.most_units:
+            self._thin()
+        get = self.at.get
+        which = [list(map(get, units)) for _, units in held]
+        if any(None in w for w in which):
+            self._learn(list(dict.fromkeys(u for (_, units), w in zip(held, which) for u, i in zip(units, w) if i is None)))
+            which = [list(map(get, units)) if None in w else w for (_, units), w in zip(held, which)]
+        at = np.fromiter(chain.from_iterable(which), np.int64, sum(map(len, which)))
+        codes, size = _runs(self.flat, self.ends, at)
+        edges = np.cumsum([0, *map(len, which)])
+        self.uses[np.unique(at)] += 1
+        n = np.add.reduceat(self.sizes[at], edges[:-1], axis=0)
+        upto = np.concatenate(([0], np.cumsum(size)))[edges]
+        sound, groups = np.add.reduceat(size == 0, edges[:-1]) == 0, self.groups.__getitem__
+        for k, (one, _) in enumerate(held):
+            if sound[k]:
+                one.add(n[k], codes[upto[k]:upto[k + 1]], ";".join(map(groups, which[k])))
+            else:
+                one.sound = False
+
+
+class _Text:
+    """What the spans of a text add up to."""
+
+    def __init__(self) -> None:
+        self.n, self.found, self.digest, self.sound = np.zeros(2, np.int64), [], None, True
+
+    def add(self, n: np.ndarray, codes: np.ndarray, groups: str) -> None:
+        self.n = self.n + n
+        self.found.append(_distinct(codes))
+        if self.digest is None:
+            self.digest = hashlib.sha256()
+        else:
+            self.digest.update(b";")
+        self.digest.update(groups.encode())
+
+    def result(self) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        if not self.sound or not self.found:
+            return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs, times = self.found[0]
+        if len(self.found) > 1:
+            pairs, back = np.unique(np.concatenate([p for p, _ in self.found]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([c for _, c in self.found])).astype(np.int64)
+        return int(self.n[0]), int(self.n[1]), int(times.sum()), self.digest.hexdigest(), pairs, times
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with counts, without its overhead for small arrays."""
+    held = np.sort(codes)
+    first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    return held[first], np.diff(first, append=len(held))
+
+
+def _runs(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the runs ``at``, one after the other, and the size of each run."""
+    begin, size = ends[at], ends[at + 1] - ends[at]
+    upto = np.cumsum(size)
+    return flat[np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)], size
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -196,7 +293,7 @@ def _encode(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterat
         for k in range(0, whole.num_rows, RUN):
             batch = whole.slice(k, RUN)
             first = batch["row"][0].as_py()
-            got = [made.align(t.as_py()) for t in batch["t"]]
+            got = made.align(batch["t"].to_pylist())
             digits = [pa.array([g[i] for g in got], pa.string() if i == 3 else pa.int64()) for i in range(4)]
             nulls = lambda kind, n=batch.num_rows: pa.nulls(n, kind)
             names = ["row", "doc_id", "n_a", "n_b", "n_groups", "sha", "pair", "links", "entries"]

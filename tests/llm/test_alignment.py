@@ -64,9 +64,10 @@ def test_units_encode_as_whole_texts(spark, sf):
 def test_spans_change_nothing(span, monkeypatch):
     made, text = L.Aligner(*PATHS, most_units=5), "".join(t for t in HARD if "▁" not in t) * 3
     monkeypatch.setattr(L, "SPAN", 1 << 30)
-    whole = made.align(text)
+    (whole,) = made.align([text])
     monkeypatch.setattr(L, "SPAN", span)
-    cut = made.align(text)
+    cut, same, none, odd, again = made.align([text, text, None, "a▁b " + text, text])
+    assert none[:4] == odd[:4] == (0, 0, 0, "") and same[:4] == again[:4] == cut[:4]
     assert whole[:4] == cut[:4] and whole[2] > 0
     assert (whole[4] == cut[4]).all() and (whole[5] == cut[5]).all()
 
