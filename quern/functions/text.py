@@ -1,9 +1,8 @@
-"""Text expressions. All are built-in functions but for Unicode folding and BLAKE2, which are Arrow UDFs."""
+"""Text expressions. All are built-in functions but for Unicode composition and folding and BLAKE2, which are Arrow UDFs."""
 
 from __future__ import annotations
 
 import hashlib
-import re
 import unicodedata
 from functools import reduce
 
@@ -21,17 +20,62 @@ LATIN_TOKEN = r"\b[A-Za-z][A-Za-z0-9_.+-]*\b"
 TAMIL = (0x0B80, 0x0BFF)
 
 
-_control, _space = re.compile(CONTROL_TOKEN), re.compile(r"\s+")
+def _ranges(codes: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    out, start = [], None
+    for c, after in zip(codes, [*codes[1:], None]):
+        start = c if start is None else start
+        if after != c + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{c:x}}}")
+            start = None
+    return "".join(out)
 
 
-def _normalized(text: str | None) -> str:
-    value = unicodedata.normalize("NFC", text or "").translate({0x200B: None, 0xFEFF: None})
-    return _space.sub(" ", _control.sub(" ", value)).strip(" ")
+def _composition() -> tuple[str, str]:
+    """Two patterns from Unicode's tables, as this Python has them: a fast one that every text matches which may not be composed, and the one that
+    decides.
+
+    A text may change under NFC if it has a character that is never in composed text, two marks in a row (their order may change, and
+    either may compose with what stands before), a mark of another class than 0 that composes with something, or a composing character of class 0
+    (vowel signs, jamo) after one that it composes with. Characters that the JVM's older tables don't know count as such too.
+    """
+    never, marks, pairs = [], set(), {}
+    for c in range(0x110000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        x = chr(c)
+        if unicodedata.normalize("NFC", x) != x:
+            never.append(c)
+        whole = unicodedata.decomposition(x)
+        if whole and whole[0] != "<" and " " in whole:
+            first, second = whole.split()
+            if unicodedata.normalize("NFC", chr(int(first, 16)) + chr(int(second, 16))) == x:
+                if unicodedata.combining(chr(int(second, 16))):
+                    marks.add(int(second, 16))
+                else:
+                    pairs.setdefault(int(second, 16), []).append(int(first, 16))
+    for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)):
+        pairs[c] = [*range(0x1100, 0x1113)] if c < 0x1176 else [*range(0xAC00, 0xD7A4, 28)]
+    by_firsts: dict[str, list[int]] = {}
+    for second, firsts in pairs.items():
+        first = _ranges(sorted(firsts)) if not 0xAC00 <= firsts[0] <= 0xD7A3 else r"\x{ac00}-\x{d7a3}"
+        by_firsts.setdefault(first, []).append(second)
+    after = [f"[{first}][{_ranges(sorted(seconds))}]" for first, seconds in by_firsts.items()]
+    return r"[^\x00-\x{2ff}]", "|".join([f"[{_ranges(never)}]", r"\p{Cn}|\p{M}\p{M}", f"[{_ranges(sorted(marks))}]", *after])
+
+
+_BEYOND, _LOOSE = _composition()
 
 
 @F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
-    return text.map(_normalized)
+    """NFC of whole texts; null stays null."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def may_compose(text: Column) -> Column:
+    """Whether NFC may change a text; false only where it doesn't."""
+    return text.rlike(_BEYOND) & text.rlike(_LOOSE)
 
 
 def strip(text: Column) -> Column:
@@ -47,12 +91,13 @@ def squeeze(text: Column) -> Column:
 def normalize(text: Column, compose: bool = True) -> Column:
     """Null to empty; NFC; zero-width marks go; control tokens become a space; white space is squeezed.
 
-    One Arrow call does it all: Spark has no NFC, and later filters then refer to the result. An expression would be
-    copied into each of them. ``compose=False`` leaves NFC out, for text that is known to be composed, and stays in the JVM.
+    Expressions of the JVM, but for the NFC of texts that a pattern over Unicode's tables finds not to be composed for certain: only those are sent
+    to Python, all others pass as null. ``compose=False`` leaves NFC out.
     """
+    value = text.cast("string")
     if compose:
-        return composed(text.cast("string"))
-    value = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u200b\ufeff", "")
+        value = F.coalesce(composed(F.when(may_compose(value), value)), value)
+    value = F.translate(F.coalesce(value, F.lit("")), "\u200b\ufeff", "")
     return squeeze(F.regexp_replace(value, CONTROL_TOKEN, " "))
 
 

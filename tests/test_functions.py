@@ -1,6 +1,8 @@
 import hashlib
 import io
 import math
+import random
+import re
 import unicodedata
 import wave
 
@@ -26,6 +28,33 @@ def test_normalize(spark):
     assert apply(spark, texts, X.normalize) == ["", "é", "abc", "x y", "a b c d", ""]
 
 
+def python_normalize(text):
+    """The rule in plain Python."""
+    value = unicodedata.normalize("NFC", text or "").translate({0x200B: None, 0xFEFF: None})
+    return re.sub(r"\s+", " ", re.sub(X.CONTROL_TOKEN, " ", value)).strip(" ")
+
+
+def test_normalize_matches_python_on_hard_texts(spark):
+    """Every character alone and before a mark, every pair of marks of a sample, and random mixtures."""
+    pick = random.Random(5)
+    assigned = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    marks = [c for c in assigned if unicodedata.combining(c) or unicodedata.category(c)[0] == "M"]
+    decomposing = [c for c in assigned if unicodedata.normalize("NFD", c) != c and not 0xAC00 <= ord(c) <= 0xD7A3]
+    texts = ["".join(f"{c}x" for c in assigned[k:k + 40]) for k in range(0, len(assigned), 40)]
+    texts += [c + m for c in pick.sample(assigned, 3000) for m in pick.sample(marks, 1)]
+    texts += [unicodedata.normalize("NFD", c) for c in decomposing] + [c + pick.choice(marks) for c in decomposing]
+    texts += ["".join(pick.choice([pick.choice(marks), pick.choice(decomposing), pick.choice("abக ே\u0bc6\u0bbe\u0bd7\u1100\u1161\u11a8한가")]) for _ in range(6)) for _ in range(6000)]
+    got = apply(spark, texts, X.normalize)
+    assert [(t, g) for t, g in zip(texts, got) if g != python_normalize(t)] == []
+    asked = apply(spark, texts, X.may_compose)
+    assert all(a or unicodedata.normalize("NFC", t) == t for t, a in zip(texts, asked))
+
+
+def test_composed_texts_stay_in_the_jvm(spark):
+    texts = ["plain", "Straße, é ñ", "தமிழ் மொழி ஔவை கொடு", "русский", "日本語 한국어", "हिन्दी"]
+    assert apply(spark, texts, X.may_compose) == [False] * len(texts)
+
+
 def test_fingerprint(spark):
     texts = ["Straße", "STRASSE", "!?", "…", "தமிழ் நூல்"]
     got = apply(spark, texts, lambda c: X.fingerprint(c))
