@@ -50,14 +50,13 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
-    """A small driver-side report as JSON, staged and renamed."""
-    fs, target = _fs(spark, path)
-    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.staging")
-    out = fs.create(staged, True)
+    """A small driver-side report as JSON, staged under a name of its own and put in place as write_jsonl() does."""
+    staged = f"{path}.staging-{uuid.uuid4().hex}"
+    fs, source = _fs(spark, staged)
+    out = fs.create(source, True)
     out.write(bytearray(json.dumps(report, ensure_ascii=False, sort_keys=True, indent=2, default=str).encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(staged, target)
+    _swap(spark, staged, path)
 
 
 def append_metrics(spark: SparkSession, step: int, phase: str, metrics: dict[str, float], path: str) -> None:

@@ -4,19 +4,51 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.text import WS
 from quern.operators.contracts import check, manifest_violations
 from quern.schema import MANIFEST, bind_manifest
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1, for files of any size.
+
+    A reader's split starts at some byte of its file and its lines come in order, so a line's number is its place in the split and the lines of
+    the splits of the file before it: a count for each split is all that is summed up.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), "value", F.monotonically_increasing_id().alias("__id"),
+    )
+    splits = lines.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    found = lines.join(F.broadcast(splits), ["file", "__block"])  # a row for each split that a task reads
+    return found.select("file", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
-    """Typed rows of a JSON-lines file. Blank lines are skipped. Strict: bad JSON fails; else it stays in ``_corrupt_record``."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(T.StructType([*schema, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
+    """Typed rows of JSON-lines files. Blank lines are skipped. Strict: a bad line is an error that names its file and number; else such a row has
+    the line in ``_corrupt_record``, and null in all else that can't be read."""
+    kept = spark.read.schema(T.StructType([*schema, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
+    if not strict:
+        return kept
+    bad = _bad_lines(spark, path, schema).limit(3).collect()
+    if bad:
+        raise ValueError("Invalid JSON in " + ", ".join(f"{r['file']}:{r['line']}" for r in bad))
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def _bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line) of lines that don't hold an object of the schema, in order. Lines are numbered only if there is one."""
+    whole = T.StructType([*schema, T.StructField("_corrupt_record", T.StringType())])
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE"})
+    bad = lambda rows: rows.where(F.trim(F.regexp_replace("value", WS, " ")) != "").where(parsed["_corrupt_record"].isNotNull())
+    if bad(spark.read.text(path)).isEmpty():
+        return spark.createDataFrame([], "file string, line long")
+    return bad(numbered_lines(spark, path)).select("file", "line").orderBy("file", "line")
 
 
 def load_manifest(spark: SparkSession, path: str, split: str, audited: bool = False, base_wer: bool = False) -> DataFrame:
@@ -29,8 +61,8 @@ def load_manifest(spark: SparkSession, path: str, split: str, audited: bool = Fa
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, id) of a file with one JSON string or object with ``id`` a line. Order is kept; bad, blank and repeated ids are errors."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line")).where("trim(line) <> ''")
+    """(ordinal, id) of a file with one JSON string or object with ``id`` a line. Order is kept; bad, blank and repeated ids are errors that name the line."""
+    lines = numbered_lines(spark, path).where("trim(value) <> ''").withColumnsRenamed({"line": "ordinal", "value": "line"})
     value = F.when(F.trim("line").startswith("{"), F.get_json_object("line", "$.id")).when(F.trim("line").rlike('^".*"$'), F.get_json_object(F.concat(F.lit('{"id":'), "line", F.lit("}")), "$.id"))
     ids = lines.select("ordinal", value.alias("id"))
     check(ids.where("id is null or trim(id) = ''").select(F.lit("id").alias("rule"), F.col("ordinal").cast("string").alias("key")), f"id list {path}")

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from quern.functions import text as X
 from quern.operators.quality import Thresholds, reject_reason
 from quern.session import ensure_importable
-from quern.sources.discover import discover, with_position
+from quern.sources.discover import canonical, discover, with_position
+from quern.sources.row_groups import locate, row_groups
+from quern.storage import stash
 
 
 @dataclass
@@ -71,17 +73,23 @@ def _first(columns: list[str]) -> Column:
 def scan(spark: SparkSession, cfg: DatasetConfig) -> DataFrame:
     """All rows of a dataset as manifest rows with ``reject_reason`` (null if accepted).
 
-    Files are grouped by schema and each group is one Parquet scan of the columns needed; audio is never read here.
-    ``row_in_group`` is the row in the file, ``row_group`` is 0: Spark's readers don't show row groups.
+    Footers are read by tasks, once: files are grouped by schema, each group is one Parquet scan of the columns needed, and a row's place in its
+    file becomes its row group and place in that. Audio is never read here. A file that isn't Parquet is an error.
     """
     ensure_importable(spark)
     files = discover(spark, cfg.root, cfg.globs)
     if not files:
         raise FileNotFoundError(f"{cfg.name}: no Parquet files matched under {cfg.root}")
-    groups: dict[tuple[str, str], list[str]] = {}
-    for split, path in files:  # footers only
-        groups.setdefault((split, spark.read.parquet(path).schema.json()), []).append(path)
-    parts = [_scan_group(spark, cfg, split, paths) for (split, _), paths in groups.items()]
+    found = stash(row_groups(spark, [path for _, path in files]), "footers")
+    bad = [tuple(r) for r in found.where("error is not null").select("path", "error").limit(3).collect()]
+    if bad:
+        raise ValueError(f"{cfg.name}: unreadable files {bad}")
+    by_schema = found.select("path", "schema").distinct().groupBy("schema").agg(F.collect_list("path").alias("paths")).collect()  # paths, as listed above
+    splits = dict((path, split) for split, path in files)
+    parts = []
+    for r in sorted(by_schema, key=lambda r: min(r["paths"])):
+        for split in sorted({splits[p] for p in r["paths"]}):
+            parts.append(_scan_group(spark, cfg, split, sorted(p for p in r["paths"] if splits[p] == split), found))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -93,21 +101,23 @@ def scan_enabled(spark: SparkSession, configs: list[DatasetConfig]) -> DataFrame
     return reduce(lambda a, b: a.unionByName(b), [scan(spark, c) for c in chosen])
 
 
-def _scan_group(spark: SparkSession, cfg: DatasetConfig, split: str, paths: list[str]) -> DataFrame:
+def _scan_group(spark: SparkSession, cfg: DatasetConfig, split: str, paths: list[str], groups: DataFrame) -> DataFrame:
     df = spark.read.parquet(*paths)
     cols = _resolve(cfg, df.columns)
     check_embedded(df.schema, cols["audio"], cfg.name)
     root = cfg.root.rstrip("/") + "/"
     variants = X.variants(**{c: F.col(c) for c in cols["audit_text"]})
     relative = F.element_at(F.split(F.col("file_path"), r"\Q" + root.split(":")[-1] + r"\E", 2), -1)
-    rows = with_position(df).select(
-        "file_path", "row_index", relative.alias("relative"), X.normalize(_first(cols["text"])).alias("text"),
+    # the paths of footers are those of the listing, rows have them as Spark's reader writes them
+    groups = groups.withColumn("path", canonical(F.col("path")))
+    rows = locate(with_position(df).withColumn("__file", canonical(F.col("file_path"))), groups, "__file", "row_index").select(
+        "file_path", "row_index", "row_group", "row_in_group", relative.alias("relative"), X.normalize(_first(cols["text"])).alias("text"),
         X.finite_double(_first(cols["duration"])).alias("duration"), X.normalize(_first(cols["speaker"])).alias("speaker_id"),
         X.normalize(_first(cols["domain"])).alias("domain"), X.finite_double(_first(cols["alignment"])).alias("alignment_score"), variants.alias("text_variants"),
     )
     return rows.select(
-        F.concat(F.lit(cfg.name + ":"), "relative", F.lit(":rg0:r"), "row_index").alias("id"), F.lit(cfg.name).alias("dataset"), F.lit("").alias("split"),
-        F.lit(split).alias("source_split"), F.col("file_path").alias("parquet_path"), F.lit(0).alias("row_group"), F.col("row_index").cast("int").alias("row_in_group"),
+        F.concat(F.lit(cfg.name + ":"), "relative", F.lit(":rg"), "row_group", F.lit(":r"), "row_in_group").alias("id"), F.lit(cfg.name).alias("dataset"), F.lit("").alias("split"),
+        F.lit(split).alias("source_split"), F.col("file_path").alias("parquet_path"), "row_group", "row_in_group",
         F.lit(cols["audio"]).alias("audio_column"), F.lit(cols["text"][0]).alias("text_column"), "text", "duration", X.fingerprint(F.col("text")).alias("text_fingerprint"),
         "speaker_id", "domain", "alignment_score", "text_variants", reject_reason(cfg.thresholds).alias("reject_reason"),
     )
