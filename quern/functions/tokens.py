@@ -65,7 +65,8 @@ def evenly_spaced(i: Column, length: Column, count: Column) -> Column:
     return F.when(count == 1, F.lit(0)).otherwise(F.rint(i * (length - 1) / F.nullif(count - 1, F.lit(0)))).cast("long")
 
 
-def learning_rate(step: Column, warmup: int, total: int) -> Column:
+def learning_rate(step: Column, warmup: int, total: int | Column) -> Column:
     """Linear warm-up, then half a cosine."""
-    progress = F.least(F.lit(1.0), (step - warmup) / F.lit(max(1, total - warmup)))
+    span = F.greatest(F.lit(1), (F.lit(total) if isinstance(total, int) else total) - warmup)
+    progress = F.least(F.lit(1.0), (step - warmup) / span)
     return F.when(step < warmup, step / F.lit(max(1, warmup))).otherwise(0.5 * (1.0 + F.cos(F.pi() * progress)))

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.contracts import check, sampler_violations
-
-
-def numbered(df: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
-    """Number rows from 0 in the given order without a one-partition window: ranges are sorted apart and offset by counts.
-
-    Only a count for each partition reaches the driver.
-    """
-    from quern.operators.pack import prefix_sum
-
-    return prefix_sum(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, name).drop("__one")
+from quern.operators.ranges import numbered
+from quern.storage import stash
 
 
 def greedy_batches(
@@ -30,8 +22,9 @@ def greedy_batches(
     """
     if max_seconds <= 0 or max_count <= 0 or bucket_size <= 0:
         raise ValueError("caps and bucket size must be positive")
-    check(sampler_violations(df, key, duration, max_seconds), "batches")
-    rows = df.select(key, duration, *[c for c in order if c not in (key, duration)])
+    # written out, so that durations are worked out once for the check and the batches
+    rows = stash(df.select(key, duration, *[c for c in order if c not in (key, duration)]), "durations")
+    check(sampler_violations(rows, key, duration, max_seconds), "batches")
     if seed is not None:
         rows, order = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))), ["__h", key]
     rows = numbered(rows, order, "ord").withColumn("bucket", F.expr(f"ord div {bucket_size}"))

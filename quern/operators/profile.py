@@ -9,6 +9,9 @@ from quern.functions import text as X
 from quern.functions.audio import format_label
 from quern.functions.tokens import token_statistics
 from quern.operators.contracts import check, leakage_violations
+from quern.operators.dedup import first_per_group
+from quern.operators.ranges import quantiles
+from quern.storage import stash
 
 
 def hours(duration: str = "duration", digits: int | None = 4) -> Column:
@@ -51,9 +54,15 @@ def text_profile(df: DataFrame, low: int = X.TAMIL[0], high: int = X.TAMIL[1], f
     )
 
 
+def text_examples(df: DataFrame, order: list[str] | None = None, n: int = 8) -> DataFrame:
+    """The first ``n`` rows of each dataset in order, with their Latin tokens. Each task keeps ``n`` rows a dataset, so nothing else is shuffled."""
+    first = first_per_group(df, ["dataset"], order or ["parquet_path", "row_group", "row_in_group"], n)
+    return first.select("dataset", "rank", "id", "text_column", "duration", "text", X.latin_tokens(F.col("text")).alias("latin_tokens"))
+
+
 def audio_histograms(df: DataFrame, minimum_rms: float = 1e-5) -> DataFrame:
     """(dimension, value, rows) of accepted audits (column ``audit`` of AUDIT, null where decoding failed) and of rejections."""
-    ok = F.col("audit").isNotNull() & (F.col("audit.nonfinite_count") == 0) & (F.col("audit.rms") >= minimum_rms)
+    ok = F.col("error").isNull() & F.col("audit").isNotNull() & (F.col("audit.nonfinite_count") == 0) & (F.col("audit.rms") >= minimum_rms)
     reason = F.coalesce("error", F.when(F.col("audit.nonfinite_count") > 0, "ValueError:non-finite decoded samples").when(F.col("audit.rms") < minimum_rms, "ValueError:near-silent audio"))
     label = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value"))
     a = lambda f: F.col(f"audit.{f}")
@@ -66,24 +75,25 @@ def audio_histograms(df: DataFrame, minimum_rms: float = 1e-5) -> DataFrame:
     return df.select(F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def percentile(column: str, q: float) -> Column:
-    """Nearest-rank percentile, 0.0 of nothing."""
-    return F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})"), F.lit(0.0))
-
-
 def token_table(df: DataFrame, n_tokens: Column) -> DataFrame:
     stats = token_statistics(F.col("text"), n_tokens)
     return df.select("id", "dataset", *[c.alias(k) for k, c in stats.items()])
 
 
 def tokenizer_report(rows: DataFrame) -> DataFrame:
-    """One row over a token table: totals, corpus ratios, percentiles of the row ratios."""
+    """One row over a token table: totals, corpus ratios, exact nearest-rank percentiles of the row ratios (0.0 of nothing).
+
+    The ratios are written out once; percentiles come from counts by value range, so no task holds all values.
+    """
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return rows.agg(
+    slim = stash(rows.select("tokens", "words", "codepoints", "script_codepoints", "tokens_per_word", "tokens_per_codepoint"), "tokens")
+    found = quantiles(slim, {
+        "tokens_per_word_p50": ("tokens_per_word", 0.5), "tokens_per_word_p95": ("tokens_per_word", 0.95), "tokens_per_codepoint_p95": ("tokens_per_codepoint", 0.95),
+    })
+    return slim.agg(
         F.count(F.lit(1)).alias("examples"), total("tokens").alias("tokens"), total("words").alias("words"), total("codepoints").alias("codepoints"),
         total("script_codepoints").alias("script_codepoints"), (total("tokens") / F.greatest(total("words"), F.lit(1))).alias("corpus_tokens_per_word"),
-        (total("tokens") / F.greatest(total("codepoints"), F.lit(1))).alias("corpus_tokens_per_codepoint"), percentile("tokens_per_word", 0.5).alias("tokens_per_word_p50"),
-        percentile("tokens_per_word", 0.95).alias("tokens_per_word_p95"), percentile("tokens_per_codepoint", 0.95).alias("tokens_per_codepoint_p95"),
+        (total("tokens") / F.greatest(total("codepoints"), F.lit(1))).alias("corpus_tokens_per_codepoint"), *[F.lit(v or 0.0).alias(k) for k, v in found.items()],
     )
 
 

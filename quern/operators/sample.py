@@ -2,54 +2,94 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions.tokens import evenly_spaced
+from quern.operators.ranges import numbered, pick_ranks, prefix_scan
+
+
+@dataclass(frozen=True)
+class Turns:
+    """A stretch of turns without an exhaustion: of ``groups`` in order, turn t (from ``start``) takes from group t modulo their number."""
+
+    start: int
+    length: int
+    groups: tuple[str, ...]
+    taken: tuple[int, ...]  # rows of each group that were taken before
+
+
+def round_robin_segments(sizes: dict[str, int]) -> list[Turns]:
+    """All turns in closed form, a stretch for each exhaustion at most: the turn is the cursor modulo the groups left, and one
+    that is found exhausted is removed without moving the cursor."""
+    live, taken, cursor, out = sorted(sizes), dict.fromkeys(sizes, 0), 0, []
+    while live:
+        n = len(live)
+        first = cursor % n
+        # the turn, counted from here, at which each group would be found empty
+        empty = {g: (i - first) % n + (sizes[g] - taken[g]) * n for i, g in enumerate(live)}
+        gone = min(live, key=empty.__getitem__)
+        if empty[gone]:
+            out.append(Turns(cursor, empty[gone], tuple(live), tuple(taken[g] for g in live)))
+            for i, g in enumerate(live):
+                taken[g] += -(-(empty[gone] - (i - first) % n) // n)
+            cursor += empty[gone]
+        live.remove(gone)
+    return out
 
 
 def round_robin_schedule(sizes: dict[str, int], most: int | None = None) -> list[tuple[str, int]]:
-    """(group, rank from 1) in the order of turns: the turn is the cursor modulo the groups left; one that is exhausted is
-    removed without moving the cursor."""
-    live, left, cursor, turns = sorted(sizes), dict(sizes), 0, []
-    while live and (most is None or len(turns) < most):
-        name = live[cursor % len(live)]
-        if not left[name]:
-            live.remove(name)
-            continue
-        turns.append((name, sizes[name] - left[name] + 1))
-        left[name] -= 1
-        cursor += 1
+    """(group, rank from 1) in the order of turns, up to a count: the segments written out."""
+    turns = []
+    for s in round_robin_segments(sizes):
+        taken = dict(zip(s.groups, s.taken))
+        for t in range(s.start, s.start + s.length):
+            if most is not None and len(turns) >= most:
+                return turns
+            g = s.groups[t % len(s.groups)]
+            taken[g] += 1
+            turns.append((g, taken[g]))
     return turns
 
 
+def _subset_bucket(value: Column) -> Column:
+    return X.stable_bucket(value, 2**31 - 1)
+
+
 def round_robin(
     df: DataFrame, split: str, max_examples: int | None = None, target_hours: float | None = None, seed: int = 42, group: str = "dataset",
-    bucket=X.stable_bucket, order: list[str] | None = None,
+    bucket=_subset_bucket, order: list[str] | None = None,
 ) -> DataFrame:
     """Rows of one split with ``position``, one group after the other, up to a count or until the hours are reached.
 
-    The schedule follows from group sizes alone and is bounded by the cap; with a budget of hours only, the cap is the number
-    of rows that the budget can't exceed, found from the shortest durations. Rows join their turn by group and rank.
+    A row's position follows from its group and rank, by the stretch of turns that its rank lies in; there is at most one for each
+    exhaustion of a group, whatever the number of rows. Ranks and the seconds before each row are summed by ranges. The row that reaches
+    a budget is in, so there is one at least if the split has any.
     """
     spark = df.sparkSession
     rows = df.where(F.col("split") == split).withColumn("__b", bucket(F.concat(F.lit(f"smoke:{seed}:"), "id")))
     sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
-    turns = round_robin_schedule(sizes, max_examples)
-    if not turns:
+    most = None if max_examples is None else max(max_examples, 1)  # the row that reaches a budget is in
+    plan = [
+        (g, taken, taken + (s.length - (i - s.start) % len(s.groups) - 1) // len(s.groups) + 1, s.start + (i - s.start) % len(s.groups), len(s.groups))
+        for s in round_robin_segments(sizes) if most is None or s.start < most for i, (g, taken) in enumerate(zip(s.groups, s.taken))
+    ]
+    if not plan:
         return rows.drop("__b").withColumn("position", F.lit(0).cast("long")).limit(0)
-    plan = spark.createDataFrame([(g, r, p) for p, (g, r) in enumerate(turns)], f"`{group}` string, __rank int, position long")
-    deepest = max(r for _, r in turns)
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy("__b", *(order or ["id"])))).where(F.col("__rank") <= deepest)
-    picked = ranked.join(plan, [group, "__rank"]).drop("__b", "__rank")
+    turns = spark.createDataFrame(plan, "__g string, __from long, __upto long, __first long, __step long")  # groups times stretches
+    ranked = numbered(rows, ["__b", *(order or ["id"])], "__rank", [group])
+    inside = F.col(group).eqNullSafe(F.col("__g")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__upto"))
+    placed = ranked.join(F.broadcast(turns), inside).withColumn("position", F.col("__first") + (F.col("__rank") - F.col("__from")) * F.col("__step"))
+    placed = placed.drop("__b", "__rank", *turns.columns)
+    if most is not None:
+        placed = placed.where(F.col("position") < most)
     if target_hours is None:
-        return picked
-    # what was picked so far decides: the row that reaches the budget is in; picked rows are a bounded subset
-    sofar = F.coalesce(F.sum("duration").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return picked.withColumn("__s", sofar).where(F.col("__s") < target_hours * 3600).drop("__s")
+        return placed
+    return prefix_scan(placed, "duration", ["position"], "__s").where((F.col("__s") < target_hours * 3600) | (F.col("position") == 0)).drop("__s")
 
 
 def allocate(sizes: dict[str, int], total: int) -> dict[str, int]:
@@ -75,8 +115,8 @@ def stratified(df: DataFrame, total: int, stratum: str = "source_split", order:
     shares = allocate(sizes, total)
     picks = df.sparkSession.createDataFrame([(k, sizes[k], c) for k, c in shares.items()], "__k string, n long, c long")
     picks = picks.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).select("__k", F.col("i").alias("pick"), evenly_spaced(F.col("i"), F.col("n"), F.col("c")).alias("__p"))
-    ranked = rows.withColumn("__p", (F.row_number().over(Window.partitionBy("__k").orderBy(*order)) - 1).cast("long"))
-    return ranked.join(F.broadcast(picks), ["__k", "__p"]).drop("__k", "__p")
+    picked = pick_ranks(rows, picks.withColumnRenamed("__p", "__rank"), "__k", order, "__rank")
+    return picked.drop("__k", "__rank")
 
 
 def per_source_quota(df: DataFrame, source: str, order: list[str], most: int) -> DataFrame:

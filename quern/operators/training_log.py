@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranges import prefix_scan
+
 
 def weighted_mean_loss(df: DataFrame, loss: str, tokens: str, order: list[str], batches: int) -> DataFrame:
     """Token-weighted mean over the first batches."""
@@ -28,11 +30,10 @@ def log_windows(df: DataFrame, step: str, every: int, loss: str, tokens: str, ke
 
 
 def best_so_far(df: DataFrame, step: str, metric: str, run: str, mode: str = "min") -> DataFrame:
-    """Best value before each step of a run, and whether the step strictly improves on it. Partitioned by run."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    best = (F.min if mode == "min" else F.max)(metric).over(w)
+    """Best value before each step of a run, and whether the step strictly improves on it. A run may fill any number of tasks."""
+    found = prefix_scan(df, metric, [step], "best_before", mode, [run])
     better = F.col(metric) < F.col("best_before") if mode == "min" else F.col(metric) > F.col("best_before")
-    return df.withColumn("best_before", best).withColumn("improved", F.col("best_before").isNull() | better)
+    return found.withColumn("improved", F.col("best_before").isNull() | better)
 
 
 def generation_rates(df: DataFrame) -> DataFrame:

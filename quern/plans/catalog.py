@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from quern.functions import edits, slices
 from quern.functions import text as X
 from quern.functions.tokens import learning_rate, supervised, tokenize, trim_completion
 from quern.operators import batch, dedup, pack, profile, quality, sample, score, split, training_log
+from quern.operators.contamination import shared_runs
 from quern.operators.contracts import leakage_violations, manifest_violations, sampler_violations
 from quern.plans.manifest_view import (
     BUCKET, DOCS, FINGERPRINT, JUDGED, LATIN_SHARE, LOG, NORMAL, PAIRS, VIEW, evaluation_view, judged_view, manifest_view, metric_log, table,
@@ -102,10 +102,11 @@ def slice_labels(s, d):
     )
 
 
-@query(rf"""SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.+-]*'), ' ') AS tokens FROM (SELECT doc_id, regexp_replace({NORMAL % 'text'}, '[^ -~]', ' ', 'g') AS text FROM documents)""")
+@query(rf"""SELECT doc_id, array_to_string(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_.+-]*\b'), ' ') AS tokens FROM (SELECT doc_id, regexp_replace({NORMAL % 'text'}, '[^ -~]', ' ', 'g') AS text FROM documents)""")
 def latin_tokens_ascii(s, d):
+    """With a space for all that isn't ASCII: the engines' word boundaries differ beyond it."""
     ascii_only = F.regexp_replace(F.col("text"), "[^ -~]", " ")
-    return manifest_view(s, d).select("doc_id", F.array_join(F.regexp_extract_all(ascii_only, F.lit("[A-Za-z][A-Za-z0-9_.+-]*"), F.lit(0)), " ").alias("tokens"))
+    return manifest_view(s, d).select("doc_id", F.array_join(X.latin_tokens(ascii_only), " ").alias("tokens"))
 
 
 @query()
@@ -200,10 +201,7 @@ g AS (SELECT DISTINCT doc_id, array_to_string(x[i:i+7], ' ') AS gram FROM (SELEC
 SELECT doc_id, count(*) AS shared FROM g JOIN w USING (gram) GROUP BY doc_id""")
 def eval_contamination(s, d):
     """Documents that share eight-word runs with the benchmark: the shape of the train anti-join, on word runs."""
-    ws = lambda c: F.split(F.lower(F.regexp_replace(c, r"\s+", " ")), " ")
-    runs = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 7), lambda i: F.array_join(F.slice(x, i, 8), " "))
-    grams = lambda t, *keep: table(s, d, t).select(*keep, ws(F.col("text")).alias("x")).where("size(x) >= 8").select(*keep, F.explode(runs(F.col("x"))).alias("gram")).distinct()
-    return grams("documents", "doc_id").join(grams("benchmark"), "gram").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    return shared_runs(table(s, d, "documents"), table(s, d, "benchmark"), 8)
 
 
 # -- profiles --------------------------------------------------------------------------------------------------------
@@ -222,9 +220,26 @@ def text_profile_latin(s, d):
     return profile.text_profile(manifest_view(s, d), fraction=X.latin_fraction(F.col("text")), latin=X.LATIN).withColumnRenamed("latin_token_examples", "latin_examples")
 
 
-@query()
+_VOWELS, _TAMIL_VOWELS = "aeiou", "அஎஇஒஉ"
+_MIXED = f"CASE WHEN doc_id % 2 = 0 THEN translate(text, '{_VOWELS}', '{_TAMIL_VOWELS}') ELSE text END"
+_WORD = r"\p{L}\p{M}\p{Nd}_"
+
+
+@query(rf"""WITH {VIEW}, m AS (SELECT dataset, {_MIXED} AS text FROM v), f AS (SELECT *, coalesce(len(regexp_extract_all(text, '[{_TAMIL_VOWELS}]')) / nullif(len(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]')), 0)::double, 0.0) AS f FROM m)
+SELECT dataset, count(*) AS examples, sum(length(text))::bigint AS characters, count_if(regexp_matches(text, '(^|[^{_WORD}])[A-Za-z]([A-Za-z0-9_.+-]*[A-Za-z0-9_])?($|[^{_WORD}])'))::bigint AS latin_token_examples,
+ count_if(regexp_matches(text, '\[[^\]\n]{{1,80}}\]|<[^<>\n]{{1,80}}>'))::bigint AS annotation_examples, count_if(f >= 0.95)::bigint AS fraction_ge_95, count_if(f >= 0.5 AND f < 0.95)::bigint AS fraction_50_95, count_if(f < 0.5)::bigint AS fraction_below_50 FROM f GROUP BY dataset""")
 def text_profile(s, d):
-    return profile.text_profile(manifest_view(s, d))
+    """With Tamil vowels in every other text."""
+    mixed = F.when(F.col("doc_id") % 2 == 0, F.translate("text", _VOWELS, _TAMIL_VOWELS)).otherwise(F.col("text"))
+    return profile.text_profile(manifest_view(s, d).withColumn("text", mixed))
+
+
+@query(rf"""WITH {VIEW}, p AS (SELECT dataset, id, doc_id, duration, regexp_replace(text, '[^ -~]', ' ', 'g') AS text, row_number() OVER (PARTITION BY dataset ORDER BY doc_id)::int AS rank FROM v)
+SELECT dataset, rank, id, duration, md5(text) AS text, array_to_string(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_.+-]*\b'), ' ') AS latin_tokens FROM p WHERE rank <= 8""")
+def text_examples(s, d):
+    rows = manifest_view(s, d).withColumns({"text": F.regexp_replace("text", "[^ -~]", " "), "text_column": F.lit("text")})
+    found = profile.text_examples(rows, ["doc_id"])
+    return found.select("dataset", "rank", "id", "duration", F.md5("text").alias("text"), F.array_join("latin_tokens", " ").alias("latin_tokens"))
 
 
 @query(f"""WITH n AS (SELECT text, lang, {NORMAL % 'text'} AS t, {NORMAL % 'lang'} AS l FROM documents) SELECT count(*) AS sample_rows, count_if(text IS NULL)::bigint AS nulls_text, count_if(lang IS NULL)::bigint AS nulls_lang,
@@ -279,18 +294,58 @@ def curriculum_filter(s, d):
     return split.curriculum(manifest_view(s, d), [0.2, 0.5, 1.0]).select("id", "segment", "threshold")
 
 
-@query("SELECT * FROM (VALUES (0, 0.2::double, 100), (1, 0.5::double, 300), (2, 1.0::double, 600)) t(segment, threshold, steps)")
+@query(f"""WITH {VIEW}, n AS (SELECT count(*) AS total FROM v), f(segment, threshold, fraction) AS (VALUES (0, 0.2::double, 0.1::double), (1, 0.5::double, 0.3::double), (2, 1.0::double, 0.6::double)),
+c AS (SELECT segment, threshold, greatest(1, floor(total * fraction))::bigint AS steps, total FROM f, n)
+SELECT segment, threshold, CASE WHEN segment < 2 THEN steps ELSE total - sum(CASE WHEN segment < 2 THEN steps ELSE 0 END) OVER () END::bigint AS steps, (SELECT count(*) FROM v WHERE base_wer < threshold) AS rows FROM c""")
 def curriculum_plan(s, d):
-    plan = split.step_plan([0.2, 0.5, 1.0], [0.1, 0.3, 0.6], 1000)
-    return s.createDataFrame([(i, t, n) for i, (t, n) in enumerate(plan)], "segment int, threshold double, steps int")
+    """A step for each row of the table, dealt to segments, with the rows that each segment draws from."""
+    rows = manifest_view(s, d).select("base_wer")
+    plan = split.step_plan([0.2, 0.5, 1.0], [0.1, 0.3, 0.6], rows.count())
+    sizes = split.curriculum(rows, [0.2, 0.5, 1.0]).groupBy("segment").agg(F.count(F.lit(1)).alias("rows"))
+    return s.createDataFrame([(i, t, n) for i, (t, n) in enumerate(plan)], "segment int, threshold double, steps long").join(sizes, "segment", "left").fillna(0, ["rows"])
 
 
-@query()
-def round_robin_subset(s, d):
-    return sample.round_robin(official(s, d), "train", max_examples=200).select("position", "dataset", "id")
+_TURN_BUCKET = "(('0x' || substr(sha256('smoke:42:' || id), 1, 16))::ubigint % 2147483647)::bigint"
 
 
-@query()
+@query(f"""WITH RECURSIVE {VIEW}, o AS (SELECT id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY {_TURN_BUCKET}, id) AS rank FROM v WHERE source_split = 'train'),
+g AS (SELECT list(dataset ORDER BY dataset) AS names, list(n ORDER BY dataset) AS sizes, list(0::bigint ORDER BY dataset) AS taken FROM (SELECT dataset, count(*) AS n FROM o GROUP BY dataset)),
+t AS (SELECT names, sizes, taken, 0::bigint AS cursor, NULL::varchar AS name, NULL::bigint AS rank FROM g UNION ALL
+ SELECT CASE WHEN gone THEN list_concat(names[1:i - 1], names[i + 1:]) ELSE names END, CASE WHEN gone THEN list_concat(sizes[1:i - 1], sizes[i + 1:]) ELSE sizes END,
+  CASE WHEN gone THEN list_concat(taken[1:i - 1], taken[i + 1:]) ELSE list_transform(taken, lambda x, j: CASE WHEN j = i THEN x + 1 ELSE x END) END, CASE WHEN gone THEN cursor ELSE cursor + 1 END,
+  CASE WHEN gone THEN NULL ELSE names[i] END, CASE WHEN gone THEN NULL ELSE taken[i] + 1 END
+ FROM (SELECT *, taken[i] >= sizes[i] AS gone FROM (SELECT *, cursor % len(names) + 1 AS i FROM t WHERE len(names) > 0 AND cursor < 200)))
+SELECT t.cursor - 1 AS position, o.dataset, o.id FROM t JOIN o ON t.name = o.dataset AND t.rank = o.rank""")
+def round_robin_subset(s, d):
+    return sample.round_robin(official(s, d), "train", max_examples=200, bucket=lambda c: X.sha_bucket(c, 2**31 - 1)).select("position", "dataset", "id")
+
+
+@query(f"""WITH RECURSIVE {VIEW}, r AS (SELECT id, dataset, duration, row_number() OVER (PARTITION BY dataset ORDER BY {_TURN_BUCKET}, id) AS rank FROM v WHERE source_split = 'test' AND duration IS NOT NULL),
+g AS (SELECT dataset, count(*) AS n, row_number() OVER (ORDER BY dataset) - 1 AS ord FROM r GROUP BY dataset), k AS (SELECT count(*) AS k FROM g),
+t AS (SELECT list(dataset ORDER BY dataset) AS names, list(n ORDER BY dataset) AS sizes, list(0::bigint ORDER BY dataset) AS taken, 0::bigint AS cursor, NULL::varchar AS name, NULL::bigint AS rank FROM g UNION ALL
+ SELECT CASE WHEN gone THEN list_concat(names[1:i - 1], names[i + 1:]) ELSE names END, CASE WHEN gone THEN list_concat(sizes[1:i - 1], sizes[i + 1:]) ELSE sizes END,
+  CASE WHEN gone THEN list_concat(taken[1:i - 1], taken[i + 1:]) ELSE list_transform(taken, lambda x, j: CASE WHEN j = i THEN x + 1 ELSE x END) END, CASE WHEN gone THEN cursor ELSE cursor + 1 END,
+  CASE WHEN gone THEN NULL ELSE names[i] END, CASE WHEN gone THEN NULL ELSE taken[i] + 1 END
+ FROM (SELECT *, taken[i] >= sizes[i] AS gone FROM (SELECT *, cursor % len(names) + 1 AS i FROM t WHERE len(names) > 0))),
+p AS (SELECT t.cursor - 1 AS position, r.id, r.dataset, coalesce(sum(r.duration) OVER (ORDER BY t.cursor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t JOIN r ON t.name = r.dataset AND t.rank = r.rank)
+SELECT position, dataset, id FROM p WHERE before < 3600""")
+def round_robin_hours(s, d):
+    """Test rows up to an hour, without a count."""
+    rows = official(s, d).where("duration is not null")
+    return sample.round_robin(rows, "test", target_hours=1.0, bucket=lambda c: X.sha_bucket(c, 2**31 - 1)).select("position", "dataset", "id")
+
+
+@query(f"""WITH RECURSIVE {VIEW}, s AS (SELECT lower(source_split) AS k, count(*) AS n, min(doc_id) AS first FROM v GROUP BY 1),
+i AS (SELECT list(k ORDER BY first) AS ks, list(n ORDER BY first) AS ns, list(c ORDER BY first) AS cs, any_value(total) AS total FROM
+ (SELECT *, greatest(1, least(n, round_even(total * n / rows::double, 0)))::bigint AS c FROM (SELECT *, sum(n) OVER () AS rows, least(60, sum(n) OVER ())::bigint AS total FROM s))),
+a AS (SELECT ks, ns, cs, total FROM i UNION ALL
+ SELECT ks, ns, CASE WHEN list_sum(cs) > total THEN list_transform(cs, lambda c, j: CASE WHEN j = list_position(cs, list_max(cs)) THEN c - 1 ELSE c END)
+  ELSE list_transform(cs, lambda c, j: CASE WHEN j = list_position(left_, list_max(left_)) THEN c + 1 ELSE c END) END, total
+ FROM (SELECT *, list_transform(ns, lambda n, j: n - cs[j]) AS left_ FROM a) WHERE list_sum(cs) <> total),
+f AS (SELECT unnest(ks) AS k, unnest(ns) AS n, unnest(cs) AS c FROM a WHERE list_sum(cs) = total),
+p AS (SELECT k, i AS pick, CASE WHEN c = 1 THEN 0 ELSE round_even(i * (n - 1) / (c - 1)::double, 0) END::bigint AS at FROM f, range(0, 100) x(i) WHERE i < c),
+o AS (SELECT source_split, id, row_number() OVER (PARTITION BY lower(source_split) ORDER BY doc_id) - 1 AS at FROM v)
+SELECT source_split, pick, id FROM p JOIN o ON p.k = lower(o.source_split) AND p.at = o.at""")
 def stratified_pick(s, d):
     return sample.stratified(manifest_view(s, d), 60, order=["doc_id"]).select("source_split", "pick", "id")
 
@@ -316,15 +371,15 @@ a AS (SELECT string_agg(text || chr(1), '' ORDER BY doc_id) AS t FROM n)
 SELECT i AS block_id, md5(array_to_string(list_transform(string_split(substr(t, (i * 512 + 1)::bigint, 512), ''), lambda c: unicode(c)), ',')) AS block FROM a, range(0, 10000000) r(i) WHERE (i + 1) * 512 <= length(t)""")
 def pack_blocks(s, d):
     """Code points as tokens, so that SQL can cut the same stream."""
-    rows = manifest_view(s, d).select("doc_id", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("ids"))
-    blocks = pack.pack_blocks(rows, "ids", eos=1, block=512, order=["doc_id"])
+    rows = stash(manifest_view(s, d).select("doc_id", "text"), "texts")  # normalised once
+    blocks = pack.pack_blocks(rows, tokenize("char", F.col("text")), eos=1, block=512, order=["doc_id"], length=F.char_length("text"))
     return blocks.select("block_id", F.md5(F.array_join("tokens", ",")).alias("block"))
 
 
 @query()
 def token_blocks_word(s, d):
-    rows = manifest_view(s, d).select("doc_id", tokenize("word", F.col("text")).alias("ids"))
-    blocks = pack.pack_blocks(rows, "ids", eos=0, block=2048, order=["doc_id"])
+    rows = stash(manifest_view(s, d).select("doc_id", "text"), "texts")
+    blocks = pack.pack_blocks(rows, tokenize("word", F.col("text")), eos=0, block=2048, order=["doc_id"], length=X.word_count(F.col("text")))
     return blocks.select("block_id", F.xxhash64("tokens").alias("digest"))
 
 
@@ -340,12 +395,20 @@ def cer_scores(s, d):
     return e.select("id", edits.char_errors(plain("reference"), plain("hypothesis")).alias("char_errors"), F.char_length("reference").cast("long").alias("reference_characters"))
 
 
-_SCORED = f"""{PAIRS}, e AS (SELECT *, len(list_filter(string_split(reference, ' '), lambda w: w <> ''))::bigint AS rn, levenshtein({_ASCII % 'reference'}, {_ASCII % 'hypothesis'})::bigint AS ce, length(reference)::bigint AS cn FROM p)"""
+# Word errors row by row of the distance matrix: what a row takes from its left is a running minimum, all pairs at once.
+def _word_errors(reference: str, hypothesis: str) -> str:
+    return f"""{PAIRS}, w AS (SELECT id, list_filter(string_split({reference}, ' '), lambda x: x <> '') AS r, list_filter(string_split({hypothesis}, ' '), lambda x: x <> '') AS h FROM p),
+m AS (SELECT id, 0::bigint AS i, j::bigint AS j, j::bigint AS e FROM w, range(0, 100000) x(j) WHERE j <= len(h) UNION ALL
+ SELECT id, i + 1, j, (j + min(least(e + 1, coalesce(diagonal, i + 1) + CASE WHEN j = 0 THEN 1 ELSE (r[i + 1] <> h[j])::int END) - j) OVER (PARTITION BY id ORDER BY j))::bigint
+ FROM (SELECT m.id, i, j, e, lag(e) OVER (PARTITION BY m.id ORDER BY j) AS diagonal, r, h FROM m JOIN w ON m.id = w.id WHERE i < len(r))),
+k AS (SELECT m.id, any_value(m.e) AS word_errors, any_value(len(r))::bigint AS reference_words FROM m JOIN w ON m.id = w.id WHERE i = len(r) AND j = len(h) GROUP BY m.id)"""
 
 
-@query()
+_SCORED = f"""{_word_errors(_ASCII % 'reference', _ASCII % 'hypothesis')}, e AS (SELECT p.*, k.word_errors AS we, k.reference_words AS rn, levenshtein({_ASCII % 'reference'}, {_ASCII % 'hypothesis'})::bigint AS ce, length(reference)::bigint AS cn FROM p JOIN k USING (id))"""
+
+
+@query(f"WITH RECURSIVE {_word_errors('reference', 'hypothesis')} SELECT id, word_errors, reference_words FROM k")
 def wer_scores(s, d):
-    """DuckDB compares bytes, and whole turns have more words than bytes have values: brute force tests this one."""
     e = evaluation_view(s, d)
     return e.select("id", edits.word_errors(F.col("reference"), F.col("hypothesis")).alias("word_errors"), edits.reference_words(F.col("reference")).alias("reference_words"))
 
@@ -357,13 +420,13 @@ _DIMENSIONS = {
 }
 
 
-@query(f"WITH {_SCORED}, x AS (" + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS value, rn, ce, cn, hypothesis, reference, hit FROM e" for k, v in _DIMENSIONS.items()) + """)
-SELECT dimension, value, round_even(sum(ce) / greatest(sum(cn), 1)::double, 9) AS cer, sum(ce)::bigint AS char_errors, sum(rn)::bigint AS reference_words, sum(cn)::bigint AS reference_characters, count(*) AS examples, count_if(hypothesis = '')::bigint AS empty_hypotheses,
+@query(f"WITH RECURSIVE {_SCORED}, x AS (" + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS value, we, rn, ce, cn, hypothesis, reference, hit FROM e" for k, v in _DIMENSIONS.items()) + """)
+SELECT dimension, value, round_even(sum(we) / greatest(sum(rn), 1)::double, 9) AS wer, sum(we)::bigint AS word_errors, round_even(sum(ce) / greatest(sum(cn), 1)::double, 9) AS cer, sum(ce)::bigint AS char_errors, sum(rn)::bigint AS reference_words, sum(cn)::bigint AS reference_characters, count(*) AS examples, count_if(hypothesis = '')::bigint AS empty_hypotheses,
  count_if(hit)::bigint AS hit_max_new_tokens, count_if(length(hypothesis) > greatest(2 * length(reference), length(reference) + 40))::bigint AS excessive_length_hypotheses FROM x WHERE value IS NOT NULL GROUP BY ALL""")
 def sliced_metrics(s, d):
-    """On turns with one sign for all that isn't ASCII, since DuckDB compares bytes; sliced_metrics_full takes them as they are."""
+    """On turns with one sign for all that isn't ASCII, since DuckDB's distance compares bytes; sliced_metrics_full takes them as they are."""
     plain = evaluation_view(s, d).withColumns({c: F.regexp_replace(c, r"[^\x01-\x7f]", "~") for c in ("reference", "hypothesis")})
-    return score.sliced_metrics(score.error_counts(plain)).drop("wer", "word_errors").withColumn("cer", F.bround("cer", 9))
+    return score.sliced_metrics(score.error_counts(plain)).withColumns({c: F.bround(c, 9) for c in ("wer", "cer")})
 
 
 @query()
@@ -401,9 +464,12 @@ def best_so_far(s, d):
     return training_log.best_so_far(metric_log(s, d), "step", "loss", "run").select("run", "step", "loss", "best_before", "improved")
 
 
-@query("SELECT step, round_even(CASE WHEN step < 100 THEN step / 100.0::double ELSE 0.5::double * (1 + cos(pi() * least(1.0::double, (step - 100) / 900.0::double))) END, 9) AS factor FROM range(0, 1001) t(step)")
+@query(f"WITH {LOG}, t AS (SELECT run, step, max(step) OVER (PARTITION BY run) AS total FROM l) SELECT run, step, round_even(CASE WHEN step < 100 THEN step / 100.0::double ELSE 0.5::double * (1 + cos(pi() * least(1.0::double, (step - 100) / greatest(1, total - 100)::double))) END, 9) AS factor FROM t")
 def lr_schedule(s, d):
-    return s.range(1001).select(F.col("id").alias("step"), F.bround(learning_rate(F.col("id"), 100, 1000), 9).alias("factor"))
+    """The rate of every step of the log, over as many steps as its run has."""
+    log = metric_log(s, d).select("run", "step")
+    totals = log.groupBy("run").agg(F.max("step").alias("total"))
+    return log.join(totals, "run").select("run", "step", F.bround(learning_rate(F.col("step"), 100, F.col("total")), 9).alias("factor"))
 
 
 @query("""SELECT event_id, array_to_string(CASE WHEN e > 0 THEN ids[1:e] WHEN p > 0 THEN ids[1:p - 1] ELSE ids END, ',') AS ids, coalesce(e, 0) = 0 AND len(CASE WHEN coalesce(p, 0) > 0 THEN ids[1:p - 1] ELSE ids END) >= 4 AS hit_limit FROM (
@@ -441,8 +507,3 @@ def supervised_arrays(s, d):
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Scan, normalise, judge, split by hash, prune leaks, and cross-tabulate."""
     return dataset_split_summary(s, d)
-
-
-def union_of(frames: list[DataFrame]) -> DataFrame:
-    """Records of several datasets together; columns that one lacks are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

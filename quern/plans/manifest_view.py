@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators.quality import Thresholds, reject_reason
+from quern.operators.ranges import numbered
 from quern.session import ensure_importable
 
 THRESHOLDS = Thresholds(min_alignment=0.05, min_script_fraction=0.9)
@@ -52,10 +53,8 @@ def evaluation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a metric log: a run for each type of event, steps by time."""
-    from pyspark.sql import Window
-
-    step = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), step.alias("step"), F.col("value").alias("loss"), (F.col("user_id") + 1).alias("tokens"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), "ts", "event_id", F.col("value").alias("loss"), (F.col("user_id") + 1).alias("tokens"))
+    return numbered(rows, ["ts", "event_id"], "ord", ["run"]).select("run", (F.col("ord") + 1).alias("step"), "loss", "tokens")
 
 
 _WS = X.WS

@@ -1,14 +1,21 @@
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quern.functions import text as X
+from quern.functions.tokens import tokenize
+from quern.operators import pack
+from quern.operators.contamination import shared_runs
 from quern.plans import catalog
+from quern.plans.manifest_view import DOCS, manifest_view
 
 TABLES = "documents labels benchmark conversations events".split()
-SLOW = {"eval_contamination", "pack_blocks", "token_blocks_word"}
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_matches_sql(spark, sf, name, tmp_path):
     out = f"{tmp_path}/out"
     catalog.QUERIES[name](spark, sf).write.parquet(f"file:{out}")
@@ -30,18 +37,26 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_word_errors_of_whole_turns(spark, sf):
-    """Against a plain edit distance over words, on turns of hundreds of words."""
+def test_word_blocks(spark, sf):
+    """Against the stream of hashed words of all texts, cut by hand."""
+    import xxhash
+
     db = duckdb.connect()
-    turns = db.sql(f"SELECT conv_id, turn, text FROM '{sf}/conversations.parquet' ORDER BY 1, 2").fetchall()
-    pairs = {f"{a[0]}:{a[1]}": (a[2].split(), b[2].split()) for a, b in zip(turns, turns[1:]) if a[0] == b[0] and a[2].split()}
-    got = {r.id: (r.word_errors, r.reference_words) for r in catalog.QUERIES["wer_scores"](spark, sf).collect()}
-    assert set(got) == set(pairs) and max(len(x) for x, _ in pairs.values()) > 40
-    for name in sorted(pairs)[:12]:
-        x, y = pairs[name]
-        row = list(range(len(y) + 1))
-        for i, a in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, b in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-        assert got[name] == (row[-1], len(x))
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    ids = lambda t: [xxhash.xxh64_intdigest(w.encode(), 42) % 2**30 for w in t.split()]
+    stream = [t for (text,) in db.sql(f"SELECT text FROM {DOCS} ORDER BY doc_id").fetchall() if text.split() for t in [*ids(text), 0]]
+    blocks = pack.pack_blocks(manifest_view(spark, sf), tokenize("word", F.col("text")), 0, 2048, ["doc_id"], X.word_count(F.col("text")))
+    got = {r.block_id: r.tokens for r in blocks.collect()}
+    assert got == {k: stream[k * 2048:(k + 1) * 2048] for k in range(len(stream) // 2048)} and len(got) > 10
+    assert catalog.QUERIES["token_blocks_word"](spark, sf).count() == len(got)
+
+
+def test_shared_runs_against_brute_force(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t or "").lower().split(" ")
+    grams = lambda x, n: {" ".join(x[i:i + n]) for i in range(len(x) - n + 1)}
+    for n in (1, 3, 8):
+        wanted = set().union(*[grams(words(r.text), n) for r in items.collect()])
+        want = {r.doc_id: len(grams(words(r.text), n) & wanted) for r in docs.collect()}
+        assert {r.doc_id: r.shared for r in shared_runs(docs, items, n).collect()} == {k: v for k, v in want.items() if v}
+    assert shared_runs(docs.limit(0), items, 8).collect() == [] == shared_runs(docs, items.limit(0), 8).collect()
