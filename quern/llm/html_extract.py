@@ -1,14 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: one for each block of text, and an empty one for each edge of a container, as stripping leaves
-them. A line weighs the length of its text, times what speaks for or against it: text inside a marked article (``<article>``,
-``<main>``) weighs INSIDE times as much and text beside it an OUTSIDE-th, text in menus, footers, notices, comments and
-the like an APART-th, lines that are links for the most part nothing. The weights are summed over windows of WINDOW
-lines. Where the sums rise from nothing a region begins, where they dive to nothing it ends, and it is text if they surge
-over SURGE in between; if none do, the region with the most weight is. This decides on every page, with or without marks.
-
-What speaks against a container doesn't count where it can't be meant: on html, body, main and article, on containers that a
-marked article lies in, and, if it is a name or a form, on containers that hold nearly all text of the page. A mark that holds little of the text (a teaser) is none.
+Markup is stripped to lines, one for each block of text. A line weighs n / (n + HALF) for its n characters, so that it is the number of
+lines that counts and not how long paragraphs are, times mild factors: inside the article INSIDE, beside it OUTSIDE (a third), in menus, footers and the
+like FIRM, under a name that may mean such MILD; a line that is links for the most part weighs nothing. The weights are summed over windows of
+WINDOW lines, and where the article or a container apart begins or ends, WINDOW empty lines stand. Where the sums rise from nothing a region begins, where they
+dive to nothing it ends, and it is text if they surge over SURGE in between; if none do, the region with the most weight is. So an unnamed advert of one line
+beside the article goes, a block of several stays; in the article a short line of its own stays, and a named box if it holds a sentence.
+
+The article is what ``<article>`` or ``<main>`` marks, if that holds a share of the text of the page; else the innermost section that holds nearly all
+text and leaves a line or more out. What speaks against a container doesn't count where it can't be meant: on html, body, main and article, on containers that
+the article lies in, and, if it is a name or a form, on containers that hold nearly all text of the page.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_arrow, quoted, text_of
 
-WINDOW, SURGE = 3, 86
-#: Factors of weights, and the least weight of a line that counts as text.
-INSIDE, OUTSIDE, APART, LEAST = 100.0, 1 / 50, 1 / 1000, 1.0
-#: Share of the text that makes a container the page, and a mark the article.
-BULK, MARKED = 0.9, 0.3
+#: Lines of a window, the sum over it (in lines) that a text surges over, and the characters that make half a line.
+WINDOW, SURGE, HALF = 3, 0.6, 3
+#: Factors of weights.
+INSIDE, OUTSIDE, FIRM, MILD = 3**0.5, 3**-0.5, 0.1, 0.4
+#: Shares of the text: a container that is the page, a mark that is the article, a section that is taken for it.
+BULK, MARKED, SECTION = 0.9, 0.3, 0.7
+#: Characters that a section in another must leave out to be taken for the article.
+LINE = 30
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b(?>[^>"']+|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -40,53 +44,76 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i i
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TEXT_ONLY = frozenset("p li dt dd td th tr option h1 h2 h3 h4 h5 h6".split())
 _APART = frozenset("nav footer aside form button dialog menu".split())
-_FIRM = _APART - {"form"}
-_APART_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "comment comments commentlist disqus respond replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related "
-    "recommended newsletter subscribe subscription signup login search pagination pager toolbar widget copyright contentinfo complementary".split()
+#: Names that say what is in a container, and names that may; a compound name says it if its other parts only say what kind of box it is.
+_FIRM_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus respond replies sidebar nav navbar navigation "
+    "breadcrumb breadcrumbs footer masthead newsletter subscribe subscription signup login pagination pager toolbar copyright contentinfo complementary".split()
 )
+_MILD_NAMES = frozenset("alert banner menu modal notice notices overlay popup promo promotion recommended related search share sharing social widget".split())
+_BOX_NAMES = frozenset("area banner bar block body bottom box button buttons col column container content footer form group header holder inner items left list links main notice outer pane panel right row section site slot the thread top unit wrap wrapper page popup modal".split())
+_SECTIONS = frozenset("div section td center body main article".split())
 _MAIN_NAMES = frozenset("main articlebody".split())
 
 
-def _names(attrs: str) -> frozenset[str]:
-    return frozenset(w for _, v in _WORDS.findall(attrs) for w in re.split(r"[^a-z0-9]+", v.lower()) if w) if "=" in attrs else frozenset()
+def _names(attrs: str) -> list[str]:
+    return [w for _, v in _WORDS.findall(attrs) for w in v.strip("\"'").lower().split()] if "=" in attrs else []
+
+
+def _factor(tag: str, names: list[str]) -> float:
+    """What a container's tag and names make of its lines."""
+    factor = FIRM if tag in _APART else 1.0
+    for name in names:
+        parts = {p for p in re.split(r"[^a-z]+", name) if p}
+        for known, f in ((_FIRM_NAMES, FIRM), (_MILD_NAMES, MILD)):
+            if parts & known and parts <= known | _FIRM_NAMES | _MILD_NAMES | _BOX_NAMES:
+                factor = min(factor, f)
+    return factor
 
 
 class Line(NamedTuple):
-    """A block of text, its characters in links, and the numbers of the containers around it that are apart (negative if only a name or a form says so), and marks."""
+    """A block of text, its characters in links, and the number of the container that it is in."""
 
     text: str
     linked: int
-    apart: tuple[int, ...]
-    marks: tuple[int, ...]
+    container: int
+
+
+class Container(NamedTuple):
+    """The container around (less than its own number), tag, factor of its tag and names, whether a mark of the article, whether a header."""
+
+    parent: int
+    tag: str
+    factor: float
+    mark: bool
+    header: bool
 
 
-_GAP = Line("", 0, (), ())
 _PLAIN = frozenset("html body main article".split())
 
 
-def lines_of(page: str) -> list[Line]:
-    """The lines of a page in order, empty ones for edges of containers.
+def lines_of(page: str) -> tuple[list[Line], list[Container]]:
+    """The lines of a page in order, and its containers; number 0 is the page.
 
-    A line ends at the edges of block elements and at <br>. End tags close what they match; what is left open ends with
-    its parent. The edges of marks and of containers apart are WINDOW empty lines wide.
+    A line ends at the edges of block elements and at <br>. End tags close what they match; what is left open ends with its parent.
     """
     lines: list[Line] = []
-    stack: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = [("", (), ())]  # tag, containers apart, marks
+    containers = [Container(0, "", 1.0, False, False)]
+    stack: list[tuple[str, int]] = [("", 0)]
+    depth: dict[str, list[int]] = {}  # places in the stack by tag, so that an end tag finds its own at once
     held: list[str] = []
-    linked, in_link, at, number = 0, False, 0, 0
+    linked, in_link, at = 0, False, 0
 
     def close() -> None:
         nonlocal held, linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                lines.append(Line(text, linked, stack[-1][1], stack[-1][2]))
+                lines.append(Line(text, linked, stack[-1][1]))
             held, linked = [], 0
 
-    def edge(wide: bool) -> None:
-        lines.extend([_GAP] * (WINDOW if wide else 1))
+    def pop(upto: int) -> None:
+        while len(stack) > upto:
+            depth[stack.pop()[0]].pop()
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
@@ -104,88 +131,107 @@ def lines_of(page: str) -> list[Line]:
             continue
         close()
         in_link = False
-        text_only = tag in _TEXT_ONLY
-        if tag in _VOID or text_only:
-            names = frozenset() if token["end"] or tag in _VOID else _names(token["attrs"])
-            if not names & _APART_NAMES and tag not in ("li", "td", "th", "dd", "dt"):
-                if stack[-1][0] == "p" and (tag == "p" or token["end"]):
-                    edge(True)
-                    stack.pop()
-                continue
+        if tag in _VOID:
+            continue
         if token["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if stack[k][1:] != stack[k - 1][1:]:
-                        edge(True)
-                    elif not text_only:
-                        edge(False)
-                    del stack[k:]
-                    break
+            if depth.get(tag):
+                pop(depth[tag][-1])
             continue
         names = _names(token["attrs"])
-        _, apart, marks = stack[-1]
-        number += 1
-        if tag not in _PLAIN and (tag in _APART or names & _APART_NAMES or (not marks and (tag == "header" or "header" in names))):
-            apart = (*apart, number if tag in _FIRM else -number)
-        if tag in ("article", "main") or names & _MAIN_NAMES:
-            marks = (*marks, number)
+        factor = 1.0 if tag in _PLAIN else _factor(tag, names)
+        mark = tag in ("article", "main") or not _MAIN_NAMES.isdisjoint(names)
+        if tag in _TEXT_ONLY and tag not in ("li", "td", "th", "dd", "dt") and factor == 1.0 and not mark:
+            continue
         if token["attrs"].endswith("/"):
             continue
-        if tag in ("li", "td", "th", "dd", "dt") and stack[-1][0] == tag:
-            stack.pop()
-        if (apart, marks) != stack[-1][1:]:
-            edge(True)
-        elif not text_only:
-            edge(False)
-        stack.append((tag, apart, marks))
+        if tag in _TEXT_ONLY and stack[-1][0] == tag:
+            pop(len(stack) - 1)
+        containers.append(Container(stack[-1][1], tag, factor, mark, tag == "header" or "header" in names))
+        depth.setdefault(tag, []).append(len(stack))
+        stack.append((tag, len(containers) - 1))
     if at < len(page):
         held.append(page[at:])
     close()
-    return lines
-
-
-def weights(lines: list[Line]) -> list[float]:
-    """What each line counts for: the length of its text by the factors above."""
-    size = [max(len(x.text) - x.linked, 0) for x in lines]
-    total, held, around = sum(size), {}, {}
-    for n, x in zip(size, lines):
-        for c in x.apart:
-            held[c] = held.get(c, 0) + n
-    for x in lines:  # the marks that begin inside a container apart have greater numbers than it
-        for c in x.apart:
-            for m in x.marks:
-                if m > abs(c):
-                    around.setdefault(c, set()).add(m)
-    marked: dict[int, int] = {}
-    for n, x in zip(size, lines):
-        for m in x.marks:
-            marked[m] = marked.get(m, 0) + n
-    main = {m for m, n in marked.items() if n >= MARKED * total}
-    apart = {c for c, n in held.items() if (c > 0 or n < BULK * total) and not around.get(c, set()) & main}
-    fine = [not any(c in apart for c in x.apart) for x in lines]
-    text = sum(n for n, ok in zip(size, fine) if ok)
-    inside = [ok and bool(x.marks) for x, ok in zip(lines, fine)]
-    has_mark = 0 < sum(n for n, ok in zip(size, inside) if ok) >= MARKED * text
-    out = []
-    for x, ok, within in zip(lines, fine, inside):
-        n = float(len(x.text))
-        if not ok:
-            out.append(n * APART)
-        elif has_mark and within:
-            out.append(n * INSIDE)
-        else:
-            out.append(0.0 if 2 * x.linked >= n else n * OUTSIDE if has_mark else n)
-    return out
-
-
-def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
+    return lines, containers
+
+
+def _sums(sizes: dict[int, int], containers: list[Container]) -> list[int]:
+    """What each container holds, with all that lies in it; containers come after those around them."""
+    held = [sizes.get(c, 0) for c in range(len(containers))]
+    for c in range(len(containers) - 1, 0, -1):
+        held[containers[c].parent] += held[c]
+    return held
+
+
+def article_of(lines: list[Line], containers: list[Container]) -> tuple[list[bool], list[float]]:
+    """For each container, whether it lies in the article, and its factor with those around it."""
+    n = len(containers)
+    sizes: dict[int, int] = {}
+    for x in lines:
+        sizes[x.container] = sizes.get(x.container, 0) + max(len(x.text) - x.linked, 0)
+    held = _sums(sizes, containers)
+    in_mark = [False] * n
+    for c in range(1, n):
+        in_mark[c] = containers[c].mark or in_mark[containers[c].parent]
+
+    def factors(main: set[int]) -> list[float]:
+        around = set()  # what the article lies in
+        for m in main:
+            m = containers[m].parent
+            while m and m not in around:
+                around.add(m)
+                m = containers[m].parent
+        out = [1.0] * n
+        for c in range(1, n):
+            x, own = containers[c], 1.0
+            if c not in around and (held[c] < BULK * held[0] or x.tag in _APART - {"form"}):
+                own = min(x.factor, FIRM if x.header and not in_mark[c] else 1.0)
+            out[c] = min(out[x.parent], own)
+        return out
+
+    main = {c for c in range(1, n) if containers[c].mark and held[c] and held[c] >= MARKED * held[0]}
+    factor = factors(main)
+    open_ = _sums({c: k for c, k in sizes.items() if factor[c] > FIRM}, containers)
+    main = {c for c in main if open_[c] and open_[c] >= MARKED * open_[0]}
+    if not main:
+        around = 0  # sections that hold nearly all lie in one another; one is entered if it leaves out anything of the page, or a line of another section
+        for c in range(1, n):
+            least = 1 if containers[containers[c].parent].tag in ("", "html", "body") else LINE
+            if containers[c].tag in _SECTIONS and factor[c] == 1.0 and open_[c] >= SECTION * open_[0] and open_[around] - open_[c] >= least:
+                around = c
+        main = {around} if around else set()
+    inside = [False] * n
+    for c in range(1, n):
+        inside[c] = c in main or inside[containers[c].parent]
+    return (inside if main else [True] * n), factors(main)
+
+
+def weights(lines: list[Line], containers: list[Container]) -> tuple[list[float], list[int], list[bool]]:
+    """The weights of lines with WINDOW empty ones where the article or a container apart begins or ends, the line of each (-1: empty), and
+    whether it may be all that a page says."""
+    inside, factor = article_of(lines, containers)
+    out, which, fit, last = [], [], [], None
+    for k, x in enumerate(lines):
+        state = inside[x.container], factor[x.container]
+        if last is not None and state != last:
+            out += [0.0] * WINDOW
+            which += [-1] * WINDOW
+            fit += [False] * WINDOW
+        last = state
+        n = len(x.text)
+        out.append(0.0 if 2 * x.linked >= n and not (state[0] and factor[x.container] == 1.0) else n / (n + HALF) * (INSIDE if state[0] else OUTSIDE) * state[1])
+        which.append(k)
+        fit.append(state[1] > FIRM)
+    return out, which, fit
+
+
+def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW, fit: list[bool] | None = None) -> list[tuple[int, int]]:
     """(first, end) of the runs of lines where the window sums are over nothing and surge over ``surge``.
 
-    A weight under LEAST counts as nothing. If no sum surges, the run with the most weight is the only one.
+    If no sum surges, the run with the most weight is the only one, by the lines that are ``fit``.
     """
     n = len(weight)
-    solid = [w if w >= LEAST else 0.0 for w in weight]
-    sums = [sum(solid[i:i + window]) for i in range(n)]
+    sums = [sum(weight[i:i + window]) for i in range(n)]
     runs, i = [], 0
     while i < n:
         if not sums[i]:
@@ -197,14 +243,15 @@ def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW) ->
         runs.append((i, end))
         i = end
     strong = [(a, b) for a, b in runs if max(sums[a:b]) > surge]
-    return strong or sorted(runs, key=lambda r: (-sum(solid[r[0]:r[1]]), r))[:1]
+    own = [w if fit is None or fit[k] else 0.0 for k, w in enumerate(weight)]
+    return strong or sorted((r for r in runs if any(own[r[0]:r[1]])), key=lambda r: (-sum(own[r[0]:r[1]]), r))[:1]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, one line for each block. Empty for null and for pages without text."""
-    lines = lines_of(page or "")
-    weight = weights(lines)
-    return "\n".join(lines[k].text for a, b in regions(weight) for k in range(a, b) if weight[k] >= LEAST)
+    lines, containers = lines_of(page or "")
+    weight, which, fit = weights(lines, containers)
+    return "\n".join(lines[which[k]].text for a, b in regions(weight, fit=fit) for k in range(a, b) if weight[k])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
