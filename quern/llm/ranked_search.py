@@ -7,7 +7,7 @@ share, all integers.
 2. With m lists, a document that is under bound / m in every one of them can't reach the bound. So every list is read down
    to that threshold, the same for all lists of a query. Sums of what was read give a better bound, and with
    the most that each list not read for a document could add, an upper bound of its score; the document is a candidate where that
-   reaches the better bound.
+   reaches the better bound. A list adds nothing if a single occurrence in a document of that length would have been read.
 3. The candidates' postings that were not read are looked up, so their scores are exact.
 
 Bounds count ties as reaching, so equal scores are all there to be ordered by id.
@@ -76,13 +76,17 @@ def share(tf: Column, n: Column, documents: int, terms: int) -> Column:
 
 
 def index(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """(lists, documents, N): postings (tid, share, row) of the vocabulary's terms in sorted ranges, and (row, id) of every document, written out."""
+    """(lists, documents, N): postings (tid, share, row, base) of the vocabulary's terms in sorted ranges, and (row, id) of every document, written out.
+
+    ``base`` is the share that a single occurrence has in the document, the least of any.
+    """
     counted = sieve(term_counts(docs, id_col, text_col).withColumn("h", F.xxhash64("term")), "h", vocabulary.select(F.xxhash64("term").alias("h")))
     counted = stash(counted.where("maybe or term is null").drop("h", "maybe"), "terms")
     documents = counted.where("term is null")
     total = documents.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
     n_docs, n_terms = total[0], total[1] or 0
-    postings = counted.where("term is not null").join(vocabulary, "term").select("tid", share(F.col("tf"), F.col("n"), n_docs, max(n_terms, 1)).alias("share"), "row")
+    part = lambda tf: share(tf, F.col("n"), n_docs, max(n_terms, 1)).cast("int")  # noqa: E731  under 10^6
+    postings = counted.where("term is not null").join(vocabulary, "term").select("tid", part(F.col("tf")).alias("share"), "row", part(F.lit(1).cast("long")).alias("base"))
     order = [F.col("tid"), F.col("share").desc(), F.col("row")]
     return stash(postings.repartitionByRange(*order).sortWithinPartitions(*order), "lists"), documents.select("row", "id"), n_docs
 
@@ -121,17 +125,26 @@ def search(
 
     # 2: all lists down to the threshold
     down_to = asks.groupBy("tid").agg(F.min(F.expr("(least + w - 1) div w")).alias("floor"))
-    read = lists.join(down_to, "tid").where("share >= floor").select("tid", "share", "row").repartition("row")
+    read = lists.join(down_to, "tid").where("share >= floor").select("tid", "share", "row", "base").repartition("row")
+    low = F.col("w") * F.col("base") < F.col("least")  # if not, the document's posting, were there one, would have been read
     met = read.join(asks, "tid").where(F.col("w") * F.col("share") >= F.col("least"))
-    sums = met.groupBy("row", "query").agg(F.sum(F.col("w") * F.col("share")).alias("s"), F.sum("rest").alias("seen"))
-    sums = stash(sums, "sums")
-    limits = _kth(sums, k).join(asks.groupBy("query").agg(F.sum("rest").alias("rests")), "query")
-    candidates = sums.join(limits, "query").where("s + rests - seen >= bound").select("query", "row", "s")
+    sums = met.groupBy("row", "query").agg(
+        F.sum(F.col("w") * F.col("share")).alias("s"), F.sum("rest").alias("seen"), F.sum(F.when(low, F.col("rest")).otherwise(0)).alias("seen_low"), F.max("base").alias("base"),
+    )
+    by_weight = F.array_sort(F.collect_list(F.struct("w", "rest")))
+    about = asks.groupBy("query").agg(F.sum("rest").alias("rests"), F.max("least").alias("least"), by_weight.alias("by_weight")).join(first, "query")
+    # a plain upper bound first, then one of the lists alone that may hold something of this document
+    hopeful = sums.join(about, "query").where("s + rests - seen >= bound")
+    some = F.filter("by_weight", lambda x: x["w"] * F.col("base") < F.col("least"))
+    hopeful = hopeful.withColumn("most", F.col("s") - F.col("seen_low") + F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x["rest"])).where("most >= bound")
+    hopeful = stash(hopeful.select("query", "row", "s", "base", "most"), "hopeful")
+    candidates = hopeful.join(_kth(hopeful, k), "query").where("most >= bound").select("query", "row", "s", "base")
 
     # 3: what was not read of the candidates' lists
     candidates = stash(candidates, "candidates")
-    missing = candidates.select("query", "row").join(asks, "query").select("query", "row", "tid", "w", "least")
-    found = missing.join(lists, ["tid", "row"]).where(F.col("w") * F.col("share") < F.col("least")).groupBy("query", "row").agg(F.sum(F.col("w") * F.col("share")).alias("more"))
+    missing = candidates.select("query", "row", "base").join(asks, "query").where(low).select("query", "row", "tid", "w", "least")
+    found = missing.join(lists.select("tid", "row", "share"), ["tid", "row"]).where(F.col("w") * F.col("share") < F.col("least"))
+    found = found.groupBy("query", "row").agg(F.sum(F.col("w") * F.col("share")).alias("more"))
     scored = candidates.join(found, ["query", "row"], "left").withColumn("score", F.col("s") + F.coalesce("more", F.lit(0)))
     named = scored.join(documents.withColumnRenamed("id", "doc_id"), "row")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
