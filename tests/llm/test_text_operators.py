@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from helpers import documents, empty, held_out, labels, rows
 
 from quern.llm import html_extract, quality_classifier, quality_rules, secrets
@@ -151,7 +153,12 @@ def brute_ratios(data, told, bits, smooth=1.0):
     return llr, bound, [ok and r >= bound for r, ok in zip(llr, fine)]
 
 
-def test_quality_ratio_as_by_brute_force(spark):
+@pytest.mark.parametrize("slice_bits, passes", [(25, "few"), (14, "few"), (25, "all")])
+def test_quality_ratio_as_by_brute_force(spark, slice_bits, passes, monkeypatch):
+    """Also with a model in four slices, and with a bitmap that lets all ids through."""
+    monkeypatch.setattr(quality_rules, "SLICE_BITS", slice_bits)
+    if passes == "all":
+        monkeypatch.setattr(quality_rules, "sieve", lambda rows, column, keys: rows.withColumn("maybe", F.lit(True)))
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(400)]
     data = [(i, " ".join(rng.choice(vocabulary[:300] if i % 3 else vocabulary[150:], 60 + i % 7))) for i in range(150)]
@@ -168,7 +175,12 @@ def test_quality_ratio_as_by_brute_force(spark):
     assert [w[0] for w in want] == [f[0] for f in found] and np.allclose([w[1] for w in want], [f[1] for f in found], atol=1e-5)
     assert all(w[2] == f[2] for w, f in zip(want, found) if abs(w[1] - bound) > 2 / quality_rules.GRAIN) and 0 < sum(kept) < len(kept)
     assert abs(got[0].threshold - bound) <= 2 / quality_rules.GRAIN
-    assert [quality_rules.bits_for(n) for n in (0, 1 << 22, 1 << 24, 1 << 50)] == [16, 17, 19, 20]
+
+
+def test_buckets_follow_the_corpus():
+    assert [quality_rules.bits_for(n) for n in (0, 1 << 22, 1 << 30, 50 << 30, 1 << 47)] == [16, 16, 20, 25, 37]
+    counts = np.array([0, 1, 255, 256, 1 << 40, *[0] * ((1 << quality_rules.BLOCK_BITS) - 5)], np.int64)
+    assert (quality_rules._unpack(quality_rules._pack(counts)) == counts).all() and len(quality_rules._pack(counts)) < 16_500
 
 
 def test_classifier(spark):
