@@ -67,8 +67,8 @@ def filter_bank(up: int, down: int) -> np.ndarray:
     """
     scale = min(1.0, up / down)
     half = int(np.ceil(CROSSINGS / scale))
-    width = (BETA / 0.1102 + 8.7 - 7.95) / (14.36 * 2 * CROSSINGS)  # the transition that the window's length allows
-    cutoff = scale * (1 - width / 2)
+    width = (BETA / 0.1102 + 8.7 - 7.95) / (14.36 * 2 * CROSSINGS)  # half the transition that the window allows, in Nyquist frequencies
+    cutoff = scale * (1 - width)
     at = np.arange(-half + 1, half + 1)[None, :] - (np.arange(up) / up)[:, None]
     shape = np.i0(BETA * np.sqrt(np.maximum(0, 1 - (at / half) ** 2))) / np.i0(BETA)
     taps = cutoff * np.sinc(cutoff * at) * shape

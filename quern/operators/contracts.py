@@ -29,7 +29,7 @@ def broken(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 def manifest_violations(df: DataFrame, split: str, audited: bool = False, base_wer: bool = False) -> DataFrame:
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    rules = {"wrong split": F.col("split") != split, "empty text": blank("text"), "no id": blank("id"), "no provenance": blank("parquet_path") | blank("audio_column")}
+    rules = {"wrong split": F.col("split") != split, "empty text": blank("text"), "no id": blank("id"), "no provenance": blank("parquet_path") | blank("audio_column") | blank("text_column")}
     if audited:
         rules["audio not audited"] = (blank("audio_sha1") & blank("audio_pcm_sha1")) | (F.col("decoded_duration") <= 0)
     if base_wer:
@@ -68,16 +68,77 @@ def target_violations(df: DataFrame, key: str = "id") -> DataFrame:
     return broken(df, key, {"empty target": F.col("text") == "", "control fragment": has_control_fragment(F.col("text"))})
 
 
-def batch_violations(df: DataFrame, key: str, pad: int, eos: int, ignore: int = -100) -> DataFrame:
+def waveform_violations(df: DataFrame, rate: int, key: str = "id") -> DataFrame:
+    """Decoded rows before they are batched: ``audio`` an array of finite samples, not empty, at ``rate``; a target as target_violations() wants it."""
+    x = F.col("audio")
+    return broken(df, key, {
+        "empty waveform": F.size(x) <= 0, "non-finite samples": F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), "unexpected rate": F.col("rate") != rate,
+        "empty target": F.trim("text") == "", "control fragment": has_control_fragment(F.col("text")),
+    })
+
+
+def batch_violations(
+    df: DataFrame, key: str, pad: int, eos: int, ignore: int = -100, prompt: str | None = None, placeholder: int | None = None, vectors: str | None = None,
+) -> DataFrame:
     """Padded arrays ``input_ids``, ``labels``, ``attention``, ``length``: equal shapes, a supervised token, the end id
-    supervised, padding unsupervised, attention 1 just over the length."""
+    supervised, padding unsupervised, attention 1 just over the length.
+
+    ``prompt`` names a column with the prompt's length: none of it may be supervised. ``placeholder`` is the id that stands for audio: there must be
+    one, none supervised, and as many as the column ``vectors`` says, if it is named. A table without a required column is an error.
+    """
+    needed = ["input_ids", "labels", "attention", "length", *[c for c in (prompt, vectors) if c]]
+    missing = [c for c in needed if c not in df.columns]
+    if missing:
+        raise ContractError(f"batch lacks {missing}")
     ids, labels, seen, n = F.col("input_ids"), F.col("labels"), F.col("attention"), F.col("length")
     tail = F.slice(labels, n + 1, F.greatest(F.size(labels) - n, F.lit(0)))
-    return broken(df, key, {
+    rules = {
         "unequal shapes": (F.size(ids) != F.size(labels)) | (F.size(ids) != F.size(seen)), "nothing supervised": ~F.exists(labels, lambda x: x != ignore),
         "end id unsupervised": F.element_at(labels, n) != eos, "padding supervised": F.exists(tail, lambda x: x != ignore),
         "attention off": F.aggregate(seen, F.lit(0), lambda a, x: a + x) != n,
-    })
+    }
+    if prompt:
+        rules["prompt supervised"] = F.exists(F.slice(labels, F.lit(1), F.col(prompt)), lambda x: x != ignore)
+    if placeholder is not None:
+        held = F.filter(F.arrays_zip(ids.alias("i"), labels.alias("l")), lambda z: z["i"] == placeholder)
+        rules["no placeholder"] = F.size(held) == 0
+        rules["placeholder supervised"] = F.exists(held, lambda z: z["l"] != ignore)
+        if vectors:
+            rules["placeholders and vectors differ"] = F.size(held) != F.col(vectors)
+    return broken(df, key, rules)
+
+
+def check_text_stream(split: str, block_size: int, validation_fraction: float, eos: int | None) -> None:
+    """Parameters of a text stream that is packed into blocks."""
+    if split not in ("train", "validation"):
+        raise ContractError("split must be train or validation")
+    if block_size <= 0:
+        raise ContractError("block_size must be positive")
+    if not 0 < validation_fraction < 1:
+        raise ContractError("validation_fraction must be in (0, 1)")
+    if eos is None:
+        raise ContractError("the tokenizer must define an end id")
+
+
+#: Limits of a run by the least value allowed: over 0, and from 0 on.
+_POSITIVE = ("gradient_accumulation", "sample_rate", "max_batch_size", "max_batch_audio_seconds", "log_every", "evaluate_every", "evaluation_examples", "max_new_tokens")
+
+
+def check_run(limits: dict, needs_previous: bool, previous: str | None = None, resume: str | None = None) -> None:
+    """Limits of a training run and where it starts: from a previous stage or a resume, not both, and the previous stage only where one is needed."""
+    if previous is not None and resume is not None:
+        raise ContractError("choose either a previous stage or a resume")
+    if needs_previous and previous is None and resume is None:
+        raise ContractError("this stage needs the one before it, or a resume")
+    if not needs_previous and previous is not None:
+        raise ContractError("this stage starts from the base model")
+    for name in _POSITIVE:
+        if name not in limits or not limits[name] > 0:
+            raise ContractError(f"{name} must be positive")
+    if limits.get("save_every", 0) < 0:
+        raise ContractError("save_every must not be negative")
+    if limits.get("max_steps") is not None and limits["max_steps"] <= 0:
+        raise ContractError("max_steps must be positive")
 
 
 def evaluation_violations(df: DataFrame) -> DataFrame:

@@ -492,7 +492,7 @@ def generation_rates(s, d):
 UNION ALL SELECT 'base_wer out of range', id FROM v WHERE NOT base_wer BETWEEN 0 AND 1 UNION ALL SELECT 'wrong split', id FROM v WHERE source_split <> 'train' UNION ALL SELECT 'empty text', id FROM v WHERE trim(text) = ''""")
 def contract_violations(s, d):
     v = manifest_view(s, d)
-    held = v.withColumns({"split": F.col("source_split"), "parquet_path": F.lit("p"), "audio_column": F.lit("a")})
+    held = v.withColumns({"split": F.col("source_split"), "parquet_path": F.lit("p"), "audio_column": F.lit("a"), "text_column": F.lit("t")})
     return sampler_violations(v, "id", "duration", 400.0).unionByName(manifest_violations(held, "train", base_wer=True))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,8 @@ from pyspark.sql import types as T
 from quern.functions.text import WS
 from quern.operators.contracts import check, manifest_violations
 from quern.schema import MANIFEST, bind_manifest
+from quern.session import ensure_importable
+from quern.sources.row_groups import open_store
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,12 +56,31 @@ def _bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return bad(numbered_lines(spark, path)).select("file", "line").orderBy("file", "line")
 
 
-def load_manifest(spark: SparkSession, path: str, split: str, audited: bool = False, base_wer: bool = False) -> DataFrame:
-    """A split's manifest, refused if any row breaks its contract or there is none."""
+def missing_sources(rows: DataFrame) -> DataFrame:
+    """(rule, key) of source files that rows name and that don't exist; paths are looked up by tasks, each once."""
+    paths = rows.select(F.col("parquet_path").alias("path")).where("path <> ''").distinct()
+    found = paths.mapInArrow(_lookup, "path string, there boolean")
+    return found.where("not there").select(F.lit("source missing").alias("rule"), F.col("path").alias("key"))
+
+
+def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        there = []
+        for path in batch["path"].to_pylist():
+            store, inner = open_store(path)
+            there.append(store.get_file_info(inner).type != fs.FileType.NotFound)
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(there, pa.bool_())], ["path", "there"])
+
+
+def load_manifest(spark: SparkSession, path: str, split: str, audited: bool = False, base_wer: bool = False, sources: bool = True) -> DataFrame:
+    """A split's manifest, refused if any row breaks its contract or there is none, or if ``sources`` and a file that a row points into is missing."""
     rows = bind_manifest(read_jsonl(spark, path, MANIFEST))
     check(manifest_violations(rows, split, audited, base_wer), f"manifest {path}")
     if rows.isEmpty():
         raise ValueError(f"manifest {path} is empty")
+    if sources:
+        ensure_importable(spark)
+        check(missing_sources(rows), f"manifest {path}")
     return rows
 
 
