@@ -11,8 +11,10 @@ pairs inside the join, where they are not even rows.
 
 Rounds. At first every row is compared with one other only, the least that leads one of its buckets. What is a near
 copy of a lesser row goes and is not compared again, so a large group of copies costs about one comparison a member.
-Then small buckets are compared all with all, and buckets over ``crowd`` with some of their rows, four times as many in
-each round; a row leaves a crowded bucket once it was compared with all of it.
+Then small buckets are compared all with all. Rows of buckets over ``crowd``, who share a band for a header or a template that many have, are dealt anew by
+their rarest shingles: of two sets at similarity s, each has one of the other's in its floor((1 - s) m) + 1 rarest ones, rare being one order for all, so
+no pair is lost, and unlike rows no longer meet. That is followed by the same two steps; buckets that are still crowded are compared with some of
+their rows, four times as many in each round, and a row leaves such a bucket once it was compared with all of it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import map_arrow, sieve, stash
@@ -137,14 +139,34 @@ def _leaders(members: DataFrame, similarity: float) -> DataFrame:
     return near.groupBy(F.col("at").alias("b")).agg(F.min("p").alias("a")).select("a", "b")
 
 
+def _small_and_large(members: DataFrame, crowd: int) -> list[DataFrame]:
+    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
+    return [sized.where(c).select("bucket", "at") for c in (F.col("n") <= crowd, F.col("n") > crowd)]
+
+
+def _all_pairs(small: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a before b, of buckets of a bounded size."""
+    both = small.select("bucket", F.col("at").alias("a")).join(small.select("bucket", F.col("at").alias("b")), "bucket")
+    return both.where((F.col("a") < F.col("b")) & _may_be("a", "b", similarity)).select("a", "b")
+
+
+def rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, at): each row (at) in a bucket for each of its floor((1 - similarity) m) + 1 shingles that the fewest of the rows have, where another row is."""
+    held = rows.join(sets.toDF("__k", "__k2", "set"), (F.col("at.k") == F.col("__k")) & (F.col("at.k2") == F.col("__k2")))
+    each = held.select("at", F.explode("set").alias("bucket"))
+    counted = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("at.row").orderBy("n", "bucket")
+    most = F.floor((1 - similarity) * F.col("at.m") + 1e-6) + 1
+    ranked = each.join(counted, "bucket").withColumn("place", F.row_number().over(order))
+    return ranked.where((F.col("place") <= most) & (F.col("n") > 1)).select("bucket", "at")
+
+
 def _meetings(members: DataFrame, crowd: int, pivots: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a before b, to compare; and the members of larger buckets without those that are compared with all."""
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
-    small, large = (sized.where(c).select("bucket", "at") for c in (F.col("n") <= crowd, F.col("n") > crowd))
-    pairs = small.select("bucket", F.col("at").alias("a")).join(small.select("bucket", F.col("at").alias("b")), "bucket").where((F.col("a") < F.col("b")) & _may_be("a", "b", similarity))
+    small, large = _small_and_large(members, crowd)
     first = large.groupBy("bucket", F.pmod(F.xxhash64("at.row"), F.lit(pivots)).alias("salt")).agg(F.min("at").alias("p")).drop("salt")
     star = large.join(first, "bucket").where((F.col("at") != F.col("p")) & _may_be("p", "at", similarity)).select(F.least("at", "p").alias("a"), F.greatest("at", "p").alias("b"))
-    return pairs.select("a", "b").unionByName(star), large.join(first.select("bucket", F.col("p").alias("at")), ["bucket", "at"], "left_anti")
+    return _all_pairs(small, similarity).unionByName(star), large.join(first.select("bucket", F.col("p").alias("at")), ["bucket", "at"], "left_anti")
 
 
 def near_copies(rows: DataFrame, made: DataFrame, width: int = 5, similarity: float = 0.8, classes: DataFrame | None = None, crowd: int = 64) -> DataFrame:
@@ -172,7 +194,13 @@ def near_copies(rows: DataFrame, made: DataFrame, width: int = 5, similarity: fl
     sets = stash(sets if repeated.isEmpty() else sets.dropDuplicates(["k", "k2"]), "sets")
     gone, turn = None, 0
     while not left.isEmpty():
-        pairs, rest = _meetings(left, crowd, 4**turn, similarity) if turn else (_leaders(left, similarity), left)
+        if turn in (0, 2):
+            pairs, rest = _leaders(left, similarity), left
+        elif turn == 1:
+            small, large = _small_and_large(left, crowd)
+            pairs, rest = _all_pairs(small, similarity), rarest(large.select("at").distinct(), sets, similarity)
+        else:
+            pairs, rest = _meetings(left, crowd, 4 ** (turn - 2), similarity)
         pairs = pairs.select(
             *[F.col(f"{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("k", "k2")], F.col("b.row").alias("row")
         ).distinct()

@@ -230,6 +230,32 @@ def test_stays_as_by_brute_force(spark):
     assert set(alone) <= set(kept)
 
 
+def test_crowded_buckets_are_dealt_by_rare_shingles(spark):
+    """Rows with one long header share bands; unlike ones are hardly compared, and near copies among them are all found."""
+    rng = random.Random(3)
+    header = [f"h{i}" for i in range(120)]
+    data, pairs = [], []
+    for i in range(900):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 100))]
+        data.append((2 * i, " ".join(header + own)))
+        if i % 30 == 0:  # a copy at about 0.9
+            own[rng.randrange(len(own))] = "new"
+            data.append((2 * i + 1, " ".join(header + own)))
+            pairs.append(2 * i + 1)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    rows_ = df.select(F.xxhash64("doc_id", "text").alias("k"), F.xxhash64("text").alias("k2"), F.col("doc_id").alias("id"), "text")
+    made = near_copies.sketches(rows_, simhash.fingerprint_of, 5)
+    at = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k", "k2", "row", "m", *near_copies._MAPS).alias("at")
+    sets = made.sparkSession.createDataFrame([(r.k, r.k2, [int(x) for x in near_copies.distinct(near_copies.shingle_hashes(r.text, 5)).view("<i8")]) for r in rows_.collect()], "k long, k2 long, set array<long>")
+    dealt = near_copies.rarest(made.select(at), sets, 0.8)
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in sizes) < len(data) ** 1.5 / 2
+    lost = near_copies.near_copies(rows_, made, 5, 0.8, None, crowd=16)
+    kept = {r[0] for r in rows_.join(lost, ["k", "k2"], "left_anti").select("id").collect()}
+    texts = dict(data)
+    assert {i for i in texts if i not in kept} == {p for p in pairs if jaccard(texts[p], texts[p - 1]) >= 0.8} and len(kept) < len(data)
+
+
 def test_sieve(spark):
     from quern.llm.common import sieve
 
