@@ -15,7 +15,7 @@ Bounds count ties as reaching, so equal scores are all there to be ordered by id
 Plan. A task counts the terms of a batch of whole texts; only those that pass a bitmap of the queries' terms are written out. The lists
 are dealt by (term, share) into sorted ranges, so a very frequent term fills as many files as it needs, and ranks within a list are cut on the
 map side. What phase 2 reads is shuffled by document once: sums by (document, query) are local from there on. Queries have a row for each of
-their terms; whether such tables are broadcast is left to Spark's own size limit.
+their terms; such tables are counted, and broadcast up to SMALL terms.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_arrow, quoted, sieve, stash, text_of
 
+#: Terms of all queries together, some 50 bytes each, up to which tables of them are broadcast. With more Spark chooses the joins.
+SMALL = 1 << 18
 #: What stands between terms, as RE2 has it: the ASCII characters that are neither letters nor digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -122,23 +124,24 @@ def search(
     least = F.greatest(F.lit(1).cast("long"), F.expr("(bound + m - 1) div m"))
     asks = each.join(per.select("query", least.alias("least")), "query").withColumn("rest", F.least(F.col("least") - 1, F.col("w") * F.col("top")))
     asks = stash(asks.select("query", "tid", "w", "least", "rest"), "asks")
+    few = F.broadcast if asks.count() <= SMALL else lambda df: df
 
     # 2: all lists down to the threshold
     down_to = asks.groupBy("tid").agg(F.min(F.expr("(least + w - 1) div w")).alias("floor"))
-    read = lists.join(down_to, "tid").where("share >= floor").select("tid", "share", "row", "base").repartition("row")
+    read = lists.join(few(down_to), "tid").where("share >= floor").select("tid", "share", "row", "base").repartition("row")
     low = F.col("w") * F.col("base") < F.col("least")  # if not, the document's posting, were there one, would have been read
-    met = read.join(asks, "tid").where(F.col("w") * F.col("share") >= F.col("least"))
+    met = read.join(few(asks), "tid").where(F.col("w") * F.col("share") >= F.col("least"))
     sums = met.groupBy("row", "query").agg(
         F.sum(F.col("w") * F.col("share")).alias("s"), F.sum("rest").alias("seen"), F.sum(F.when(low, F.col("rest")).otherwise(0)).alias("seen_low"), F.max("base").alias("base"),
     )
     by_weight = F.array_sort(F.collect_list(F.struct("w", "rest")))
     about = asks.groupBy("query").agg(F.sum("rest").alias("rests"), F.max("least").alias("least"), by_weight.alias("by_weight")).join(first, "query")
     # a plain upper bound first, then one of the lists alone that may hold something of this document
-    hopeful = sums.join(about, "query").where("s + rests - seen >= bound")
+    hopeful = sums.join(few(about), "query").where("s + rests - seen >= bound")
     some = F.filter("by_weight", lambda x: x["w"] * F.col("base") < F.col("least"))
     hopeful = hopeful.withColumn("most", F.col("s") - F.col("seen_low") + F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x["rest"])).where("most >= bound")
     hopeful = stash(hopeful.select("query", "row", "s", "base", "most"), "hopeful")
-    candidates = hopeful.join(_kth(hopeful, k), "query").where("most >= bound").select("query", "row", "s", "base")
+    candidates = hopeful.join(few(_kth(hopeful, k)), "query").where("most >= bound").select("query", "row", "s", "base")
 
     # 3: what was not read of the candidates' lists
     candidates = stash(candidates, "candidates")
