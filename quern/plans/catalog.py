@@ -16,7 +16,10 @@ from quern.operators.contracts import leakage_violations, manifest_violations, s
 from quern.plans.manifest_view import (
     BUCKET, DOCS, FINGERPRINT, JUDGED, LATIN_SHARE, LOG, NORMAL, PAIRS, VIEW, evaluation_view, judged_view, manifest_view, metric_log, table,
 )
+from quern.sources.discover import canonical, with_position
+from quern.sources.fetch import POINTER, fetch_cells
 from quern.sources.manifest import pick_ids
+from quern.sources.row_groups import locate, row_groups
 from quern.sources.scan import profile as schema_profile
 from quern.sources.scan import text_rows
 from quern.storage import stash
@@ -443,6 +446,17 @@ def fixed_id_lookup(s, d):
     return pick_ids(table(s, d, "documents").select("doc_id", "source"), ids, "doc_id").select("ordinal", "doc_id", "source")
 
 
+@query("SELECT doc_id, octet_length(encode(text))::bigint AS bytes, md5(text) AS digest, NULL::varchar AS error FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def pointer_lookup(s, d):
+    """Texts of the labelled documents, each read from its row group by a pointer."""
+    docs = table(s, d, "documents")
+    rows = with_position(docs.select("doc_id", "_metadata")).join(table(s, d, "labels").select("doc_id").distinct(), "doc_id")
+    groups = row_groups(s, docs.inputFiles()).withColumn("path", canonical(F.col("path")))
+    placed = locate(rows.withColumn("parquet_path", canonical(F.col("file_path"))), groups).withColumn("audio_column", F.lit("text"))
+    found = fetch_cells(placed.select("doc_id", *POINTER), ["doc_id"], texts=True)
+    return found.select("doc_id", F.octet_length("payload").cast("long").alias("bytes"), F.md5("payload").alias("digest"), "error")
+
+
 @query("SELECT lang, quality, count(*) AS rows, avg(n_chars) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
 def label_join_quality(s, d):
     return table(s, d, "documents").select("doc_id", "lang", "n_chars").join(table(s, d, "labels"), "doc_id").groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("rows"), F.avg("n_chars").alias("mean_chars"))

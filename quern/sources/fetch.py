@@ -48,7 +48,7 @@ class _File:
             self.stream.close()
             self.stream = None
 
-    def cells(self, row_group: int, column: str, picks: list[int]) -> Iterator[bytes | Exception]:
+    def cells(self, row_group: int, column: str, picks: list[int], texts: bool = False) -> Iterator[bytes | Exception]:
         """The payload or error of each pick, which are in ascending order; reads no further than the last."""
         if self.error:
             yield from [self.error] * len(picks)
@@ -70,7 +70,7 @@ class _File:
             for batch in self.file.iter_batches(STEP, [row_group], [f"{column}.bytes" if nested else column], use_threads=False):
                 while i < len(valid) and valid[i] < at + batch.num_rows:
                     cell = batch.column(0)[valid[i] - at].as_py()
-                    yield _payload(cell["bytes"] if nested and cell is not None else cell, nested)
+                    yield _payload(cell["bytes"] if nested and cell is not None else cell, nested, texts)
                     i += 1
                 if i == len(valid):
                     break
@@ -78,17 +78,19 @@ class _File:
         yield from [IndexError("row_in_group is outside row group")] * sum(p is not None and p >= rows for p in picks)
 
 
-def _payload(cell, nested: bool) -> bytes | Exception:
+def _payload(cell, nested: bool, texts: bool) -> bytes | Exception:
     if isinstance(cell, (bytes, bytearray)) and (cell or not nested):
         return bytes(cell)
     if nested:
         return ValueError("Audio struct has no embedded bytes; refusing an unverified or stale path")
     if isinstance(cell, str):
+        if texts:
+            return cell.encode()
         return ValueError("Path-only audio is disabled")
     return TypeError(f"Unsupported audio cell type: {type(cell).__name__}")
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], function: Callable, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], function: Callable, names: list[str], kinds: list[pa.DataType], texts: bool) -> Iterator[pa.RecordBatch]:
     file, made, held = _File(), [], 0
 
     def out() -> pa.RecordBatch:
@@ -111,7 +113,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], function: Callable, names: list[st
     for run in runs():
         path, row_group, column, _ = run[0][0]
         file.open(path or "")
-        for (_, row), got in zip(run, file.cells(row_group, column or "", [k[3] for k, _ in run]), strict=True):
+        for (_, row), got in zip(run, file.cells(row_group, column or "", [k[3] for k, _ in run], texts), strict=True):
             error, values = None, None
             if isinstance(got, Exception):
                 error = failure(got)
@@ -131,12 +133,15 @@ def _fetch(batches: Iterator[pa.RecordBatch], function: Callable, names: list[st
         yield out()
 
 
-def map_cells(rows: DataFrame, function: Callable[[dict, bytes], tuple], fields: str, keep: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def map_cells(
+    rows: DataFrame, function: Callable[[dict, bytes], tuple], fields: str, keep: list[str] | None = None, partitions: int | None = None, texts: bool = False,
+) -> DataFrame:
     """(``keep``, ``fields``, error): ``function(row, payload)`` of the cell that each pointer names, in the task that reads it.
 
     ``rows`` have the columns of POINTER; ``row`` holds the columns of ``keep`` (all by default). A pointer out of bounds, a missing file or
     column, a cell without bytes and what ``function`` raises give nulls and ``error``, "kind:message". Every row gives one. A store that fails
-    otherwise fails the task. Files are opened through Arrow's file systems, which every executor must reach.
+    otherwise fails the task. Files are opened through Arrow's file systems, which every executor must reach. A column of strings holds paths, which are refused,
+    unless ``texts`` says that they are payloads themselves, as UTF-8.
     """
     spark = rows.sparkSession
     ensure_importable(spark)
@@ -149,16 +154,16 @@ def map_cells(rows: DataFrame, function: Callable[[dict, bytes], tuple], fields:
     schema = T.StructType([*[dealt.schema[c] for c in keep], *made, T.StructField("error", T.StringType())])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
     kinds = [to_arrow_type(f.dataType) for f in schema]
-    return dealt.mapInArrow(partial(_fetch, function=function, names=schema.fieldNames(), kinds=kinds), schema)
+    return dealt.mapInArrow(partial(_fetch, function=function, names=schema.fieldNames(), kinds=kinds, texts=texts), schema)
 
 
 def _same(row: dict, payload: bytes) -> tuple:
     return (payload,)
 
 
-def fetch_cells(rows: DataFrame, keep: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def fetch_cells(rows: DataFrame, keep: list[str] | None = None, partitions: int | None = None, texts: bool = False) -> DataFrame:
     """(``keep``, payload, error): the bytes that each pointer names."""
-    return map_cells(rows, _same, "payload binary", keep, partitions)
+    return map_cells(rows, _same, "payload binary", keep, partitions, texts)
 
 
 def fetch_audio(rows: DataFrame, sample_rate: int = 16_000, verify_duration: bool = True, partitions: int | None = None) -> DataFrame:
