@@ -14,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.sieve import sieve
 from quern.storage import delete, fresh_path, stash, stash_at
 
-__all__ = ["delete", "fresh_path", "stash", "stash_at"]
+__all__ = ["delete", "fresh_path", "sieve", "stash", "stash_at"]
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Bits of a sieve (8 MB broadcast) and of one of its pages.
-SIEVE, PAGE = 1 << 26, 1 << 15
 #: Most bytes of an Arrow batch.
 BATCH = "4m"
 
@@ -54,22 +53,6 @@ def row_key(id_col: str, text_col: str) -> dict[str, Column]:
     return {"k": F.xxhash64(*both), "k2": F.xxhash64(F.lit("k2"), *both)}
 
 
-def sieve(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE) -> DataFrame:
-    """``rows`` with ``maybe``: false only where no row of ``keys`` (one bigint column) has the value of ``column``.
-
-    A bitmap over the low bits of the keys is broadcast, ``bits / 8`` bytes at most, whatever the number of keys. So
-    long texts that no key asks for are never shuffled. With far more keys than bits nearly all rows pass and
-    what comes after does all the work, as it would without a sieve.
-    """
-    (key,) = keys.columns
-    bit = lambda c: F.pmod(F.col(c), F.lit(bits))
-    pages = keys.select(F.floor(bit(key) / PAGE).alias("__page"), (bit(key) % PAGE).alias("p")).groupBy("__page").agg(F.bitmap_construct_agg("p").alias("__bits"))
-    place = bit(column) % PAGE
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(pages), F.floor(bit(column) / PAGE) == F.col("__page"), "left")
-    return found.withColumn("maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("__page", "__bits")
-
-
 def without(docs: DataFrame, id_col: str, text_col: str, lost: DataFrame) -> DataFrame:
     """The rows but for those that ``lost`` (k, k2, stays) names by row_key(): where ``stays``, one of them stays.
 
@@ -101,7 +84,8 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """mapInArrow by a function of this package, which workers find where the driver has it or on their own path.
 
     Where the session has Spark's default of 64 MB for an Arrow batch, it is lowered to BATCH: the JVM's buffers lie outside
-    the heap, a few times the batch for every core.
+    the heap, a few times the batch for every core. Both that setting and the workers' PYTHONPATH are changed in the caller's session and
+    stay so.
     """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == f"{64 << 20}b":

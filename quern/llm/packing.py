@@ -23,7 +23,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, stash, text_of
+from quern.llm.common import map_arrow, quoted, stash, text_of
 from quern.llm.tokens import encoder, public_vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -181,7 +181,7 @@ def pack_documents(
     """
     spark = docs.sparkSession
     path = vocabulary or public_vocabulary("word_bpe_49k.json")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     work = partial(_measure, path=path, mode=mode, end_id=end_id, window=window)
     slim = stash(map_arrow(rows, work, "doc_id long, n long, sums array<long>"), "lengths")
     slim = slim.withColumn("r", F.col("n") % window).withColumn("whole", F.expr(f"n div {window}"))
@@ -216,7 +216,13 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, mode: str, end_id: int) -
 
 
 def sequences(docs: DataFrame, pieces: DataFrame, vocabulary: str | None = None, mode: str = "word", end_id: int = 1) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves, for tables in which ids of documents are unique."""
+    """(sequence_id, ids): the packed sequences themselves, for tables in which every row has an id of its own.
+
+    Pieces are joined to their documents by id: those of rows without an id are left out, and a repeated id is an error.
+    """
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"several documents have id {twice[0]['doc_id']}")
     path = vocabulary or public_vocabulary("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ids = map_arrow(rows, partial(_cut, path=path, mode=mode, end_id=end_id), "doc_id long, ids array<long>")

@@ -234,6 +234,10 @@ def _accepted(batches: Iterator[pa.RecordBatch], model: Model, threshold: float,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
-    """The rows that the classifier accepts, all columns, in one pass."""
+    """The rows that the classifier scores ``threshold`` or more, all columns, in one pass without a shuffle.
+
+    Each row is judged by its own text, whatever its id: null counts as empty and stays null, repeated rows and rows without an id stay or go alike. Without
+    labels of both classes every score is the share of label 1 (one half without any). An empty table gives no rows; columns of any name come back as they were.
+    """
     model = train_model(docs, labels, per_class)
     return map_arrow(docs, partial(_accepted, model=model, threshold=threshold, column="text"), docs.schema)

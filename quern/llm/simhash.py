@@ -21,7 +21,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import delete, fresh_path, map_arrow, quoted, row_key, stash, stash_at, text_of, without
@@ -94,10 +94,14 @@ def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(fps: DataFrame, segments: int) -> tuple[DataFrame, str]:
-    """(key, via, fp, n): the grid points of several fingerprints and how many they have, written out, and where."""
+    """(key, via, fp, n): the grid points of several fingerprints and how many they have, written out, and where.
+
+    Points are counted by an aggregate and joined with the counts, so one that most fingerprints share may be split.
+    """
     points = map_arrow(fps.select("fp"), partial(_points, segments=segments), "key long, via byte, fp long")
+    counts = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     path = fresh_path(fps.sparkSession, "met")
-    return stash_at(points.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), path), path
+    return stash_at(points.join(counts, "key"), path), path
 
 
 def near_pairs(fps: DataFrame, segments: tuple[int, ...] = (16, 32), crowd: int = 64) -> tuple[DataFrame, list[str]]:
@@ -119,7 +123,8 @@ def near_pairs(fps: DataFrame, segments: tuple[int, ...] = (16, 32), crowd: int
             break
     else:
         points = map_arrow(fps, _flips, "fp long, point long")
-        links.append(points.withColumn("a", F.min("fp").over(Window.partitionBy("point"))).where("a <> fp").select("a", F.col("fp").alias("b")))
+        least = points.groupBy("point").agg(F.min("fp").alias("a"))
+        links.append(points.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")))
     return reduce(DataFrame.unionByName, links).distinct(), paths
 
 

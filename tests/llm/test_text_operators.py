@@ -203,6 +203,39 @@ def test_classifier(spark):
     assert len(quality_classifier.indicators("word " * 500_000)) == len(quality_classifier.indicators("word " * 300_000))
 
 
+def test_dual_coordinate_descent_solves_the_dual():
+    """Against projected gradient steps on the dual, with the bias as one more feature."""
+    rng = np.random.default_rng(8)
+    for cost in (0.01, 1.0):
+        rows_ = [np.sort(rng.choice(30, rng.integers(3, 9), replace=False)) for _ in range(40)]
+        values = [rng.normal(size=len(r)) for r in rows_]
+        y = np.where(rng.random(40) < 0.5, 1, -1)
+        x = np.zeros((40, 31))
+        for i, (r, v) in enumerate(zip(rows_, values)):
+            x[i, r], x[i, 30] = v, 1.0
+        q = (x * y[:, None]) @ (x * y[:, None]).T
+        alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(q).max()
+        for _ in range(100_000):
+            alpha = np.clip(alpha - step * (q @ alpha - 1), 0, cost)
+        want = (alpha * y) @ x
+        w, bias = quality_classifier.dual_coordinate_descent(rows_, values, y, cost, epochs=5_000)
+        assert np.abs(w[:30] - want[:30]).max() < 2e-3 and abs(bias - want[30]) < 2e-3 and not w[30:].any()
+        primal = lambda v: 0.5 * v @ v + cost * np.maximum(0, 1 - y * (x @ v)).sum()
+        assert primal(np.append(w[:30], bias)) <= primal(want) + 1e-3 and abs(primal(want) - (alpha.sum() - 0.5 * alpha @ q @ alpha)) < 1e-3
+
+
+def test_keep_good_of_odd_rows(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat"], 60)) + "." for _ in range(40)] + [" ".join(w.upper() + "!!" for w in rng.choice(["the", "cat"], 60)) for _ in range(40)]
+    df = documents(spark, [*texts, "", None])  # with repeated rows, one without an id, and columns named as those inside
+    told = labels(spark, [(i, int(i < 40), 0, "x", 0.0) for i in range(80)])
+    got, scores = quality_classifier.keep_good(df, told, per_class=30), {r.doc_id: r.score for r in quality_classifier.classify(df, told, per_class=30).collect()}
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(map(str, rows(got))) == sorted(str(r) for r in rows(df) if scores[r[0]] >= 0.3)
+    assert sum(r.doc_id == 0 for r in got.collect()) == 2
+    assert quality_classifier.keep_good(empty(spark), told).isEmpty() and quality_classifier.keep_good(df, labels(spark)).count() == df.count()
+
+
 PAGES = [
     ("<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=\"ad\">Buy</div><article><h1>Head &amp; more</h1><p>One\n  two&nbsp;three<br>four<p>five</article><footer>&copy; x</footer>", "Head & more\nOne two three\nfour\nfive"),
     ("<div class='sidebar'><p>" + "side " * 40 + "</p></div><div><p>" + "text " * 40 + "</p><p>Short.</p></div><div id=comments><p>" + "reply " * 40 + "</p></div>", ("text " * 40).strip() + "\nShort."),

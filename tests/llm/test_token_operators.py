@@ -353,3 +353,16 @@ def test_decoding(spark):
     odd = spark.createDataFrame([(None, 1), ([], 2)], "ids array<int>, d int")
     assert sorted(rows(piece_sampling.decode_pieces(odd), "d", "decoded")) == [(1, None), (2, "")]
     assert piece_sampling.decode_pieces(odd.limit(0)).isEmpty()
+
+
+def test_sequences_need_ids_of_their_own(spark):
+    from quern.llm import packing
+
+    df = spark.createDataFrame([(1, "one two three"), (None, "four five"), (2, "six")], "`a b` long, text string")
+    pieces = packing.pack_documents(df, id_col="a b", window=8)
+    assert pieces.count() >= 3
+    docs = df.toDF("doc_id", "text")
+    ids = [i for r in packing.sequences(docs, pieces).collect() for i in r.ids]
+    assert ids.count(1) == 2  # two end ids: the row without an id is left out
+    with pytest.raises(ValueError, match="id 1"):
+        packing.sequences(docs.unionByName(docs), pieces)
