@@ -4,8 +4,8 @@ Markup is stripped to lines, one for each block of text. A line weighs n / (n +
 lines that counts and not how long paragraphs are, times mild factors: inside the article INSIDE, beside it OUTSIDE (a third), in menus, footers and the
 like FIRM, under a name that may mean such MILD; a line that is links for the most part weighs nothing. The weights are summed over windows of
 WINDOW lines, and where the article or a container apart begins or ends, WINDOW empty lines stand. Where the sums rise from nothing a region begins, where they
-dive to nothing it ends, and it is text if they surge over SURGE in between; if none do, the region with the most weight is. So an unnamed advert of one line
-beside the article goes, a block of several stays; in the article a short line of its own stays, and a named box if it holds a sentence.
+dive to nothing it ends, and it is text if they surge over SURGE in between, beside the article also over a BESIDE-th of the highest sum of the page; if none
+do, the region with the most weight is. So in the article a short line of its own stays, and a named box if it holds a sentence; beside it goes what isn't denser than the article.
 
 The article is what ``<article>`` or ``<main>`` marks, if that holds a share of the text of the page; else the innermost section that holds nearly all
 text and leaves a line or more out. What speaks against a container doesn't count where it can't be meant: on html, body, main and article, on containers that
@@ -27,6 +27,8 @@ from quern.llm.common import map_arrow, quoted, text_of
 
 #: Lines of a window, the sum over it (in lines) that a text surges over, and the characters that make half a line.
 WINDOW, SURGE, HALF = 3, 0.6, 3
+#: Share of the page's highest sum that a region beside the article must surge over.
+BESIDE = 0.35
 #: Factors of weights.
 INSIDE, OUTSIDE, FIRM, MILD = 3**0.5, 3**-0.5, 0.1, 0.4
 #: Shares of the text: a container that is the page, a mark that is the article, a section that is taken for it.
@@ -206,27 +208,39 @@ def article_of(lines: list[Line], containers: list[Container]) -> tuple[list[boo
     return (inside if main else [True] * n), factors(main)
 
 
-def weights(lines: list[Line], containers: list[Container]) -> tuple[list[float], list[int], list[bool]]:
-    """The weights of lines with WINDOW empty ones where the article or a container apart begins or ends, the line of each (-1: empty), and
-    whether it may be all that a page says."""
+class Weights(NamedTuple):
+    """The weights of lines with WINDOW empty ones where the article or a container apart begins or ends, the line of each (-1: empty), whether it may
+    be all that a page says, and whether it stands in the article."""
+
+    weight: list[float]
+    line: list[int]
+    fit: list[bool]
+    inside: list[bool]
+
+
+def weights(lines: list[Line], containers: list[Container]) -> Weights:
+    """What the lines of a page weigh."""
     inside, factor = article_of(lines, containers)
-    out, which, fit, last = [], [], [], None
+    out, which, fit, within, last = [], [], [], [], None
     for k, x in enumerate(lines):
         state = inside[x.container], factor[x.container]
         if last is not None and state != last:
             out += [0.0] * WINDOW
             which += [-1] * WINDOW
             fit += [False] * WINDOW
+            within += [False] * WINDOW
         last = state
         n = len(x.text)
         out.append(0.0 if 2 * x.linked >= n and not (state[0] and factor[x.container] == 1.0) else n / (n + HALF) * (INSIDE if state[0] else OUTSIDE) * state[1])
         which.append(k)
         fit.append(state[1] > FIRM)
-    return out, which, fit
+        within.append(state[0])
+    return Weights(out, which, fit, within)
 
 
-def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW, fit: list[bool] | None = None) -> list[tuple[int, int]]:
-    """(first, end) of the runs of lines where the window sums are over nothing and surge over ``surge``.
+def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW, fit: list[bool] | None = None, inside: list[bool] | None = None) -> list[tuple[int, int]]:
+    """(first, end) of the runs of lines where the window sums are over nothing and surge over ``surge``, and without a line ``inside`` the article also
+    over BESIDE times the highest sum.
 
     If no sum surges, the run with the most weight is the only one, by the lines that are ``fit``.
     """
@@ -242,7 +256,8 @@ def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW, fit
             end += 1
         runs.append((i, end))
         i = end
-    strong = [(a, b) for a, b in runs if max(sums[a:b]) > surge]
+    high = BESIDE * max(sums, default=0.0)
+    strong = [(a, b) for a, b in runs if max(sums[a:b]) > (surge if inside is None or any(inside[a:b]) else max(surge, high))]
     own = [w if fit is None or fit[k] else 0.0 for k, w in enumerate(weight)]
     return strong or sorted((r for r in runs if any(own[r[0]:r[1]])), key=lambda r: (-sum(own[r[0]:r[1]]), r))[:1]
 
@@ -250,8 +265,8 @@ def regions(weight: list[float], surge: float = SURGE, window: int = WINDOW, fit
 def main_text(page: str | None) -> str:
     """The article of a page, one line for each block. Empty for null and for pages without text."""
     lines, containers = lines_of(page or "")
-    weight, which, fit = weights(lines, containers)
-    return "\n".join(lines[which[k]].text for a, b in regions(weight, fit=fit) for k in range(a, b) if weight[k])
+    w = weights(lines, containers)
+    return "\n".join(lines[w.line[k]].text for a, b in regions(w.weight, fit=w.fit, inside=w.inside) for k in range(a, b) if w.weight[k])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

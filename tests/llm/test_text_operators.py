@@ -262,6 +262,7 @@ PAGES += [
 PAGES += [(f"<article>{BODY}<div class='{name}'><p>A paragraph that belongs to the article, and says so.</p></div><p>More of it here.</p></article><div class=ad>Buy</div>", f"{BODY_TEXT}\nA paragraph that belongs to the article, and says so.\nMore of it here.")
           for name in ("share-price", "search-results", "cookie-recipe", "menu-item", "social-science", "popup-shop", "alert")]
 PAGES += [
+    (f"<article>{BODY}</article><div class=notice><p>One thing to know.</p><p>Another thing to know.</p><p>A third.</p></div><div><p>Beside it.</p><p>More beside it.</p></div>", BODY_TEXT),
     (f"<body><nav><a href=/>x</a></nav><div><div>{BODY}</div><div><p>The end.</p></div></div><div>Buy this now, it is as cheap as it will ever be.</div></body>", f"{BODY_TEXT}\nThe end."),  # no marks
     (f"<article><div>{BODY}</div><div><div><p>The end.</p></div></div></article>", f"{BODY_TEXT}\nThe end."),
     (f"<article>{BODY}<div class='share-buttons'>Share</div><section class='comments-area'><p>{'So says a reader. ' * 30}</p></section></article>", BODY_TEXT),
@@ -303,7 +304,7 @@ def test_surge_and_dive_decide():
         for old, new in changes:
             changed = changed.replace(old, new)
         lines, containers = html_extract.lines_of(changed)
-        weight, which, _ = html_extract.weights(lines, containers)
+        weight, which, *_ = html_extract.weights(lines, containers)
         every = [lines[which[k]].text for k, w in enumerate(weight) if w]
         kept = html_extract.main_text(changed).split("\n")
         assert kept == ["Head", *BODY_TEXT.split("\n")] and len(every) > len(kept)
