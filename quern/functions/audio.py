@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import math
-import wave
+import struct
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -29,18 +28,64 @@ class Decoded(NamedTuple):
     subtype: str
 
 
-def decode_wav(payload: bytes) -> Decoded:
-    """PCM WAV by the standard library."""
-    with wave.open(io.BytesIO(payload)) as f:
-        width, channels, rate, data = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+def _ulaw() -> np.ndarray:
+    """Levels of mu-law bytes: sign, three bits of a segment, four of a step in it."""
+    code = 255 - np.arange(256)
+    level = (((code & 15) << 3) + 132 << ((code >> 4) & 7)) - 132
+    return (np.where(code & 128, -level, level) / 32768).astype(np.float32)
+
+
+def _alaw() -> np.ndarray:
+    """Levels of A-law bytes, whose even bits are inverted."""
+    code = np.arange(256) ^ 0x55
+    segment, step = (code >> 4) & 7, ((code & 15) << 4) + 8
+    level = np.where(segment > 0, step + 256 << np.maximum(segment - 1, 0), step)
+    return (np.where(code & 128, level, -level) / 32768).astype(np.float32)
+
+
+def _pcm(data: bytes, width: int) -> np.ndarray:
     if width == 1:
-        x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
+        return (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
+    if width == 3:
         b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8).astype(np.float32) / (1 << 23)
+        return ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8).astype(np.float32) / (1 << 23)
+    return np.frombuffer(data, f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
+
+
+#: Fixed values of the format: kinds of samples by tag and bits, with the names that they go by.
+_SAMPLES = {(1, 8): "PCM_U8", (1, 16): "PCM_16", (1, 24): "PCM_24", (1, 32): "PCM_32", (3, 32): "FLOAT", (3, 64): "DOUBLE", (6, 8): "ALAW", (7, 8): "ULAW"}
+_EXTENSIBLE = 0xFFFE
+
+
+def decode_wav(payload: bytes) -> Decoded:
+    """WAV with PCM, float, A-law or mu-law samples, plain or extensible. A data chunk that is cut short gives the frames that are there."""
+    if payload[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, head, data = 12, None, None
+    while at + 8 <= len(payload) and data is None:
+        name, size = payload[at:at + 4], int.from_bytes(payload[at + 4:at + 8], "little")
+        if name == b"fmt ":
+            head = payload[at + 8:at + 8 + size]
+        elif name == b"data":
+            data = payload[at + 8:at + 8 + size]
+        at += 8 + size + size % 2
+    if head is None or len(head) < 16 or data is None:
+        raise ValueError("WAV file without a format or data")
+    tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", head[:16])
+    wide = tag == _EXTENSIBLE and len(head) >= 26
+    if wide:
+        tag = int.from_bytes(head[24:26], "little")
+    subtype = _SAMPLES.get((tag, bits))
+    if not subtype or not channels or not rate:
+        raise ValueError(f"unsupported WAV samples: tag {tag}, {bits} bits")
+    data = data[:len(data) // (channels * bits // 8) * (channels * bits // 8)]
+    if tag == 1:
+        x = _pcm(data, bits // 8)
+    elif tag == 3:
+        x = np.frombuffer(data, f"<f{bits // 8}").astype(np.float32)
     else:
-        x = np.frombuffer(data, f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
-    return Decoded(x.reshape(-1, channels), rate, "WAV", {1: "PCM_U8", 2: "PCM_16", 3: "PCM_24", 4: "PCM_32"}[width])
+        x = (_alaw() if tag == 6 else _ulaw())[np.frombuffer(data, np.uint8)]
+    return Decoded(x.reshape(-1, channels), rate, "WAVEX" if wide else "WAV", subtype)
 
 
 #: Codecs by the first bytes that they read.

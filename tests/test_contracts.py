@@ -2,6 +2,7 @@
 
 import json
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -172,3 +173,39 @@ def test_distances_of_long_texts(spark):
     for n, m, k in ((200, 150, 3), (64, 64, 2), (65, 130, 40), (0, 5, 2), (1, 1, 1)):
         x, y = (rng.integers(0, k, size).tolist() for size in (n, m))
         assert edits.distance(x, y) == distance(x, y) == edits.distance(y, x)
+
+
+def riff(tag, channels, rate, bits, data, extensible=False, before=b"", cut=0):
+    block = channels * bits // 8
+    head = struct.pack("<HHIIHH", 0xFFFE if extensible else tag, channels, rate, rate * block, block, bits)
+    if extensible:
+        head += struct.pack("<HHIH", 22, bits, 0, tag) + bytes.fromhex("000000001000800000aa00389b71")
+    chunks = before + b"fmt " + len(head).to_bytes(4, "little") + head + b"data" + len(data).to_bytes(4, "little") + data
+    return (b"RIFF" + (4 + len(chunks)).to_bytes(4, "little") + b"WAVE" + chunks)[:None if not cut else -cut]
+
+
+def test_wav_samples_of_all_kinds():
+    wave_ = np.sin(np.arange(400) / 7).astype(np.float32) * 0.9
+    stereo = np.stack((wave_, -wave_), 1)
+    kinds = {
+        ("PCM_U8", 1, 8): np.round(stereo * 127 + 128).astype(np.uint8), ("PCM_16", 1, 16): np.round(stereo * 32767).astype("<i2"), ("PCM_32", 1, 32): np.round(stereo.astype(float) * (2**31 - 1)).astype("<i4"),
+        ("FLOAT", 3, 32): stereo.astype("<f4"), ("DOUBLE", 3, 64): stereo.astype("<f8"),
+    }
+    for (name, tag, bits), x in kinds.items():
+        for extensible in (False, True):
+            got = audio.decode(riff(tag, 2, 8000, bits, x.tobytes(), extensible, before=b"LIST" + (3).to_bytes(4, "little") + b"abc\0"))
+            assert (got.subtype, got.format, got.rate) == (name, "WAVEX" if extensible else "WAV", 8000)
+            assert got.waveform.shape == (400, 2) and np.abs(got.waveform - stereo).max() < (0.012 if bits == 8 else 1e-4)  # a byte has steps of 1 / 128
+    twentyfour = (np.round(stereo.astype(float) * (2**23 - 1)).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    assert np.abs(audio.decode(riff(1, 2, 8000, 24, twentyfour)).waveform - stereo).max() < 1e-6
+    # companded levels: known ends, odd symmetry, and rising magnitudes of every segment
+    ulaw, alaw = audio._ulaw(), audio._alaw()
+    assert (ulaw[0xFF], ulaw[0x00] * 32768, ulaw[0x80] * 32768) == (0, -32124, 32124) and (alaw[0xD5] * 32768, alaw[0x2A] * 32768, alaw[0xAA] * 32768) == (8, -32256, 32256)
+    for table, flip in ((ulaw, 0x80), (alaw, 0x80)):
+        assert all(table[c] == -table[c ^ flip] for c in range(256)) and len(set(np.abs(table))) >= 128 - 1
+    assert audio.decode(riff(7, 1, 8000, 8, bytes([0xFF, 0x80]))).subtype == "ULAW" and audio.decode(riff(6, 1, 8000, 8, b"\xd5")).subtype == "ALAW"
+    assert len(audio.decode(riff(1, 2, 8000, 16, bytes(40), cut=6)).waveform) == 8  # cut in the middle of a frame
+    assert audio.audit(riff(3, 1, 8000, 32, np.array([0.5, np.nan, np.inf], "<f4").tobytes()))["nonfinite_count"] == 2
+    for bad in (b"RIFF0000WAVE", b"RIFF0000AVI ", riff(2, 1, 8000, 4, b"x"), riff(1, 0, 8000, 16, b"")):
+        with pytest.raises(ValueError):
+            audio.decode(bad)
