@@ -41,8 +41,8 @@ def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document, see packing.pack_documents."""
-    return packing.pack_documents(docs, window=2048, end_id=1)
+    """A row for each piece of each document, see packing.pack_documents. Its workers share an executor with what earlier stages have left there, so they keep less."""
+    return packing.pack_documents(docs, window=2048, end_id=1, units=100_000, span=1 << 20)
 
 
 STAGES = [

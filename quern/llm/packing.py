@@ -131,11 +131,11 @@ class Plan:
         return found
 
 
-def _measure(batches: Iterator[pa.RecordBatch], path: str, mode: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], path: str, mode: str, end_id: int, window: int, units: int, span: int) -> Iterator[pa.RecordBatch]:
     """Token counts, and checksums of the whole windows, the remainder and the powers of two in it."""
     for batch in batches:
         sizes, sums = [], []
-        for ids in encoder(path, mode).encode(batch.column(1)):
+        for ids in encoder(path, mode, most_units=units, span=span).encode(batch.column(1)):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             cuts = [(i, i + window) for i in range(0, len(ids) - window + 1, window)]
             start = len(cuts) * window
@@ -171,18 +171,19 @@ def _place(batches: Iterator[pa.RecordBatch], plan: Broadcast) -> Iterator[pa.Re
 
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, mode: str = "word",
-    end_id: int = 1, window: int = 2048, rows_per_slice: int = 50_000,
+    end_id: int = 1, window: int = 2048, rows_per_slice: int = 50_000, units: int = 200_000, span: int = 1 << 22,
 ) -> DataFrame:
     """Pieces of every document in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty: a document of the end id alone. Every id lies in exactly one piece, offsets in
     a sequence are gapless from 0, and all sequences but one are full. Repeated rows are packed one by one; an empty
-    table gives no rows. Other columns are ignored. ``vocabulary`` is a path that every executor can open.
+    table gives no rows. Other columns are ignored. ``vocabulary`` is a path that every executor can open. ``units`` and ``span`` bound a worker's
+    memory: units of text whose ids it keeps, and bytes of text that it works on at a time.
     """
     spark = docs.sparkSession
     path = vocabulary or public_vocabulary("word_bpe_49k.json")
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    work = partial(_measure, path=path, mode=mode, end_id=end_id, window=window)
+    work = partial(_measure, path=path, mode=mode, end_id=end_id, window=window, units=units, span=span)
     slim = stash(map_arrow(rows, work, "doc_id long, n long, sums array<long>"), "lengths")
     slim = slim.withColumn("r", F.col("n") % window).withColumn("whole", F.expr(f"n div {window}"))
     by_length = slim.groupBy("r").agg(F.count(F.lit(1)).alias("c")).collect()  # at most one row for each length

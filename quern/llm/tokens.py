@@ -45,14 +45,15 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-_encoders: dict[tuple[str, str], "Encoder"] = {}
+_encoders: dict[tuple, "Encoder"] = {}
 
 
 def encoder(path: str, mode: str, **bounds: int) -> "Encoder":
     """The encoder of this worker process, which keeps the units of earlier tasks, up to its bound."""
-    if (path, mode) not in _encoders:
-        _encoders[path, mode] = Encoder(path, mode, **bounds)
-    return _encoders[path, mode]
+    key = path, mode, *bounds.items()
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, mode, **bounds)
+    return _encoders[key]
 
 
 def public_vocabulary(name: str) -> str:
