@@ -75,6 +75,11 @@ def audio_histograms(df: DataFrame, minimum_rms: float = 1e-5) -> DataFrame:
     return df.select(F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def percentile(column: str, q: float) -> Column:
+    """Nearest-rank percentile of a group as an aggregate, 0.0 of nothing. It holds the distinct values of a group; ranges.quantiles() is for whole tables."""
+    return F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})"), F.lit(0.0))
+
+
 def token_table(df: DataFrame, n_tokens: Column) -> DataFrame:
     stats = token_statistics(F.col("text"), n_tokens)
     return df.select("id", "dataset", *[c.alias(k) for k, c in stats.items()])

@@ -28,7 +28,8 @@ def dealt(df: DataFrame, order: list, tag: str = "ranges") -> DataFrame:
 
 
 def prefix_scan(df: DataFrame, column: str, order: list[str], name: str, how: str = "sum", keys: list[str] | tuple = ()) -> DataFrame:
-    """Add the sum, minimum or maximum of ``column`` over the rows before, in the given order (which must be total), apart for each key.
+    """Add the sum, minimum or maximum of ``column`` over the rows before, in the given order (which must be total), apart for each key, as ``name``, in
+    the place of a column that has it.
 
     A sum of nothing is 0, a minimum or maximum of nothing null; nulls don't count. A key's rows may fill any number of ranges, and no task sees
     more of them than one range has. A key is carried from range to range by one row, so what is broadcast has at most a row for each range.
@@ -45,7 +46,7 @@ def prefix_scan(df: DataFrame, column: str, order: list[str], name: str, how: st
     found = rows.join(F.broadcast(carried), reduce(lambda a, b: a & b, on), "left")
     value = combine(F.col("__in"), F.col("__c"))
     value = value.cast("long") if how == "sum" and kind in ("tinyint", "smallint", "int", "bigint") else value
-    return found.select(*[rows[c] for c in df.columns], value.alias(name))
+    return found.select(*[rows[c] for c in df.columns if c != name], value.alias(name))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "ord", keys: list[str] | tuple = ()) -> DataFrame:
