@@ -25,10 +25,12 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import map_arrow, sieve, stash
+from quern.operators.sieve import PAGE, SIEVE
 
 BANDS, DEPTH = 20, 5
 #: Longs of a parity map.
@@ -150,15 +152,37 @@ def _all_pairs(small: DataFrame, similarity: float) -> DataFrame:
     return both.where((F.col("a") < F.col("b")) & _may_be("a", "b", similarity)).select("a", "b")
 
 
-def rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, at): each row (at) in a bucket for each of its floor((1 - similarity) m) + 1 shingles that the fewest of the rows have, where another row is."""
-    held = rows.join(sets.toDF("__k", "__k2", "set"), (F.col("at.k") == F.col("__k")) & (F.col("at.k2") == F.col("__k2")))
-    each = held.select("at", F.explode("set").alias("bucket"))
-    counted = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("at.row").orderBy("n", "bucket")
-    most = F.floor((1 - similarity) * F.col("at.m") + 1e-6) + 1
-    ranked = each.join(counted, "bucket").withColumn("place", F.row_number().over(order))
-    return ranked.where((F.col("place") <= most) & (F.col("n") > 1)).select("bucket", "at")
+def _first_ones(batches: Iterator[pa.RecordBatch], common: Broadcast, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(row, bucket): the first floor((1 - similarity) m) + 1 shingles of each set, those that many rows have after the others."""
+    bits = common.value
+    for batch in batches:
+        rows, found = [], []
+        for row, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held = held.values.to_numpy(zero_copy_only=False)
+            place = held & (SIEVE - 1)
+            order = np.lexsort((held, (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1))
+            found.append(held[order[:int((1 - similarity) * len(held) + 1e-6) + 1]])
+            rows.append(np.full(len(found[-1]), row, np.int64))
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, found)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "bucket"])
+
+
+def rarest(rows: DataFrame, sets: DataFrame, similarity: float, crowd: int = 64) -> DataFrame:
+    """(bucket, at): each row (at) in a bucket for each of its floor((1 - similarity) m) + 1 rarest shingles.
+
+    Shingles of over ``crowd`` rows come last in the order, all others before them. Who is which is told by a bitmap of a fixed size, the same for
+    all rows, so what it takes for common wrongly only comes later in the order of every row.
+    """
+    held = rows.join(sets.toDF("__k", "__k2", "set"), (F.col("at.k") == F.col("__k")) & (F.col("at.k2") == F.col("__k2"))).select(F.col("at.row").alias("row"), "set")
+    place = F.pmod("bucket", F.lit(SIEVE))
+    common = held.select(F.explode("set").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    pages = common.select(F.floor(place / PAGE).alias("page"), (place % PAGE).alias("p")).groupBy("page").agg(F.bitmap_construct_agg("p").alias("bits"))
+    bits = np.zeros(SIEVE // 8, np.uint8)
+    for r in pages.collect():  # at most SIEVE / PAGE rows of PAGE / 8 bytes
+        bits[r.page * PAGE // 8:][:PAGE // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    told = rows.sparkSession.sparkContext.broadcast(bits)
+    first = map_arrow(held, partial(_first_ones, common=told, similarity=similarity), "row long, bucket long")
+    return first.join(rows.select(F.col("at.row").alias("row"), "at"), "row").select("bucket", "at")
 
 
 def _meetings(members: DataFrame, crowd: int, pivots: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +222,7 @@ def near_copies(rows: DataFrame, made: DataFrame, width: int = 5, similarity: fl
             pairs, rest = _leaders(left, similarity), left
         elif turn == 1:
             small, large = _small_and_large(left, crowd)
-            pairs, rest = _all_pairs(small, similarity), rarest(large.select("at").distinct(), sets, similarity)
+            pairs, rest = _all_pairs(small, similarity), rarest(large.select("at").distinct(), sets, similarity, crowd)
         else:
             pairs, rest = _meetings(left, crowd, 4 ** (turn - 2), similarity)
         pairs = pairs.select(
