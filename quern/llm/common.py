@@ -66,6 +66,16 @@ def without(docs: DataFrame, id_col: str, text_col: str, lost: DataFrame) -> Dat
     return unpacked(out, docs)
 
 
+def many(rows: DataFrame) -> DataFrame:
+    """Rows that follow the corpus, for a join that must not broadcast them.
+
+    Spark infers the size of rows made in tasks from the files that the tasks read: 33 grid points for each fingerprint
+    count as one, and repeated values as the little that they take in a file. Below its limit of 10 MB for a broadcast it would send some
+    hundred MB through the driver. Both sides are shuffled instead, and adaptive execution may still split hot keys.
+    """
+    return rows.hint("merge")
+
+
 def _tidy(batches: Iterator[pa.RecordBatch], function: Callable) -> Iterator[pa.RecordBatch]:
     """Run a function over a task's batches and give its memory back afterwards: workers live on, idle, beside the JVM."""
     pool = pa.default_memory_pool()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import delete, fresh_path, map_arrow, quoted, row_key, stash, stash_at, text_of, without
+from quern.llm.common import delete, fresh_path, many, map_arrow, quoted, row_key, stash, stash_at, text_of, without
 from quern.llm.components import components
 from quern.llm.near_copies import near_copies, shingle_hashes, sketches
 
@@ -101,7 +101,7 @@ def _met(fps: DataFrame, segments: int) -> tuple[DataFrame, str]:
     points = map_arrow(fps.select("fp"), partial(_points, segments=segments), "key long, via byte, fp long")
     counts = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     path = fresh_path(fps.sparkSession, "met")
-    return stash_at(points.join(counts, "key"), path), path
+    return stash_at(many(points).join(counts, "key"), path), path
 
 
 def near_pairs(fps: DataFrame, segments: tuple[int, ...] = (16, 32), crowd: int = 64) -> tuple[DataFrame, list[str]]:
@@ -117,14 +117,14 @@ def near_pairs(fps: DataFrame, segments: tuple[int, ...] = (16, 32), crowd: int
         x, y = (met.where(F.col("n") <= crowd).select("key", F.col("via").alias(f"via_{s}"), F.col("fp").alias(s)) for s in "ab")
         # A pair at distance 0 meets at its common vector, at distance 1 at the vector of the lesser fingerprint.
         once = (F.col("via_a") == 0) | ((F.col("via_b") != 0) & (F.col("via_a") != F.col("via_b")))
-        links.append(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2) & once).select("a", "b"))
+        links.append(many(x).join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2) & once).select("a", "b"))
         fps = met.where(F.col("n") > crowd).select("fp").distinct()
         if fps.isEmpty():
             break
     else:
         points = map_arrow(fps, _flips, "fp long, point long")
         least = points.groupBy("point").agg(F.min("fp").alias("a"))
-        links.append(points.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")))
+        links.append(many(points).join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")))
     return reduce(DataFrame.unionByName, links).distinct(), paths
 
 

@@ -9,7 +9,7 @@ from helpers import documents, empty, rows
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, near_copies, simhash
-from quern.llm.common import row_key
+from quern.llm.common import row_key, stash
 from quern.llm.components import components
 
 
@@ -280,3 +280,16 @@ def test_parities_bound_the_difference():
             b = np.unique(np.where(rng.random(len(a)) < share, rng.integers(0, 1 << 64, len(a), np.uint64), a))
             apart = sum(int(x).bit_count() for x in (near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64))
             assert apart <= len(np.setxor1d(a, b)) and (share or not apart)
+
+
+def broadcast(df):
+    """Whether the optimizer, by its own estimate of sizes, broadcasts a side of a join."""
+    return "BroadcastHashJoin" in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_grid_points_are_not_broadcast_by_the_size_of_the_fingerprints_file(spark, monkeypatch):
+    # Spark's own limit of 10 MB holds in this session; a file of fingerprints below it makes 33 times as many points.
+    fps, found, write = stash(spark.range(2_000).select(F.xxhash64("id").alias("fp")), "nodes"), [], simhash.stash_at
+    monkeypatch.setattr(simhash, "stash_at", lambda df, path: found.append(broadcast(df)) or write(df, path))
+    links, _ = simhash.near_pairs(fps, crowd=1)
+    assert found == [False, False] and not broadcast(links)
