@@ -29,7 +29,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, sieve, stash
+from quern.llm.common import many, map_arrow, sieve, stash
 from quern.operators.sieve import PAGE, SIEVE
 
 BANDS, DEPTH = 20, 5
@@ -137,12 +137,12 @@ def _may_be(x: str, y: str, similarity: float) -> Column:
 def _leaders(members: DataFrame, similarity: float) -> DataFrame:
     """A pair (a, b) for a row b: the least row that leads one of its buckets and may be alike."""
     first = members.groupBy("bucket").agg(F.min("at").alias("p"))
-    near = members.join(first, "bucket").where((F.col("p") < F.col("at")) & _may_be("p", "at", similarity))
+    near = many(members).join(first, "bucket").where((F.col("p") < F.col("at")) & _may_be("p", "at", similarity))
     return near.groupBy(F.col("at").alias("b")).agg(F.min("p").alias("a")).select("a", "b")
 
 
 def _small_and_large(members: DataFrame, crowd: int) -> list[DataFrame]:
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
+    sized = many(members).join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
     return [sized.where(c).select("bucket", "at") for c in (F.col("n") <= crowd, F.col("n") > crowd)]
 
 
@@ -210,7 +210,7 @@ def near_copies(rows: DataFrame, made: DataFrame, width: int = 5, similarity: fl
         meets = meets.unionByName(classes.select("row", "bucket").join(ones.select("row"), "row", "left_semi"))
     shared = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     at = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k", "k2", "row", "m", *_MAPS).alias("at")
-    left = stash(meets.join(shared, "bucket").join(ones.drop("buckets"), "row").select("bucket", at).distinct(), "meets")
+    left = stash(many(meets).join(shared, "bucket").join(ones.drop("buckets"), "row").select("bucket", at).distinct(), "meets")
     # Only rows that meet others are read again, for their sets; rows of one key have one text.
     who = left.select(F.col("at.k").alias("k")).distinct()
     texts = sieve(rows.select("k", "k2", "text"), "k", who).where("maybe").select("k", "k2", "text")

@@ -293,3 +293,13 @@ def test_grid_points_are_not_broadcast_by_the_size_of_the_fingerprints_file(spar
     monkeypatch.setattr(simhash, "stash_at", lambda df, path: found.append(broadcast(df)) or write(df, path))
     links, _ = simhash.near_pairs(fps, crowd=1)
     assert found == [False, False] and not broadcast(links)
+
+
+def test_members_of_buckets_are_not_broadcast_by_the_size_of_their_file(spark):
+    texts = spark.createDataFrame([(i, i, i, f"text number {i % 40} of a few words") for i in range(80)], "k long, k2 long, id long, text string")
+    made = near_copies.sketches(texts, simhash.fingerprint_of)
+    at = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k", "k2", "row", "m", *near_copies._MAPS).alias("at")
+    members = stash(made.select(F.explode("buckets").alias("bucket"), at), "meets")
+    leaders = near_copies._leaders(members, 0.8)
+    assert not any(map(broadcast, [leaders, *near_copies._small_and_large(members, 64)]))
+    assert leaders.count() == 40
