@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +111,9 @@ class Encoder:
         """Encode units that aren't known yet."""
         plain = [u for u in new if self.plain(u)]
         # Words of letters alone are pre-tokens of their own, and in a row of them the ids at their edges tell them apart.
-        ids = [self.tokenizer.encode(self.glue.join(plain[k:k + 1000]), add_special_tokens=False).ids for k in range(0, len(plain), 1000)]
-        ids = np.concatenate([np.array(i, np.uint32) for i in ids] or [np.zeros(0, np.uint32)])
+        rows = [self.glue.join(plain[k:k + 1000]) for k in range(0, len(plain), 1000)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]  # fast: without offsets
+        ids = np.concatenate(ids or [np.zeros(0, np.uint32)])
         edges = np.flatnonzero(self.edge[ids])
         if len(edges) == len(plain):
             self._add(plain, ids, edges + 1 if self.mode == "word" else np.append(edges[1:], len(ids)) if len(ids) else edges)
@@ -129,7 +131,10 @@ class Encoder:
     def _marked(self, texts: pa.Array) -> pa.Array:
         """The texts with a NUL between units."""
         if self.mode == "word":
-            return pc.replace_substring_regex(pc.replace_substring_regex(texts, "[\\t-\\r ]+", "\0"), _EDGE, "\\1\0\\2")
+            plain = pc.replace_substring(pc.replace_substring(texts, " ", "\0"), "\n", "\0")  # between two of them is an empty unit, of no ids
+            if pc.any(pc.match_substring_regex(plain, "[\\t-\\r]")).as_py():
+                plain = pc.replace_substring_regex(plain, "[\\t-\\r]+", "\0")
+            return pc.replace_substring_regex(plain, _EDGE, "\\1\0\\2")
         plain = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         plain = pc.replace_substring_regex(plain, _EDGE, "\\1\0\\2")
         odd = pc.match_substring_regex(texts, _ODD)
@@ -145,8 +150,7 @@ class Encoder:
         parts = pc.split_pattern(self._marked(texts), "\0")
         code = pc.dictionary_encode(parts.flatten())
         distinct = code.dictionary.to_pylist()
-        get = self.at.get
-        known = np.fromiter((get(u, -1) for u in distinct), np.int64, len(distinct))
+        known = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(known < 0)
         if len(missing):
             new = [distinct[i] for i in missing.tolist()]

@@ -31,6 +31,15 @@ def test_encoder(mode, bounds):
     assert [g.tolist() for g in Encoder(public_vocabulary(FILES[mode]), mode, **bounds).encode(TEXTS)] == library(mode, TEXTS)
 
 
+@pytest.mark.parametrize("mode", FILES)
+def test_words_are_encoded_without_offsets(mode):
+    """Only the library's call that leaves out offsets is made; white space of every kind and in runs is no unit's."""
+    texts = ["two  words\tand\x0bsome\x0cmore\r\nhere, now.", "\n\n", " \t ", "end \r", "a b  c   d"]
+    made = Encoder(public_vocabulary(FILES[mode]), mode)
+    made.tokenizer = type("Fast", (), {"encode_batch_fast": made.tokenizer.encode_batch_fast})
+    assert [g.tolist() for g in made.encode(texts)] == library(mode, texts)
+
+
 def test_encoder_forgets(spark):
     """Texts come out the same while the cache is thinned again and again."""
     rng = np.random.default_rng(6)
